@@ -24,6 +24,11 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per region, a placeholder until the network queries register."""
+    return spark.read.parquet(f"{sf_dir}/region.parquet")
+
+
 def _load() -> None:
     """Import the modules that register queries."""
 
