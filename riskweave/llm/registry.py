@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from riskweave.llm import bpe_op
+from riskweave.llm import bpe_op, packing
 
 _QUERIES = {
+    "op4_packing": packing.op4_packing,
     "op6_bpe": bpe_op.op6_bpe,
 }
 _SQL: dict[str, str] = {}
