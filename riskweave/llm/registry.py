@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from riskweave.llm import bpe_op, packing
+from riskweave.llm import bpe_op, packing, toxicity
 
 _QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op4_packing": packing.op4_packing,
     "op6_bpe": bpe_op.op6_bpe,
 }
