@@ -1,16 +1,18 @@
-"""Helpers shared by the operators: tables, shared scratch storage and code shipping."""
+"""Helpers shared by the operators: tables, code shipping and the held-out fold."""
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskweave.sources.scratch import materialise, shared_dir
+
+__all__ = ["held_out", "materialise", "shared_dir", "ship", "table", "whole_text"]
+
 _SHIPPED: set[str] = set()
 
 
@@ -36,44 +38,6 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset, one of our own."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="riskweave-shared-")
-        sc.setCheckpointDir(found)
-    return found
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:
-        return
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
-
-    Every executor and the driver see these files, so a lost executor costs nothing
-    that was computed before. They go when the interpreter ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/riskweave/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-
-    def gone() -> None:
-        try:
-            _delete(spark, path)
-        except Exception:  # the JVM may already be down at exit
-            pass
-
-    atexit.register(gone)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def whole_text(df: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone, null text as the empty text."""
     return df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
