@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from riskweave.llm import bpe_op, langid, packing, toxicity
+from riskweave.llm import bpe_op, langid, packing, simhash, toxicity
 
 _QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_packing": packing.op4_packing,
     "op6_bpe": bpe_op.op6_bpe,
     "op7_langid": langid.op7_langid,
+    "op9_simhash": simhash.op9_simhash,
 }
 _SQL: dict[str, str] = {}
 
