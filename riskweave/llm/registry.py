@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskweave.llm import bpe_op, langid, packing, simhash, toxicity
+from riskweave.llm import bpe_op, langid, licences, packing, simhash, toxicity
 
 _QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
@@ -10,6 +10,7 @@ _QUERIES = {
     "op6_bpe": bpe_op.op6_bpe,
     "op7_langid": langid.op7_langid,
     "op9_simhash": simhash.op9_simhash,
+    "op10_licences": licences.op10_licences,
 }
 _SQL: dict[str, str] = {}
 
