@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from riskweave.llm import bpe_op, langid, licences, packing, simhash, toxicity
+from riskweave.llm import bpe_op, langid, licences, neighbours, packing, simhash, toxicity
 
 _QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_packing": packing.op4_packing,
+    "op5_neighbours": neighbours.op5_neighbours,
     "op6_bpe": bpe_op.op6_bpe,
     "op7_langid": langid.op7_langid,
     "op9_simhash": simhash.op9_simhash,
