@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from riskweave.llm import bpe_op, langid, licences, neighbours, packing, simhash, toxicity
+from riskweave.llm import bpe_op, langid, licences, neighbours, packing, pii, simhash, toxicity
 
 _QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_pii": pii.op3_pii,
     "op4_packing": packing.op4_packing,
     "op5_neighbours": neighbours.op5_neighbours,
     "op6_bpe": bpe_op.op6_bpe,
