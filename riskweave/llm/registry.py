@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskweave.llm import bpe_op, langid, licences, neighbours, packing, pii, simhash, toxicity
+from riskweave.llm import bpe_op, langid, licences, merkle, neighbours, packing, pii, simhash, toxicity
 
 _QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
@@ -11,6 +11,7 @@ _QUERIES = {
     "op5_neighbours": neighbours.op5_neighbours,
     "op6_bpe": bpe_op.op6_bpe,
     "op7_langid": langid.op7_langid,
+    "op8_merkle": merkle.op8_merkle,
     "op9_simhash": simhash.op9_simhash,
     "op10_licences": licences.op10_licences,
 }
