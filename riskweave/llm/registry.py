@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from riskweave.llm import bpe_op, langid, licences, merkle, neighbours, packing, pii, simhash, toxicity
+from riskweave.llm import bpe_op, langid, licences, merkle, neighbours, packing, pii, simhash, toxicity, urls
 
 _QUERIES = {
+    "op1_urls": urls.op1_urls,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_pii": pii.op3_pii,
     "op4_packing": packing.op4_packing,
