@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.operators.components import connected_components
@@ -101,9 +101,9 @@ def fiedler_sides(mode_rows: DataFrame, by: str) -> DataFrame:
     return mode_rows.where("mode = 1").select(by, "node", F.when(F.col("v") >= 0, 1).otherwise(0).cast("long").alias("side"))
 
 
-def heat(mode_rows: DataFrame, by: str, source: Column, t: float) -> DataFrame:
-    """(by, node, p): heat after time t from one unit at each snapshot's ``source`` node."""
-    start = mode_rows.where(F.col("node") == source).select(by, "mode", F.col("v").alias("v0"))
+def heat(mode_rows: DataFrame, by: str, sources: DataFrame, t: float) -> DataFrame:
+    """(by, node, p): heat after time t from one unit at the node that ``sources`` (by, node) names for each snapshot."""
+    start = mode_rows.join(sources, [by, "node"]).select(by, "mode", F.col("v").alias("v0"))
     return mode_rows.join(start, [by, "mode"]).groupBy(by, "node").agg(F.sum(F.exp(-t * F.col("lambda")) * F.col("v0") * F.col("v")).alias("p"))
 
 

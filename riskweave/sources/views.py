@@ -127,8 +127,8 @@ SQL = {
         f"""select d, s, t, c from (select d, s, t, corr(x, y) over f c, count(*) over f n from pair
         window f as (partition by s, t order by d rows between {WINDOW} preceding and 1 preceding)) where n = {WINDOW} and c >= 0.3""",
     ),
-    "both": (("edge",), "select d, s, t, c from edge union all select d, t s, s t, c from edge"),
-    "degree": (("both",), "select d, s node, count(*) k, sum(c) deg from both group by 1, 2"),
+    "twin": (("edge",), "select d, s, t, c from edge union all select d, t s, s t, c from edge"),
+    "degree": (("twin",), "select d, s node, count(*) k, sum(c) deg from twin group by 1, 2"),
     "market": (("ret",), "select d, avg(r) m from ret group by 1"),
     "vol": (("market",), "select d, m, stddev_pop(m) over (order by d rows between 5 preceding and current row) v from market"),
 }
