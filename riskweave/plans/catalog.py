@@ -25,12 +25,14 @@ def register(name: str, sql: str | None = None):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per region, a placeholder until the network queries register."""
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    """Rolling correlation networks and their spectra: one row a month."""
+    _load()
+    return _QUERIES["spectrum"](spark, sf_dir)
 
 
 def _load() -> None:
     """Import the modules that register queries."""
+    from riskweave.plans import graphs, scores, series  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
