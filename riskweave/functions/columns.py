@@ -22,3 +22,10 @@ def rnd(c: Column | str, digits: int = 6) -> Column:
 def rounded(df, *names: str, digits: int = 6):
     """``df`` with the named columns rounded."""
     return df.withColumns({n: rnd(n, digits) for n in names})
+
+
+def correlation(x: str, y: str, over=None) -> Column:
+    """Pearson's correlation; null where a side is flat, for which ``corr`` divides by zero. Rows must hold both sides."""
+    at = lambda c: c if over is None else c.over(over)
+    spread = at(F.stddev_pop(x)) * at(F.stddev_pop(y))
+    return F.when(spread > 0, at(F.covar_pop(x, y)) / spread)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskweave.functions.columns import correlation
 from riskweave.sources.scratch import materialise
 
 
@@ -87,8 +88,8 @@ def assortativity(edges: DataFrame, by: list[str]) -> DataFrame:
     """Correlation of the degrees at the two ends of each directed edge; 0 under four edges or without spread."""
     deg = edges.groupBy(*by, F.col("s").alias("node")).agg(F.count(F.lit(1)).cast("double").alias("k"))
     rows = edges.select(*by, "s", "t").join(deg.withColumnsRenamed({"node": "s", "k": "ks"}), [*by, "s"]).join(deg.withColumnsRenamed({"node": "t", "k": "kt"}), [*by, "t"])
-    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("ks").alias("sd"), F.corr("ks", "kt").alias("c"))
-    return out.select(*by, F.when((F.col("n") < 4) | (F.col("sd") < 1e-12), 0.0).otherwise(F.col("c")).alias("assortativity"))
+    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("ks").alias("sd"), correlation("ks", "kt").alias("c"))
+    return out.select(*by, F.when((F.col("n") < 4) | (F.col("sd") < 1e-12), 0.0).otherwise(F.coalesce("c", F.lit(0.0))).alias("assortativity"))
 
 
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, write_every: int = 5) -> DataFrame:

@@ -57,9 +57,9 @@ def spectrum(mode_rows: DataFrame, by: str) -> DataFrame:
     inner = F.when(F.col("mode") >= 1, F.struct("gap", -F.col("mode")))
     out = values.groupBy(by).agg(
         F.count(F.lit(1)).alias("nodes"), F.max(F.when(F.col("mode") == 1, F.col("lambda"))).alias("lambda_2"), F.max("lambda").alias("radius"),
-        F.sum("lambda").alias("total"), F.sum(F.col("lambda") * F.col("lambda")).alias("squares"), F.max(inner).alias("g"),
+        F.sum("lambda").alias("total"), F.sum(F.col("lambda") * F.col("lambda")).alias("squares"), F.max(inner).alias("_widest"),
     )
-    return out.select(by, "nodes", "lambda_2", "radius", "total", "squares", F.col("g.gap").alias("gap"), (-F.col("g.col2")).alias("gap_mode"))
+    return out.select(by, "nodes", "lambda_2", "radius", "total", "squares", F.col("_widest.gap").alias("gap"), (-F.col("_widest.col2")).alias("gap_mode"))
 
 
 def participation(mode_rows: DataFrame, by: str) -> DataFrame:

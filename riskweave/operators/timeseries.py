@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.functions.columns import clip
+from riskweave.functions.columns import clip, correlation
 
 
 def simple_returns(prices: DataFrame, key: str = "bank", time: str = "d", value: str = "price", out: str = "r") -> DataFrame:
@@ -36,14 +36,14 @@ def rolling_correlation(paired: DataFrame, window: int, inclusive: bool = False)
     """(d, s, t, c) once ``window`` rows stand before d, or up to d where ``inclusive``."""
     frame = (-(window - 1), 0) if inclusive else (-window, -1)
     w = Window.partitionBy("s", "t").orderBy("d").rowsBetween(*frame)
-    return paired.select("d", "s", "t", F.corr("x", "y").over(w).alias("c"), F.count(F.lit(1)).over(w).alias("n")).where(F.col("n") == window).drop("n")
+    return paired.select("d", "s", "t", correlation("x", "y", w).alias("c"), F.count(F.lit(1)).over(w).alias("n")).where(F.col("n") == window).drop("n")
 
 
 def latest_correlation(returns: DataFrame, window: int, key: str = "bank", time: str = "d", value: str = "r") -> DataFrame:
     """(s, t, c) over the last ``window`` rows of each key."""
     w = Window.partitionBy(key).orderBy(F.desc(time))
     last = returns.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= window).drop("_k")
-    return pairs(last, key, time, value).groupBy("s", "t").agg(F.corr("x", "y").alias("c"))
+    return pairs(last, key, time, value).groupBy("s", "t").agg(correlation("x", "y").alias("c"))
 
 
 def market(returns: DataFrame, time: str = "d", value: str = "r") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from riskweave.functions.columns import rnd, rounded
+from riskweave.functions.columns import correlation, rnd, rounded
 from riskweave.operators import contagion as con, learning, stats, timeseries as ts
 from riskweave.plans.catalog import register
 from riskweave.sources import views as v
@@ -169,7 +169,7 @@ def regime_flags(s, d):
 @register("correlation_table", oracle("asset", "select x.a as a, y.a as b, round(corr(x.v, y.v), 6) + 0e0 c from asset x join asset y using (d) group by 1, 2"))
 def correlation_table(s, d):
     x = v.asset(s, d)
-    return x.select("d", "a", F.col("v").alias("x")).join(x.select("d", F.col("a").alias("b"), F.col("v").alias("y")), "d").groupBy("a", "b").agg(rnd(F.corr("x", "y")).alias("c"))
+    return x.select("d", "a", F.col("v").alias("x")).join(x.select("d", F.col("a").alias("b"), F.col("v").alias("y")), "d").groupBy("a", "b").agg(rnd(correlation("x", "y")).alias("c"))
 
 
 _CAP = "cap as (select bank, 0.1 * total_assets * (1 + greatest(0, lcr - 100) / 100) * (1 + greatest(0, cet1 - 8) / 4) capacity from bank_state)"
