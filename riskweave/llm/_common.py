@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskweave.sources.scratch import materialise, shared_dir
 
-__all__ = ["held_out", "materialise", "shared_dir", "ship", "table", "whole_text"]
+__all__ = ["held_out", "hidden", "materialise", "shared_dir", "ship", "shown", "table", "whole_text"]
 
 _SHIPPED: set[str] = set()
 
@@ -46,3 +46,13 @@ def whole_text(df: DataFrame) -> DataFrame:
 def held_out(doc_id):
     """True where crc32 of the id, as text, leaves 2 modulo 4."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def hidden(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """``docs`` with all columns but those of ``keep`` under numbered names, so that none clashes with a stage's own."""
+    return docs.select(*(F.col(f"`{c}`").alias(c if c in keep else f"__{k}") for k, c in enumerate(docs.columns)))
+
+
+def shown(df: DataFrame, docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text"), **changed) -> DataFrame:
+    """The columns of ``docs`` again, under their own names; ``changed`` gives new values for some."""
+    return df.select(*(changed.get(c, F.col(c if c in keep else f"__{k}")).alias(c) for k, c in enumerate(docs.columns)))

@@ -170,5 +170,5 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rows of no language (null text or no letter) go; the rest stay as they are."""
-    rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    return predict(rows, train(rows)).where(F.col("lang_pred") != "und").select("doc_id", "text", "lang", "source", "n_chars")
+    found = predict(_common.hidden(docs), train(docs))
+    return _common.shown(found.where(F.col("lang_pred") != "und"), docs)

@@ -261,8 +261,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every span found is replaced by its kind in brackets; all rows stay, null texts as they are."""
-    columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    found = candidates(docs.select(columns))
+    found = candidates(_common.hidden(docs, ("text", "n_chars")))
     out = decide(found, train(found.select("found")))
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
     step = (
@@ -271,4 +270,5 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         "a -> concat(a.out, substring(text, a.pos + 1)))"
     )
     out = out.withColumn("text", F.expr(f"CASE WHEN size(spans) > 0 THEN {step} ELSE text END"))
-    return out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(columns)
+    n_chars = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return _common.shown(out, docs, ("text", "n_chars"), n_chars=n_chars)

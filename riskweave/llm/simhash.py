@@ -162,9 +162,16 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = 5) -> DataFrame:
-    """Pipeline stage: of each class only the row with the smallest doc_id stays, one where rows repeat."""
-    columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    rows = _common.materialise(fingerprints(docs.select(columns), words).withColumn("row", F.monotonically_increasing_id()))
-    small = rows.select("row", "doc_id", "fp")
-    kept = small.join(classes(small), "fp").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("k"))
-    return rows.join(kept.select(F.col("k.row").alias("row")), "row", "left_semi").select(columns)
+    """Pipeline stage: of each class only the row with the smallest doc_id stays, one where rows repeat.
+
+    Only ids and fingerprints are stored; texts pass once, through the join with the ids kept.
+    A null id stands before all others.
+    """
+    rows = _common.hidden(docs).withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    small = _common.materialise(fingerprints(rows.select("key", "text"), words).select(F.col("key").alias("doc_id"), "fp"))
+    kept = _common.materialise(small.join(classes(small), "fp").where("doc_id = component_id").groupBy(F.col("doc_id").alias("key")).agg(F.count(F.lit(1)).alias("times")))
+    out = rows.join(kept.select("key"), "key", "left_semi")
+    again = kept.where("times > 1").select("key")
+    if not again.isEmpty():  # only rows of repeated ids need to be told apart
+        out = out.join(again, "key", "left_anti").unionByName(out.join(again, "key", "left_semi").dropDuplicates(["key"]))
+    return _common.shown(out, docs)

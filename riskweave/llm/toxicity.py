@@ -88,7 +88,7 @@ def train(documents: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float],
     if not n_pos or n == n_pos:
         return {}, -30.0
     prior = n_pos / n
-    text = _common.whole_text(documents).join(known, "doc_id")
+    text = _common.whole_text(documents).join(known, "doc_id").select("text", "toxic")
     positive = _sample(text.where("toxic = 1"), MAX_POSITIVE, n_pos).select(F.lit(True).alias("pos"), "text")
     unlabelled = _sample(text, MAX_UNLABELLED, n).select(F.lit(False).alias("pos"), "text")
 
@@ -144,5 +144,5 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rows whose score reaches the threshold go; null texts score as empty ones."""
     weights, bias = train(docs, _common.table(spark, sf_dir, "labels"))
-    scored = score(docs.select("doc_id", "text", "lang", "source", "n_chars"), weights, bias, keep=True)
-    return scored.where(F.col("score") < THRESHOLD).drop("score")
+    scored = score(_common.hidden(docs), weights, bias, keep=True)
+    return _common.shown(scored.where(F.col("score") < THRESHOLD), docs)

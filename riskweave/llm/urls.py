@@ -101,7 +101,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every page."""
-    rows = ruled(parsed(pages), rules)
+    rows = ruled(parsed(pages.select("page_id", "url", "html")), rules)
     by_host = rows.where("host != ''").groupBy("host").agg(F.count_if(F.col("by_rule") == "allow").alias("trust"), F.count_if(F.col("by_rule") == "block").alias("distrust"))
     seeds = by_host.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "n"))
     seeds = seeds.where("n > 0").select("kind", "host", F.col("n").cast("double").alias("seed"))
