@@ -14,6 +14,12 @@ meets, and each meeting is verified by its exact distance. The join runs between
 distinct fingerprints, so exact copies are never paired, and classes are connected
 components of the links.
 
+``keep_one`` also links texts whose five-word shingles are alike (Jaccard 0.8 or more). Those
+lie further apart than 3 bits, so there the keys come from fingerprints of single words, which
+such texts nearly share, with near indices on both sides, so that two bits may differ in each
+segment. In each key's group all members are held against the group's first and last
+member only, never all against all, and each meeting is verified by the shingles themselves.
+
 Null text is the empty text; texts without words have the fingerprint zero and link like
 any other. Repeated rows share a class. Rows with a null id get the class of their
 fingerprint. An empty table gives no rows.
@@ -27,7 +33,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -36,6 +42,10 @@ from riskweave.operators.components import connected_components
 
 SEED = 42
 DISTANCE = 3
+#: Of the pipeline stage: words of a shingle, least Jaccard similarity, and bits by which word fingerprints may differ.
+SHINGLE = 5
+SIMILARITY = 0.8
+WORD_DISTANCE = 16
 #: Bits of each segment, from the lowest.
 SEGMENTS = (22, 21, 21)
 #: Generator polynomial of the [23, 12] Golay code.
@@ -143,10 +153,11 @@ def links(fps: DataFrame) -> DataFrame:
     return left.join(right, "key").where(close).select("source", "target").distinct()
 
 
-def classes(rows: DataFrame) -> DataFrame:
-    """(fp, component_id) of all fingerprints in ``rows`` (doc_id, fp): the smallest doc_id reachable."""
+def classes(rows: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(fp, component_id) of all fingerprints in ``rows`` (doc_id, fp): the smallest doc_id reachable; ``more`` has further links."""
     least = _common.materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = connected_components(_common.materialise(links(least)))
+    linked = links(least) if more is None else links(least).unionByName(more)
+    found = connected_components(_common.materialise(linked))
     return (
         least.join(found, least["fp"] == found["node"], "left")
         .select("fp", "least", F.coalesce("component", "fp").alias("root"))
@@ -155,21 +166,75 @@ def classes(rows: DataFrame) -> DataFrame:
     )
 
 
+def shingles(text: str, words: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of all word shingles, as signed 64-bit integers."""
+    w = text.encode().translate(_LOWER).split()
+    n = max(1, len(w) - words + 1) if w else 0
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((h(b" ".join(w[k : k + words]), SEED) for k in range(n)), dtype=np.uint64)).view(np.int64)
+
+
+def _sketches(df: DataFrame, words: int) -> DataFrame:
+    """(key, fp, wfp): the fingerprint of word shingles, and that of the distinct words."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            fp = pa.array([fingerprint(t, words) for t in texts], pa.int64())
+            wfp = pa.array([fingerprint(" ".join({*t.split()}), 1) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), fp, wfp], names=["key", "fp", "wfp"])
+
+    _common.ship(df.sparkSession)
+    return df.select("key", "text").mapInArrow(run, "key long, fp long, wfp long")
+
+
+def similar(small: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """(source, target) of fingerprints in ``small`` (key, fp, wfp) whose texts, in ``rows`` (key, text), are alike."""
+    nodes = _common.materialise(small.groupBy("fp").agg(F.min(F.struct("key", "wfp")).alias("m")).select("fp", "m.key", "m.wfp"))
+
+    def keyed(batches):
+        for batch in batches:
+            fp, wfp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "wfp"))
+            row, key = keys(wfp, True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(fp[row]), pa.array(wfp[row])], names=["k", "fp", "wfp"])
+
+    group = Window.partitionBy("k")
+    ends = nodes.select("fp", "wfp").mapInArrow(keyed, "k int, fp long, wfp long").select(
+        "fp", "wfp", F.min(F.struct("fp", "wfp")).over(group).alias("first"), F.max(F.struct("fp", "wfp")).over(group).alias("last")
+    )
+    close = lambda c: (F.col("fp") != F.col(f"{c}.fp")) & (F.bit_count(F.col("wfp").bitwiseXOR(F.col(f"{c}.wfp"))) <= WORD_DISTANCE)
+    met = F.array_compact(F.array(*(F.when(close(c), F.col(f"{c}.fp")) for c in ("first", "last"))))
+    pairs = ends.select("fp", F.explode(met).alias("other")).select(F.least("fp", "other").alias("source"), F.greatest("fp", "other").alias("target"))
+    pairs = _common.materialise(pairs.distinct())
+    wanted = pairs.select(F.explode(F.array("source", "target")).alias("fp")).distinct().join(nodes.select("fp", "key"), "fp")
+
+    def hashed(batches):
+        for batch in batches:
+            sets = pa.array([shingles(t or "", words) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), sets], names=["fp", "sh"])
+
+    sets = _common.materialise(rows.select("key", "text").join(wanted, "key").select("fp", "text").mapInArrow(hashed, "fp long, sh array<long>"))
+    both = pairs.join(sets.withColumnsRenamed({"fp": "source", "sh": "a"}), "source").join(sets.withColumnsRenamed({"fp": "target", "sh": "b"}), "target")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(shared >= SIMILARITY * (F.size("a") + F.size("b") - shared)).select("source", "target").distinct()
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = _common.materialise(fingerprints(documents).select("doc_id", "fp"))
     return rows.join(classes(rows), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = 5) -> DataFrame:
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = SHINGLE) -> DataFrame:
     """Pipeline stage: of each class only the row with the smallest doc_id stays, one where rows repeat.
 
     Only ids and fingerprints are stored; texts pass once, through the join with the ids kept.
     A null id stands before all others.
     """
     rows = _common.hidden(docs).withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    small = _common.materialise(fingerprints(rows.select("key", "text"), words).select(F.col("key").alias("doc_id"), "fp"))
-    kept = _common.materialise(small.join(classes(small), "fp").where("doc_id = component_id").groupBy(F.col("doc_id").alias("key")).agg(F.count(F.lit(1)).alias("times")))
+    sketched = _common.materialise(_sketches(rows, words))
+    small = sketched.select(F.col("key").alias("doc_id"), "fp")
+    kept = _common.materialise(small.join(classes(small, similar(sketched, rows, words)), "fp").where("doc_id = component_id").groupBy(F.col("doc_id").alias("key")).agg(F.count(F.lit(1)).alias("times")))
     out = rows.join(kept.select("key"), "key", "left_semi")
     again = kept.where("times > 1").select("key")
     if not again.isEmpty():  # only rows of repeated ids need to be told apart
