@@ -45,7 +45,7 @@ DISTANCE = 3
 #: Of the pipeline stage: words of a shingle, least Jaccard similarity, and bits by which word fingerprints may differ.
 SHINGLE = 5
 SIMILARITY = 0.8
-WORD_DISTANCE = 16
+WORD_DISTANCE = 10
 #: Bits of each segment, from the lowest.
 SEGMENTS = (22, 21, 21)
 #: Generator polynomial of the [23, 12] Golay code.
