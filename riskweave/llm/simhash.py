@@ -15,10 +15,10 @@ distinct fingerprints, so exact copies are never paired, and classes are connect
 components of the links.
 
 ``keep_one`` also links texts whose five-word shingles are alike (Jaccard 0.8 or more). Those
-lie further apart than 3 bits, so there the keys come from fingerprints of single words, which
-such texts nearly share, with near indices on both sides, so that two bits may differ in each
-segment. In each key's group all members are held against the group's first and last
-member only, never all against all, and each meeting is verified by the shingles themselves.
+lie further apart than 3 bits, so there the keys are shingles: with all shingles in one order,
+sets of n and m of that similarity share one of the first n - ceil(0.8 n) + 1 and m - ceil(0.8 m)
++ 1. All pairs of a key's group are verified by the shingles themselves, but those that other
+links join already.
 
 Null text is the empty text; texts without words have the fingerprint zero and link like
 any other. Repeated rows share a class. Rows with a null id get the class of their
@@ -28,6 +28,7 @@ fingerprint. An empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import math
 from itertools import combinations
 
 import numpy as np
@@ -42,10 +43,12 @@ from riskweave.operators.components import connected_components
 
 SEED = 42
 DISTANCE = 3
-#: Of the pipeline stage: words of a shingle, least Jaccard similarity, and bits by which word fingerprints may differ.
+#: Of the pipeline stage: words of a shingle and least Jaccard similarity.
 SHINGLE = 5
 SIMILARITY = 0.8
-WORD_DISTANCE = 10
+#: Texts that show which shingles are common, and the most such shingles held; neither changes which pairs are found.
+SAMPLE = 8000
+COMMON = 1 << 17
 #: Bits of each segment, from the lowest.
 SEGMENTS = (22, 21, 21)
 #: Generator polynomial of the [23, 12] Golay code.
@@ -166,57 +169,133 @@ def classes(rows: DataFrame, more: DataFrame | None = None) -> DataFrame:
     )
 
 
-def shingles(text: str, words: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of all word shingles, as signed 64-bit integers."""
+def _hashes(text: str, words: int) -> np.ndarray:
     w = text.encode().translate(_LOWER).split()
     n = max(1, len(w) - words + 1) if w else 0
     h = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((h(b" ".join(w[k : k + words]), SEED) for k in range(n)), dtype=np.uint64)).view(np.int64)
+    return np.fromiter((h(b" ".join(w[k : k + words]), SEED) for k in range(n)), dtype=np.uint64, count=n)
+
+
+def shingles(text: str, words: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of all word shingles, as signed 64-bit integers."""
+    return np.unique(_hashes(text, words)).view(np.int64)
+
+
+def prefix(sh: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of ``sh`` (sorted), of which sets of Jaccard SIMILARITY share one: those in ``common`` (sorted) come last, by ``rank``."""
+    if len(common) and len(sh):
+        at = np.minimum(np.searchsorted(common, sh), len(common) - 1)
+        late = common[at] == sh
+        sh = np.concatenate([sh[~late], sh[late][np.argsort(rank[at[late]])]])
+    return sh[: len(sh) - math.ceil(SIMILARITY * len(sh) - 1e-6) + 1]
 
 
-def _sketches(df: DataFrame, words: int) -> DataFrame:
-    """(key, fp, wfp): the fingerprint of word shingles, and that of the distinct words."""
+def _common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample hold, sorted, and their ranks by frequency. They only order ``prefix``: any list gives the same pairs."""
+    part = max(1, rows.count() // SAMPLE)
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            fp = pa.array([fingerprint(t, words) for t in texts], pa.int64())
-            wfp = pa.array([fingerprint(" ".join({*t.split()}), 1) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), fp, wfp], names=["key", "fp", "wfp"])
+            sh = [shingles(t or "", words) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sh))], names=["k"])
 
-    _common.ship(df.sparkSession)
-    return df.select("key", "text").mapInArrow(run, "key long, fp long, wfp long")
+    texts = rows.where(F.pmod("th", F.lit(part)) == 0).select("th", "text").dropDuplicates(["th"]).select("text")
+    counts = texts.mapInArrow(run, "k long").groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    k = counts.orderBy(F.desc("n"), "k").limit(COMMON).select("k").toArrow().column("k").to_numpy()
+    order = np.argsort(k)
+    return k[order], -order
 
 
-def similar(small: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """(source, target) of fingerprints in ``small`` (key, fp, wfp) whose texts, in ``rows`` (key, text), are alike."""
-    nodes = _common.materialise(small.groupBy("fp").agg(F.min(F.struct("key", "wfp")).alias("m")).select("fp", "m.key", "m.wfp"))
+def _sketches(rows: DataFrame, words: int) -> DataFrame:
+    """(key, th, fp, n, pre): the fingerprint of word shingles, their number, and the prefix of their set, null where its task had the text already."""
+    _common.ship(rows.sparkSession)
+    common, rank = _common_shingles(rows, words)
 
-    def keyed(batches):
+    def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            fp, wfp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "wfp"))
-            row, key = keys(wfp, True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(fp[row]), pa.array(wfp[row])], names=["k", "fp", "wfp"])
-
-    group = Window.partitionBy("k")
-    ends = nodes.select("fp", "wfp").mapInArrow(keyed, "k int, fp long, wfp long").select(
-        "fp", "wfp", F.min(F.struct("fp", "wfp")).over(group).alias("first"), F.max(F.struct("fp", "wfp")).over(group).alias("last")
-    )
-    close = lambda c: (F.col("fp") != F.col(f"{c}.fp")) & (F.bit_count(F.col("wfp").bitwiseXOR(F.col(f"{c}.wfp"))) <= WORD_DISTANCE)
-    met = F.array_compact(F.array(*(F.when(close(c), F.col(f"{c}.fp")) for c in ("first", "last"))))
-    pairs = ends.select("fp", F.explode(met).alias("other")).select(F.least("fp", "other").alias("source"), F.greatest("fp", "other").alias("target"))
+            fps, ns, pres = [], [], []
+            for th, t in zip(batch.column("th").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                h = _hashes(t or "", words)
+                ones = np.zeros(64, dtype=np.int64)
+                for at in range(0, len(h), BLOCK):
+                    ones += np.unpackbits(h[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                fps.append(int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0]))
+                sh = np.unique(h).view(np.int64)
+                sh.sort()
+                ns.append(len(sh))
+                pres.append(None if th in seen or not len(sh) else prefix(sh, common, rank))
+                seen.add(th)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("th"), pa.array(fps, pa.int64()), pa.array(ns, pa.int32()), pa.array(pres, pa.list_(pa.int64()))], names=["key", "th", "fp", "n", "pre"])
+
+    return rows.select("key", "th", "text").mapInArrow(run, "key long, th long, fp long, n int, pre array<long>")
+
+
+def _met(a: str, b: str):
+    """May the sets of a and b, whose first common shingle is this, be alike? By their sizes and its places."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    need = SIMILARITY / (1 + SIMILARITY) * (n + m) - 1e-6
+    return (F.col(f"{a}.fp") != F.col(f"{b}.fp")) & (F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos")) >= need)
+
+
+def _pair(a: str, b: str):
+    """Texts and fingerprints of a and b, the lesser fingerprint first."""
+    x, y = (F.struct(F.col(f"{c}.fp"), F.col(f"{c}.th")) for c in (a, b))
+    return F.struct(F.least(x, y).alias("s"), F.greatest(x, y).alias("t"))
+
+
+def _alike(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """(source, target) of the fingerprints in ``pairs`` (s, t) whose texts, in ``rows`` (th, text), are alike."""
     pairs = _common.materialise(pairs.distinct())
-    wanted = pairs.select(F.explode(F.array("source", "target")).alias("fp")).distinct().join(nodes.select("fp", "key"), "fp")
+    wanted = _common.materialise(pairs.select(F.explode(F.array("s.th", "t.th")).alias("th")).distinct())
+    # a bitmap of the wanted hashes holds most other texts back from the shuffle
+    bits = 1 << max(10, (8 * wanted.count()).bit_length())
+    at = F.pmod("th", F.lit(bits))
+    found = wanted.groupBy((at / 64).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(th, {bits}) % 64 as int))")).alias("v")).toArrow()
+    bitmap = np.zeros(bits // 64, dtype=np.int64)
+    bitmap[found.column("w").to_numpy()] = found.column("v").to_numpy()
+
+    def held(batches):
+        for batch in batches:
+            place = batch.column("th").to_numpy() % bits
+            yield batch.filter(pa.array((bitmap[place // 64] >> (place % 64) & 1).astype(bool)))
 
     def hashed(batches):
         for batch in batches:
             sets = pa.array([shingles(t or "", words) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), sets], names=["fp", "sh"])
+            yield pa.RecordBatch.from_arrays([batch.column("th"), sets], names=["th", "sh"])
 
-    sets = _common.materialise(rows.select("key", "text").join(wanted, "key").select("fp", "text").mapInArrow(hashed, "fp long, sh array<long>"))
-    both = pairs.join(sets.withColumnsRenamed({"fp": "source", "sh": "a"}), "source").join(sets.withColumnsRenamed({"fp": "target", "sh": "b"}), "target")
+    texts = rows.select("th", "text").mapInArrow(held, "th long, text string").join(wanted, "th", "left_semi").dropDuplicates(["th"])
+    sets = _common.materialise(texts.mapInArrow(hashed, "th long, sh array<long>"))
+    flat = pairs.select(F.col("s.fp").alias("source"), F.col("t.fp").alias("target"), F.col("s.th").alias("x"), F.col("t.th").alias("y"))
+    both = flat.join(sets.withColumnsRenamed({"th": "x", "sh": "a"}), "x").join(sets.withColumnsRenamed({"th": "y", "sh": "b"}), "y")
     shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared >= SIMILARITY * (F.size("a") + F.size("b") - shared)).select("source", "target").distinct()
+    return _common.materialise(both.where(shared >= SIMILARITY * (F.size("a") + F.size("b") - shared)).select("source", "target").distinct())
+
+
+def similar(sketched: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """(source, target) of fingerprints in ``sketched`` whose texts, in ``rows`` (th, text), are alike: enough of them to join all that are.
+
+    First each member of a key's group is held against the group's first and last; then all
+    pairs of a group are, but those that are joined by then.
+    """
+    posts = sketched.where("pre IS NOT NULL").select("th", "fp", "n", F.posexplode("pre").alias("pos", "k"))
+    group = Window.partitionBy("k")
+    posts = posts.withColumns({"lo": F.min("fp").over(group), "hi": F.max("fp").over(group)}).where("lo < hi").drop("lo", "hi")
+    posts = _common.materialise(posts.select("k", F.struct("fp", "th", "n", "pos").alias("m")))
+    ends = posts.select("m", F.min("m").over(group).alias("first"), F.max("m").over(group).alias("last"))
+    met = F.array_compact(F.array(*(F.when(_met("m", c), _pair("m", c)) for c in ("first", "last"))))
+    linked = _alike(ends.select(F.explode(met).alias("p")).select("p.*"), rows, words)
+
+    near_too = linked.unionByName(links(sketched.select("fp").distinct()))
+    found = _common.materialise(connected_components(_common.materialise(near_too)))
+    c = posts.join(found, F.col("m.fp") == found["node"], "left").select("k", "m", F.coalesce("component", "m.fp").alias("c"))
+    c = c.withColumns({"lo": F.min("c").over(group), "hi": F.max("c").over(group)}).where("lo < hi")
+    c = _common.materialise(c.distinct())
+    a = c.where("c > lo").select("k", F.col("m").alias("a"), F.col("c").alias("ca"))
+    b = c.select("k", F.col("m").alias("b"), F.col("c").alias("cb"))
+    rest = a.join(b, "k").where((F.col("ca") > F.col("cb")) & _met("a", "b")).select(_pair("a", "b").alias("p")).select("p.*")
+    return linked.unionByName(_alike(rest, rows, words))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,10 +307,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = SHINGLE) -> DataFrame:
     """Pipeline stage: of each class only the row with the smallest doc_id stays, one where rows repeat.
 
-    Only ids and fingerprints are stored; texts pass once, through the join with the ids kept.
-    A null id stands before all others.
+    Only ids, fingerprints and prefixes are stored; texts pass once, through the join with the ids kept,
+    and those to be compared once more. A null id stands before all others.
     """
     rows = _common.hidden(docs).withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    rows = rows.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     sketched = _common.materialise(_sketches(rows, words))
     small = sketched.select(F.col("key").alias("doc_id"), "fp")
     kept = _common.materialise(small.join(classes(small, similar(sketched, rows, words)), "fp").where("doc_id = component_id").groupBy(F.col("doc_id").alias("key")).agg(F.count(F.lit(1)).alias("times")))

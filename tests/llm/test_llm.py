@@ -387,3 +387,14 @@ def test_pipeline_stages(spark, docs, sf):
     assert len(kept & {502, 503, 504}) == 1 and now.where("doc_id in (502, 503, 504)").count() == 1
     packed = pipeline.run(spark, sf)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == kept
+
+
+def kept_by_near_duplicates(spark, rows):
+    return sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()), key=str)
+
+
+def test_near_copies_of_crowded_groups_meet(spark):
+    g, words = random.Random(1), [f"w{k}" for k in range(60)]
+    bases = [" ".join(g.sample(words, 60)) for _ in range(30)]  # the same words each, in another order
+    rows = [(2 * k + e, b + " w0" * e) for k, b in enumerate(bases) for e in (0, 1)]
+    assert kept_by_near_duplicates(spark, rows) == sorted(((2 * k, b) for k, b in enumerate(bases)), key=str)
