@@ -398,3 +398,14 @@ def test_near_copies_of_crowded_groups_meet(spark):
     bases = [" ".join(g.sample(words, 60)) for _ in range(30)]  # the same words each, in another order
     rows = [(2 * k + e, b + " w0" * e) for k, b in enumerate(bases) for e in (0, 1)]
     assert kept_by_near_duplicates(spark, rows) == sorted(((2 * k, b) for k, b in enumerate(bases)), key=str)
+
+
+def test_short_and_extended_copies_meet(spark):
+    g = random.Random(2)
+    base = lambda n: " ".join(f"v{g.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for k in range(40):  # all but four or twelve shingles are shared: Jaccard 0.8 or more
+        n, more = (60, 12) if k % 2 else (20, 4)
+        b = base(n)
+        rows += [(2 * k, b), (2 * k + 1, f"{b} {base(more)}")]
+    assert kept_by_near_duplicates(spark, rows) == sorted(rows[::2], key=str)
