@@ -305,18 +305,20 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = SHINGLE) -> DataFrame:
-    """Pipeline stage: of each class only the row with the smallest doc_id stays, one where rows repeat.
+    """Pipeline stage: of each class only the row with the smallest doc_id stays, one where ids repeat.
 
-    Only ids, fingerprints and prefixes are stored; texts pass once, through the join with the ids kept,
+    A row is known by its id and the hash of its text, so different texts of one id, or of none, stay apart. Only ids, fingerprints and prefixes are stored; texts pass once, through the join with the ids kept,
     and those to be compared once more. A null id stands before all others.
     """
     rows = _common.hidden(docs).withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
     rows = rows.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     sketched = _common.materialise(_sketches(rows, words))
-    small = sketched.select(F.col("key").alias("doc_id"), "fp")
-    kept = _common.materialise(small.join(classes(small, similar(sketched, rows, words)), "fp").where("doc_id = component_id").groupBy(F.col("doc_id").alias("key")).agg(F.count(F.lit(1)).alias("times")))
-    out = rows.join(kept.select("key"), "key", "left_semi")
-    again = kept.where("times > 1").select("key")
-    if not again.isEmpty():  # only rows of repeated ids need to be told apart
-        out = out.join(again, "key", "left_anti").unionByName(out.join(again, "key", "left_semi").dropDuplicates(["key"]))
+    small = sketched.select(F.struct("key", "th").alias("doc_id"), "fp")
+    kept = small.join(classes(small, similar(sketched, rows, words)), "fp").where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+    kept = _common.materialise(kept.select("doc_id.*", "times"))
+    out = rows.join(kept.select("key", "th"), ["key", "th"], "left_semi")
+    again = kept.where("times > 1").select("key", "th")
+    if not again.isEmpty():  # only rows that repeat id and text need to be told apart
+        both = ["key", "th"]
+        out = out.join(again, both, "left_anti").unionByName(out.join(again, both, "left_semi").dropDuplicates(both))
     return _common.shown(out, docs)

@@ -409,3 +409,10 @@ def test_short_and_extended_copies_meet(spark):
         b = base(n)
         rows += [(2 * k, b), (2 * k + 1, f"{b} {base(more)}")]
     assert kept_by_near_duplicates(spark, rows) == sorted(rows[::2], key=str)
+
+
+def test_null_and_repeated_ids_keep_their_own_texts(spark):
+    g = random.Random(3)
+    a, b, c, d = (" ".join(f"u{g.randrange(10**6)}" for _ in range(40)) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d), (3, d), (9, a)]
+    assert kept_by_near_duplicates(spark, rows) == sorted([(None, a), (None, b), (7, c), (3, d)], key=str)
