@@ -149,7 +149,7 @@ def noise_cleaned(s, d):
 
 @register("gap_test")
 def gap_test(s, d):
-    return rounded(spectral.gap_test(edges(s, d), "d", ensemble=200), "gap", "p")
+    return rounded(spectral.gap_test(edges(s, d), "d"), "gap", "p")
 
 
 _TRI = "select a.d, a.s, count(*) tri from twin a join twin b on a.d = b.d and a.t = b.s join twin e on e.d = a.d and e.s = b.t and e.t = a.s group by 1, 2"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from riskweave.functions.distributions import beta_inc, f_upper, normal_cdf, t_two_sided
 from riskweave.operators import contagion, learning, network, risk, spectral, stats, timeseries
 from riskweave.operators.components import connected_components
+from riskweave.sources import views as v
 
 EDGES = [(0, 0, 1, 1.0), (0, 0, 2, 1.0), (0, 1, 2, 1.0), (0, 1, 3, 1.0), (0, 2, 4, 1.0), (0, 3, 4, 1.0)]
 
@@ -150,3 +151,17 @@ def test_simulation_repeats_with_its_seed(spark):
 def test_unknown_regressor():
     with pytest.raises(ValueError):
         learning.regressor("deep", "y")
+
+
+def test_registered_queries_use_all_banks_and_the_reference_counts(spark, monkeypatch):
+    from riskweave.plans import catalog
+
+    data, queries, seen = "/root/testdata/sf0.001", catalog.queries(), {}
+    granger, gap_test = learning.granger, spectral.gap_test
+    monkeypatch.setattr(learning, "granger", lambda r, lags=2, **k: seen.update(lags=lags, banks=r.select("bank").distinct().count(), all=granger(r, lags, **k)) or seen["all"])
+    monkeypatch.setattr(spectral, "gap_test", lambda e, by, ensemble=1000, **k: seen.update(ensemble=ensemble) or gap_test(e, by, ensemble, **k))
+    queries["granger_links"](spark, data)
+    queries["gap_test"](spark, data)
+    banks = v.ret(spark, data).select("bank").distinct().count()
+    assert banks > 8 and seen["banks"] == banks and seen["lags"] == 5 and seen["ensemble"] == 1000
+    assert queries["bootstrap_mean"](spark, data).first()["replicates"] == 10000
