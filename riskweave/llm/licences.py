@@ -149,13 +149,21 @@ def _expression_at(line: str) -> str:
         if m.group(1) is None:
             break
         tokens.append(m.group(1))
-    for end in range(min(len(tokens), 64), 0, -1):
-        try:
-            postfix(tokens[:end])
-        except ValueError:
-            continue
-        return " ".join(tokens[:end])
-    return ""
+    end, depth, operand = 0, 0, False  # the state of ``postfix``: where it was last complete
+    for k, t in enumerate(tokens, 1):
+        if t.lower() in _BINDS or t == ")":
+            if not operand or (t == ")" and not depth):
+                break
+            depth -= t == ")"
+            operand = t == ")"
+        else:
+            if operand:
+                break
+            depth += t == "("
+            operand = t != "("
+        if operand and not depth:
+            end = k
+    return " ".join(tokens[:end])
 
 
 def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float]:

@@ -416,3 +416,20 @@ def test_null_and_repeated_ids_keep_their_own_texts(spark):
     a, b, c, d = (" ".join(f"u{g.randrange(10**6)}" for _ in range(40)) for _ in range(4))
     rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d), (3, d), (9, a)]
     assert kept_by_near_duplicates(spark, rows) == sorted([(None, a), (None, b), (7, c), (3, d)], key=str)
+
+
+def test_long_licence_expressions_are_read_whole():
+    long = " OR ".join(f"L{k}" for k in range(100))
+    assert licences._expression_at(f"{long} OR MIT") == f"{long} OR MIT"
+    assert licences._expression_at(f"({long}) and more") == f"( {long} ) and more"
+    g = random.Random(4)
+    for _ in range(3000):
+        tokens = [g.choice(["(", ")", "MIT", "x", "OR", "and", "with"]) for _ in range(g.randrange(9))]
+        end = len(tokens)
+        while end:
+            try:
+                licences.postfix(tokens[:end])
+                break
+            except ValueError:
+                end -= 1
+        assert licences._expression_at(" ".join(tokens)) == " ".join(tokens[:end])
