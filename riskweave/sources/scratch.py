@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset, one of our own."""
+    """The folder named by spark.checkpoint.dir; only where that is unset and all runs on one machine, one of our own."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="riskweave-shared-")
         sc.setCheckpointDir(found)
@@ -31,7 +33,7 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
     Every executor and the driver see these files, so a lost executor costs nothing
-    that was computed before. They go when the interpreter ends.
+    that was computed before. They go with ``forget``, or else when the interpreter ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/riskweave/{uuid.uuid4().hex}"
@@ -44,4 +46,12 @@ def materialise(df: DataFrame) -> DataFrame:
             pass
 
     atexit.register(gone)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of frames that ``materialise`` returned and that nothing reads any more."""
+    for df in frames:
+        _delete(df.sparkSession, df._scratch)
