@@ -9,9 +9,9 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.sources.scratch import materialise, shared_dir
+from riskweave.sources.scratch import forget, materialise, shared_dir
 
-__all__ = ["held_out", "hidden", "materialise", "shared_dir", "ship", "shown", "table", "whole_text"]
+__all__ = ["forget", "held_out", "hidden", "materialise", "shared_dir", "ship", "shown", "table", "whole_text"]
 
 _SHIPPED: set[str] = set()
 

@@ -17,12 +17,14 @@ components of the links.
 ``keep_one`` also links texts whose five-word shingles are alike (Jaccard 0.8 or more). Those
 lie further apart than 3 bits, so there the keys are shingles: with all shingles in one order,
 sets of n and m of that similarity share one of the first n - ceil(0.8 n) + 1 and m - ceil(0.8 m)
-+ 1. All pairs of a key's group are verified by the shingles themselves, but those that other
-links join already.
++ 1. Only those keys are dealt out, with the hash of the set; groups of one go at once. Sizes and odd
+sketches (Mitzenmacher, Pagh and Pham, 2014) rule out pairs that can't be alike, and all others are verified by
+the shingles themselves, but those that other links join already.
 
 Null text is the empty text; texts without words have the fingerprint zero and link like
-any other. Repeated rows share a class. Rows with a null id get the class of their
-fingerprint. An empty table gives no rows.
+any other. Texts are hashed whole, in blocks, however long. Repeated rows share a class. Rows with
+a null id get the class of their fingerprint. Columns other than ``doc_id`` and ``text`` are not
+read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -49,6 +51,12 @@ SIMILARITY = 0.8
 #: Texts that show which shingles are common, and the most such shingles held; neither changes which pairs are found.
 SAMPLE = 8000
 COMMON = 1 << 17
+#: Members of a key's group that are held against each other before it is parted by further shingles, and how often it is.
+CROWD = 64
+LEVELS = 3
+#: Bits, at most, of the bitmap that holds texts back, and sets that a task remembers; neither changes the result.
+BITMAP = 1 << 25
+SEEN = 1 << 20
 #: Bits of each segment, from the lowest.
 SEGMENTS = (22, 21, 21)
 #: Generator polynomial of the [23, 12] Golay code.
@@ -156,11 +164,11 @@ def links(fps: DataFrame) -> DataFrame:
     return left.join(right, "key").where(close).select("source", "target").distinct()
 
 
-def classes(rows: DataFrame, more: DataFrame | None = None) -> DataFrame:
-    """(fp, component_id) of all fingerprints in ``rows`` (doc_id, fp): the smallest doc_id reachable; ``more`` has further links."""
+def classes(rows: DataFrame, more: DataFrame | None = None, known: bool = False) -> DataFrame:
+    """(fp, component_id) of all fingerprints in ``rows`` (doc_id, fp): the smallest doc_id reachable; ``more`` has further links, or with ``known`` all of them."""
     least = _common.materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    linked = links(least) if more is None else links(least).unionByName(more)
-    found = connected_components(_common.materialise(linked))
+    linked = more if known else _common.materialise(links(least) if more is None else links(least).unionByName(more))
+    found = connected_components(linked)
     return (
         least.join(found, least["fp"] == found["node"], "left")
         .select("fp", "least", F.coalesce("component", "fp").alias("root"))
@@ -181,13 +189,28 @@ def shingles(text: str, words: int = SHINGLE) -> np.ndarray:
     return np.unique(_hashes(text, words)).view(np.int64)
 
 
-def prefix(sh: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles of ``sh`` (sorted), of which sets of Jaccard SIMILARITY share one: those in ``common`` (sorted) come last, by ``rank``."""
+def prefix(sh: np.ndarray, common: np.ndarray, rank: np.ndarray, more: int = 0) -> np.ndarray:
+    """The first shingles of ``sh`` (sorted), of which sets of Jaccard SIMILARITY share one, or 1 + ``more``: those in ``common`` (sorted) come last, by ``rank``."""
     if len(common) and len(sh):
         at = np.minimum(np.searchsorted(common, sh), len(common) - 1)
         late = common[at] == sh
         sh = np.concatenate([sh[~late], sh[late][np.argsort(rank[at[late]])]])
-    return sh[: len(sh) - math.ceil(SIMILARITY * len(sh) - 1e-6) + 1]
+    return sh[: len(sh) - math.ceil(SIMILARITY * len(sh) - 1e-6) + 1 + more]
+
+
+def odd_sketch(sh: np.ndarray) -> bytes:
+    """Parity of the shingles that fall on each of 2n to 4n bits, a power of two and 64 at least.
+
+    Two sets differ in at least as many shingles as their sketches differ in bits, so a sketch can only rule pairs out that truly are unlike.
+    """
+    bits = max(64, 1 << int(2 * len(sh) - 1).bit_length())
+    return np.packbits(np.bincount(sh & (bits - 1), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Number of differing bits of two odd sketches, the longer one folded to the size of the other."""
+    x, y = (np.frombuffer(s, dtype=np.uint64) for s in ((a, b) if len(a) >= len(b) else (b, a)))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0) ^ y).sum())
 
 
 def _common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,95 +230,133 @@ def _common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _sketches(rows: DataFrame, words: int) -> DataFrame:
-    """(key, th, fp, n, pre): the fingerprint of word shingles, their number, and the prefix of their set, null where its task had the text already."""
+    """(key, th, fp, sid, n, pre, odd): fingerprint of word shingles, hash of their set, its size, first shingles and odd sketch.
+
+    ``pre`` and ``odd`` are null where the task had the set already, and for sets of fewer than 4, which are alike only when equal.
+    """
     _common.ship(rows.sparkSession)
     common, rank = _common_shingles(rows, words)
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            fps, ns, pres = [], [], []
-            for th, t in zip(batch.column("th").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            out = []
+            for t in batch.column("text").to_pylist():
                 h = _hashes(t or "", words)
                 ones = np.zeros(64, dtype=np.int64)
                 for at in range(0, len(h), BLOCK):
                     ones += np.unpackbits(h[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-                fps.append(int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0]))
+                fp = int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
                 sh = np.unique(h).view(np.int64)
                 sh.sort()
-                ns.append(len(sh))
-                pres.append(None if th in seen or not len(sh) else prefix(sh, common, rank))
-                seen.add(th)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("th"), pa.array(fps, pa.int64()), pa.array(ns, pa.int32()), pa.array(pres, pa.list_(pa.int64()))], names=["key", "th", "fp", "n", "pre"])
-
-    return rows.select("key", "th", "text").mapInArrow(run, "key long, th long, fp long, n int, pre array<long>")
-
+                sid = xxhash.xxh64_intdigest(sh.tobytes(), SEED) - (1 << 63)
+                known = sid in seen or len(sh) < 4
+                out.append((fp, sid, len(sh), None if known else prefix(sh, common, rank, LEVELS - 1), None if known else odd_sketch(sh)))
+                if len(seen) < SEEN:
+                    seen.add(sid)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+            cols = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("th"), *cols], names=["key", "th", "fp", "sid", "n", "pre", "odd"])
 
-def _met(a: str, b: str):
-    """May the sets of a and b, whose first common shingle is this, be alike? By their sizes and its places."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    need = SIMILARITY / (1 + SIMILARITY) * (n + m) - 1e-6
-    return (F.col(f"{a}.fp") != F.col(f"{b}.fp")) & (F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos")) >= need)
+    return rows.select("key", "th", "text").mapInArrow(run, "key long, th long, fp long, sid long, n int, pre array<long>, odd binary")
 
 
-def _pair(a: str, b: str):
-    """Texts and fingerprints of a and b, the lesser fingerprint first."""
-    x, y = (F.struct(F.col(f"{c}.fp"), F.col(f"{c}.th")) for c in (a, b))
-    return F.struct(F.least(x, y).alias("s"), F.greatest(x, y).alias("t"))
+def _alike(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """The ``pairs`` (a, b) of shingle sets that are alike; ``sets`` (sid, th, n, odd) names a text of each, ``rows`` (th, text) holds it.
 
+    Sizes and odd sketches rule most pairs out; the shingles themselves decide on the rest.
+    """
 
-def _alike(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """(source, target) of the fingerprints in ``pairs`` (s, t) whose texts, in ``rows`` (th, text), are alike."""
-    pairs = _common.materialise(pairs.distinct())
-    wanted = _common.materialise(pairs.select(F.explode(F.array("s.th", "t.th")).alias("th")).distinct())
-    # a bitmap of the wanted hashes holds most other texts back from the shuffle
-    bits = 1 << max(10, (8 * wanted.count()).bit_length())
+    def possible(batches):
+        for batch in batches:
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            most = (1 - SIMILARITY) / (1 + SIMILARITY) * (n + m) + 1e-6  # that sets so large and alike may differ in
+            fits = np.abs(n - m) <= most
+            odd = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), fits, most, strict=True)
+            yield batch.filter(pa.array([bool(f) and least_difference(x, y) <= d for x, y, f, d in odd], pa.bool_())).select(["a", "b", "s", "t"])
+
+    small = sets.select("sid", "th", "n", "odd")
+    both = pairs.distinct().join(small.toDF("a", "s", "n", "x"), "a").join(small.toDF("b", "t", "m", "y"), "b")
+    pairs = _common.materialise(both.select("a", "b", "s", "t", "n", "m", "x", "y").mapInArrow(possible, "a long, b long, s long, t long"))
+    wanted = _common.materialise(pairs.select(F.explode(F.array("s", "t")).alias("th")).distinct())
+    # a bitmap of the wanted hashes, of bounded size, holds most other texts back from the shuffle
+    bits = min(BITMAP, 1 << max(10, (8 * wanted.count()).bit_length()))
     at = F.pmod("th", F.lit(bits))
     found = wanted.groupBy((at / 64).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(th, {bits}) % 64 as int))")).alias("v")).toArrow()
     bitmap = np.zeros(bits // 64, dtype=np.int64)
     bitmap[found.column("w").to_numpy()] = found.column("v").to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def held(batches):
         for batch in batches:
             place = batch.column("th").to_numpy() % bits
-            yield batch.filter(pa.array((bitmap[place // 64] >> (place % 64) & 1).astype(bool)))
+            yield batch.filter(pa.array((shared.value[place // 64] >> (place % 64) & 1).astype(bool)))
 
     def hashed(batches):
         for batch in batches:
-            sets = pa.array([shingles(t or "", words) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("th"), sets], names=["th", "sh"])
+            held_sets = pa.array([shingles(t or "", words) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("th"), held_sets], names=["th", "sh"])
 
     texts = rows.select("th", "text").mapInArrow(held, "th long, text string").join(wanted, "th", "left_semi").dropDuplicates(["th"])
-    sets = _common.materialise(texts.mapInArrow(hashed, "th long, sh array<long>"))
-    flat = pairs.select(F.col("s.fp").alias("source"), F.col("t.fp").alias("target"), F.col("s.th").alias("x"), F.col("t.th").alias("y"))
-    both = flat.join(sets.withColumnsRenamed({"th": "x", "sh": "a"}), "x").join(sets.withColumnsRenamed({"th": "y", "sh": "b"}), "y")
-    shared = F.size(F.array_intersect("a", "b"))
-    return _common.materialise(both.where(shared >= SIMILARITY * (F.size("a") + F.size("b") - shared)).select("source", "target").distinct())
+    whole = _common.materialise(texts.mapInArrow(hashed, "th long, sh array<long>"))
+    both = pairs.join(whole.toDF("s", "u"), "s").join(whole.toDF("t", "v"), "t")
+    common = F.size(F.array_intersect("u", "v"))
+    alike = _common.materialise(both.where(common >= SIMILARITY * (F.size("u") + F.size("v") - common) - 1e-6).select("a", "b"))
+    _common.forget(pairs, wanted, whole)
+    return alike
 
 
 def similar(sketched: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     """(source, target) of fingerprints in ``sketched`` whose texts, in ``rows`` (th, text), are alike: enough of them to join all that are.
 
-    First each member of a key's group is held against the group's first and last; then all
-    pairs of a group are, but those that are joined by then.
+    First each member of a key's group is held against the group's least; then the members that
+    are not joined by then are held against each other. A group of more than CROWD of them is parted by
+    the next shingle that its members hold: sets that share their first shingle of all share a
+    second one among one more of their first, and so on. Only what is crowded still at LEVELS is held
+    against each other as it is.
     """
-    posts = sketched.where("pre IS NOT NULL").select("th", "fp", "n", F.posexplode("pre").alias("pos", "k"))
+    sets = sketched.where("odd IS NOT NULL").groupBy("sid").agg(F.min("th").alias("th"), F.min("n").alias("n"), F.min("odd").alias("odd"), F.min("fp").alias("fp"))
+    sets = _common.materialise(sets)
     group = Window.partitionBy("k")
-    posts = posts.withColumns({"lo": F.min("fp").over(group), "hi": F.max("fp").over(group)}).where("lo < hi").drop("lo", "hi")
-    posts = _common.materialise(posts.select("k", F.struct("fp", "th", "n", "pos").alias("m")))
-    ends = posts.select("m", F.min("m").over(group).alias("first"), F.max("m").over(group).alias("last"))
-    met = F.array_compact(F.array(*(F.when(_met("m", c), _pair("m", c)) for c in ("first", "last"))))
-    linked = _alike(ends.select(F.explode(met).alias("p")).select("p.*"), rows, words)
-
-    near_too = linked.unionByName(links(sketched.select("fp").distinct()))
-    found = _common.materialise(connected_components(_common.materialise(near_too)))
-    c = posts.join(found, F.col("m.fp") == found["node"], "left").select("k", "m", F.coalesce("component", "m.fp").alias("c"))
-    c = c.withColumns({"lo": F.min("c").over(group), "hi": F.max("c").over(group)}).where("lo < hi")
-    c = _common.materialise(c.distinct())
-    a = c.where("c > lo").select("k", F.col("m").alias("a"), F.col("c").alias("ca"))
-    b = c.select("k", F.col("m").alias("b"), F.col("c").alias("cb"))
-    rest = a.join(b, "k").where((F.col("ca") > F.col("cb")) & _met("a", "b")).select(_pair("a", "b").alias("p")).select("p.*")
-    return linked.unionByName(_alike(rest, rows, words))
+    first = F.slice("pre", F.lit(1), F.size("pre") - (LEVELS - 1))
+    posts = sketched.where("pre IS NOT NULL").select(F.explode(first).alias("k"), "sid")
+    posts = posts.withColumns({"lo": F.min("sid").over(group), "hi": F.max("sid").over(group)}).where("lo < hi").drop("hi")
+    posts = _common.materialise(posts)
+    near = _alike(posts.where("sid > lo").select(F.col("lo").alias("a"), F.col("sid").alias("b")), sets, rows, words)
+
+    # texts of one set are alike, whatever their fingerprints
+    node = sets.select("sid", "fp")
+    same = sketched.select("sid", "fp").distinct().join(sketched.groupBy("sid").agg(F.min("fp").alias("least")), "sid").where("fp != least")
+    same = same.select(F.col("least").alias("source"), F.col("fp").alias("target"))
+
+    def by_fp(pairs: DataFrame) -> DataFrame:
+        return pairs.join(node.toDF("a", "source"), "a").join(node.toDF("b", "target"), "b").where("source != target").select("source", "target")
+
+    linked = _common.materialise(by_fp(near).unionByName(same).unionByName(links(sketched.select("fp").distinct())))
+    found = _common.materialise(connected_components(linked))
+    of = _common.materialise(node.join(found, F.col("fp") == F.col("node"), "left").select("sid", F.coalesce("component", "fp").alias("c")))
+    members = posts.select("k", "sid").distinct().join(of, "sid")
+    pre = sketched.where("pre IS NOT NULL").select("sid", "pre")
+    rest = None
+    for level in range(1, LEVELS + 1):
+        members = members.withColumns({"lo": F.min("c").over(group), "hi": F.max("c").over(group), "size": F.count(F.lit(1)).over(group)}).where("lo < hi").drop("lo", "hi")
+        members = _common.materialise(members)
+        few = members if level == LEVELS else members.where(F.col("size") <= CROWD)
+        a, b = few.select("k", F.col("sid").alias("a"), F.col("c").alias("ca")), few.select("k", F.col("sid").alias("b"), F.col("c").alias("cb"))
+        met = a.join(b, "k").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        rest = met if rest is None else rest.unionByName(met)
+        many = members.where(F.col("size") > CROWD)
+        if level == LEVELS or many.isEmpty():
+            break
+        if level == 1:
+            many = many.withColumn("at", F.lit(None).cast("int"))
+        held = many.select("k", "sid", "c", "at").join(pre.dropDuplicates(["sid"]), "sid")
+        last = F.coalesce("at", F.array_position("pre", F.col("k")).cast("int") - 1)
+        after = held.select("k", "sid", "c", last.alias("at"), F.posexplode(F.slice("pre", F.lit(1), F.size("pre") - (LEVELS - 1 - level))).alias("pos", "next"))
+        members = after.where("pos > at").select(F.xxhash64("k", "next").alias("k"), "sid", "c", F.col("pos").alias("at"))
+    out = _common.materialise(linked.unionByName(by_fp(_alike(rest, sets, rows, words))))
+    _common.forget(posts, sets, linked, found, of)
+    return out
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,15 +368,19 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = SHINGLE) -> DataFrame:
     """Pipeline stage: of each class only the row with the smallest doc_id stays, one where ids repeat.
 
-    A row is known by its id and the hash of its text, so different texts of one id, or of none, stay apart. Only ids, fingerprints and prefixes are stored; texts pass once, through the join with the ids kept,
-    and those to be compared once more. A null id stands before all others.
+    A row is known by its id and the hash of its text, so different texts of one id, or of none, stay apart. Only ids, fingerprints, first
+    shingles and sketches are stored; texts pass once, through the join with the ids kept, and those to be compared once more. A null
+    id stands before all others. Columns of any other name pass unread. An empty table gives no rows.
     """
     rows = _common.hidden(docs).withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
     rows = rows.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     sketched = _common.materialise(_sketches(rows, words))
     small = sketched.select(F.struct("key", "th").alias("doc_id"), "fp")
-    kept = small.join(classes(small, similar(sketched, rows, words)), "fp").where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+    more = similar(sketched, rows, words)
+    found = classes(small, more, known=True)
+    kept = small.join(found, "fp").where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
     kept = _common.materialise(kept.select("doc_id.*", "times"))
+    _common.forget(sketched, more)
     out = rows.join(kept.select("key", "th"), ["key", "th"], "left_semi")
     again = kept.where("times > 1").select("key", "th")
     if not again.isEmpty():  # only rows that repeat id and text need to be told apart

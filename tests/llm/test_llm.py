@@ -433,3 +433,51 @@ def test_long_licence_expressions_are_read_whole():
             except ValueError:
                 end -= 1
         assert licences._expression_at(" ".join(tokens)) == " ".join(tokens[:end])
+
+
+@pytest.mark.parametrize("crowd", [2, 64])
+def test_near_duplicates_equal_a_search_of_all_pairs(spark, monkeypatch, crowd):
+    """Groups of many unequal copies, a passage that most texts share, and shingles in no helpful order."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "_common_shingles", lambda rows, words: (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)))
+    g = random.Random(5)
+    word = lambda: f"t{g.randrange(10**6)}"
+    shared = [word() for _ in range(25)]
+    rows = []
+    for _ in range(12):
+        base = [word() for _ in range(g.choice([8, 30, 90]))] + shared * g.randrange(2)
+        for _ in range(g.choice([1, 2, 9])):
+            copy = list(base)
+            for _ in range(g.randrange(4)):
+                copy[g.randrange(len(copy))] = word()
+            rows.append((len(rows), " ".join(copy[: len(copy) - g.randrange(3)])))
+    sets = [set(simhash.shingles(t).tolist()) for _, t in rows]
+    fps = [simhash.fingerprint(t, 5) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    links = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or bin((fps[a] ^ fps[b]) & (2**64 - 1)).count("1") <= 3:
+                links += 1
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    assert links > 20
+    assert kept_by_near_duplicates(spark, rows) == sorted((r for k, r in enumerate(rows) if top(k) == k), key=str)
+
+
+def test_odd_sketches_never_rule_out_more_than_the_difference():
+    g = np.random.default_rng(6)
+    for _ in range(300):
+        pool = g.integers(-(2**63), 2**63 - 1, 400)
+        a, b = (np.unique(g.choice(pool, g.integers(4, 380))) for _ in range(2))
+        assert simhash.least_difference(simhash.odd_sketch(a), simhash.odd_sketch(b)) <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_pipeline_on_an_empty_table(spark, empty):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    assert pipeline.run(spark, empty).count() == 0
