@@ -51,8 +51,9 @@ SIMILARITY = 0.8
 #: Texts that show which shingles are common, and the most such shingles held; neither changes which pairs are found.
 SAMPLE = 8000
 COMMON = 1 << 17
-#: Members of a key's group that are held against each other before it is parted by further shingles, and how often it is.
+#: Members of a key's group that are held against each other before it is parted by size, then by further shingles, and how often it is.
 CROWD = 64
+LARGE_CROWD = 1024
 LEVELS = 3
 #: Bits, at most, of the bitmap that holds texts back, and sets that a task remembers; neither changes the result.
 BITMAP = 1 << 25
@@ -199,11 +200,11 @@ def prefix(sh: np.ndarray, common: np.ndarray, rank: np.ndarray, more: int = 0)
 
 
 def odd_sketch(sh: np.ndarray) -> bytes:
-    """Parity of the shingles that fall on each of 2n to 4n bits, a power of two and 64 at least.
+    """Parity of the shingles that fall on each of n to 2n bits, a power of two and 64 at least.
 
     Two sets differ in at least as many shingles as their sketches differ in bits, so a sketch can only rule pairs out that truly are unlike.
     """
-    bits = max(64, 1 << int(2 * len(sh) - 1).bit_length())
+    bits = max(64, 1 << int(len(sh) - 1).bit_length())
     return np.packbits(np.bincount(sh & (bits - 1), minlength=bits) & 1, bitorder="little").tobytes()
 
 
@@ -306,23 +307,36 @@ def _alike(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int) -> Da
     return alike
 
 
+def _placed(place: str, of: str = "") -> list:
+    end = f"_{of}" if of else ""
+    return [F.shiftright(place, 32).cast("int").alias(f"n{end}"), F.col(place).bitwiseAND(0xFFFFFFFF).cast("int").alias(f"at{end}")]
+
+
+def _fits(before: int):
+    """May sets of n_a and n_b, whose first common shingles are ``before`` others and those at places at_a and at_b, be alike? They share at most what follows."""
+    share = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + before
+    return share >= SIMILARITY / (1 + SIMILARITY) * (F.col("n_a") + F.col("n_b")) - 1e-6
+
+
 def similar(sketched: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     """(source, target) of fingerprints in ``sketched`` whose texts, in ``rows`` (th, text), are alike: enough of them to join all that are.
 
     First each member of a key's group is held against the group's least; then the members that
     are not joined by then are held against each other. A group of more than CROWD of them is parted by
-    the next shingle that its members hold: sets that share their first shingle of all share a
-    second one among one more of their first, and so on. Only what is crowded still at LEVELS is held
-    against each other as it is.
+    size, one of more than LARGE_CROWD by the next shingle that its members hold: sets that share one of their first
+    share a second one among those and one more, and so on. Only what is crowded still at LEVELS is
+    held against each other as it is.
     """
     sets = sketched.where("odd IS NOT NULL").groupBy("sid").agg(F.min("th").alias("th"), F.min("n").alias("n"), F.min("odd").alias("odd"), F.min("fp").alias("fp"))
     sets = _common.materialise(sets)
     group = Window.partitionBy("k")
     first = F.slice("pre", F.lit(1), F.size("pre") - (LEVELS - 1))
-    posts = sketched.where("pre IS NOT NULL").select(F.explode(first).alias("k"), "sid")
-    posts = posts.withColumns({"lo": F.min("sid").over(group), "hi": F.max("sid").over(group)}).where("lo < hi").drop("hi")
+    posts = sketched.where("pre IS NOT NULL").select("n", F.posexplode(first).alias("at", "k"), "sid")
+    posts = posts.select("k", "sid", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("place"))  # one number takes less room than two
+    posts = posts.withColumns({"lo": F.min("sid").over(group), "hi": F.max("sid").over(group), "there": F.min_by("place", "sid").over(group)}).where("lo < hi").drop("hi")
     posts = _common.materialise(posts)
-    near = _alike(posts.where("sid > lo").select(F.col("lo").alias("a"), F.col("sid").alias("b")), sets, rows, words)
+    apart = posts.where("sid > lo").select(F.col("lo").alias("a"), F.col("sid").alias("b"), *_placed("there", "a"), *_placed("place", "b"))
+    near = _alike(apart.where(_fits(0)).select("a", "b"), sets, rows, words)
 
     # texts of one set are alike, whatever their fingerprints
     node = sets.select("sid", "fp")
@@ -334,26 +348,28 @@ def similar(sketched: DataFrame, rows: DataFrame, words: int) -> DataFrame:
 
     linked = _common.materialise(by_fp(near).unionByName(same).unionByName(links(sketched.select("fp").distinct())))
     found = _common.materialise(connected_components(linked))
-    of = _common.materialise(node.join(found, F.col("fp") == F.col("node"), "left").select("sid", F.coalesce("component", "fp").alias("c")))
-    members = posts.select("k", "sid").distinct().join(of, "sid")
-    pre = sketched.where("pre IS NOT NULL").select("sid", "pre")
+    of = _common.materialise(sets.join(found, F.col("fp") == F.col("node"), "left").select("sid", F.coalesce("component", "fp").alias("c")))
+    members = posts.join(of, "sid").select("k", "sid", "c", *_placed("place"))
+    size = F.floor(F.log("n") / math.log(1 / SIMILARITY) + 1e-9).cast("int")
     rest = None
-    for level in range(1, LEVELS + 1):
-        members = members.withColumns({"lo": F.min("c").over(group), "hi": F.max("c").over(group), "size": F.count(F.lit(1)).over(group)}).where("lo < hi").drop("lo", "hi")
+    for level in range(LEVELS + 1):
+        most = CROWD if not level else LARGE_CROWD
+        members = members.withColumns({"lo": F.min("c").over(group), "hi": F.max("c").over(group), "crowd": F.count(F.lit(1)).over(group)}).where("lo < hi").drop("lo", "hi")
         members = _common.materialise(members)
-        few = members if level == LEVELS else members.where(F.col("size") <= CROWD)
-        a, b = few.select("k", F.col("sid").alias("a"), F.col("c").alias("ca")), few.select("k", F.col("sid").alias("b"), F.col("c").alias("cb"))
-        met = a.join(b, "k").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        few = members if level == LEVELS else members.where(F.col("crowd") <= most)
+        a, b = (few.select("k", *(F.col(c).alias(f"{c}_{x}") for c in ("sid", "n", "c", "at"))) for x in "ab")
+        met = a.join(b, "k").where((F.col("c_a") < F.col("c_b")) & _fits(max(0, level - 1))).select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b")).distinct()
         rest = met if rest is None else rest.unionByName(met)
-        many = members.where(F.col("size") > CROWD)
+        many = members.where(F.col("crowd") > most).drop("crowd")
         if level == LEVELS or many.isEmpty():
             break
-        if level == 1:
-            many = many.withColumn("at", F.lit(None).cast("int"))
-        held = many.select("k", "sid", "c", "at").join(pre.dropDuplicates(["sid"]), "sid")
-        last = F.coalesce("at", F.array_position("pre", F.col("k")).cast("int") - 1)
-        after = held.select("k", "sid", "c", last.alias("at"), F.posexplode(F.slice("pre", F.lit(1), F.size("pre") - (LEVELS - 1 - level))).alias("pos", "next"))
-        members = after.where("pos > at").select(F.xxhash64("k", "next").alias("k"), "sid", "c", F.col("pos").alias("at"))
+        if level == 0:  # alike sets are of the same or of neighbouring sizes, on a scale of steps of 1 / SIMILARITY
+            sized = many.withColumn("size", F.explode(F.array(size, size + 1)))
+            members = sized.select(F.xxhash64("k", "size").alias("k"), "sid", "n", "c", "at")
+        else:
+            held = many.join(sketched.where("pre IS NOT NULL").select("sid", "pre").dropDuplicates(["sid"]), "sid")
+            after = held.select("k", "sid", "n", "c", "at", F.posexplode(F.slice("pre", F.lit(1), F.size("pre") - (LEVELS - 1 - level))).alias("pos", "next"))
+            members = after.where("pos > at").select(F.xxhash64("k", "next").alias("k"), "sid", "n", "c", F.col("pos").alias("at"))
     out = _common.materialise(linked.unionByName(by_fp(_alike(rest, sets, rows, words))))
     _common.forget(posts, sets, linked, found, of)
     return out

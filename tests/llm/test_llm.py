@@ -439,6 +439,7 @@ def test_long_licence_expressions_are_read_whole():
 def test_near_duplicates_equal_a_search_of_all_pairs(spark, monkeypatch, crowd):
     """Groups of many unequal copies, a passage that most texts share, and shingles in no helpful order."""
     monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "LARGE_CROWD", crowd)
     monkeypatch.setattr(simhash, "_common_shingles", lambda rows, words: (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)))
     g = random.Random(5)
     word = lambda: f"t{g.randrange(10**6)}"
