@@ -1,19 +1,21 @@
 """Best-fit packing of token sequences by a configuration linear program.
 
 A configuration says how many pieces of each length one sequence holds. The program
-asks for the fewest configurations that cover the length histogram. It is solved over
+asks for the fewest configurations, fractions allowed, that hold the length histogram. It is solved over
 the histogram alone, at most ``capacity`` numbers whatever the corpus: multiplicative
 weights price the lengths, dynamic programming over the knapsack finds the
-configuration worth most at those prices, it is used as often as the counts left
-allow (which rounds as it goes), and lengths that lag behind gain weight. What is left
-is packed by best fit, largest first, on the histogram too.
+configurations worth most at those prices, each is used for a share of what is open, and
+lengths lose weight as they are held. The prices also bound the optimum from below. The solution is
+then rounded to whole sequences, and what rounding leaves, some thousandths of a large corpus, is
+packed by best fit, largest first, on the histogram too.
 
 Pieces then find their place by rank: the k-th piece of a length takes the k-th slot
 of that length. Ranks come from counters kept by each task and offsets per (task,
 length), so that a very common length is never sorted or held in one task.
 
 Null text is the empty text, which is one piece holding only the end id. Repeated rows
-are packed each on its own. An empty table gives no rows.
+are packed each on its own, very long texts are cut into many pieces. Columns other than ``doc_id`` and ``text`` are not read.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,12 +34,17 @@ from riskweave.llm import _common, bpe
 
 CAPACITY = 2048
 END_ID = 0
-#: Rounds of pricing; what is left then goes to best fit. Bounds the slot table too.
-ROUNDS = 200
+#: Rounds of pricing, at most, and columns that one pricing gives: they bound the slot table, and what they leave goes to best fit.
+ROUNDS = 400
+COLUMNS = 96
+#: A column that one of its lengths needs may be worth so much less than the best one.
+SLACK = 0.0005
 #: How much more a large piece is worth for its length at first: small ones fit later too.
-LARGE = 0.05
-#: How strongly a length that lags behind gains weight.
-RATE = 0.02
+LARGE = 0.02
+#: Share of a length that one column may hold, at most.
+STEP = 0.5
+#: How fast a length loses weight as more of it is held.
+SPREAD = 8.0
 #: Entries of the memo of each task.
 MEMO = 400_000
 
@@ -117,62 +124,108 @@ def pieces(df: DataFrame, capacity: int = CAPACITY, paths: tuple[str, str] | Non
     return rows.mapInArrow(run, PIECES)
 
 
-def price(worth: dict[int, float], left: dict[int, int], capacity: int) -> dict[int, int]:
-    """The configuration worth most that the counts left allow, by dynamic programming over the knapsack.
+def knapsack(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every room up to ``capacity`` the most that copies of ``lengths`` (ascending) in it are worth, and the place of one of them, -1 for none."""
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1, dtype=np.int64)
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    for room in range(1, capacity + 1):
+        k = fits[room]
+        if k:
+            gain = best[room - lengths[:k]] + worth[:k]
+            i = int(gain.argmax())
+            if gain[i] > best[room - 1]:
+                best[room], last[room] = gain[i], i
+                continue
+        best[room], last[room] = best[room - 1], -2  # as with one less
+    return best, last
+
+
+class Program:
+    """The configuration program of a histogram, solved by multiplicative weights.
+
+    Its columns are configurations, its rows say that all pieces of each length are held. ``columns`` has
+    (places of lengths with their numbers, use); together they hold every piece exactly. ``bound`` is the
+    best dual value seen: no packing, not even a fractional one, takes fewer sequences.
+    """
 
-    Copies of a length enter in bundles of 1, 2, 4, ..., and the largest lengths first, so that ties go to them.
+    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS):
+        self.lengths = np.array(sorted(n for n, c in counts.items() if c > 0), dtype=np.int64)
+        self.number = np.array([counts[n] for n in self.lengths.tolist()], dtype=np.float64)
+        self.columns: dict[tuple[tuple[int, int], ...], float] = {}
+        self.bound = float((self.lengths * self.number).sum() / capacity)
+        first = self.lengths * (1 + LARGE * self.lengths / capacity)
+        done = np.zeros(len(self.lengths))  # share of each length that is held
+        for k in range(rounds):
+            open_ = np.flatnonzero(done < 1 - 1e-9)
+            if not len(open_):
+                break
+            # weights start from the size of a length and fall with what is held of it
+            worth = first * np.exp(-(done - done[open_].min()) / SPREAD)
+            best, last = knapsack(self.lengths[open_], worth[open_], capacity)
+            if not k or len(open_) == len(done):
+                self.bound = max(self.bound, float((worth * self.number).sum() / best[capacity]))
+            value = worth[open_] + best[capacity - self.lengths[open_]]
+            near = np.flatnonzero(value >= (1 - SLACK) * best[capacity])
+            near = near[np.argsort(done[open_[near]], kind="stable")][:COLUMNS]
+            for i in near.tolist():
+                held, room = {int(open_[i]): 1}, capacity - int(self.lengths[open_[i]])
+                at = room
+                while last[at] != -1:
+                    if last[at] == -2:
+                        at -= 1
+                        continue
+                    j = int(open_[last[at]])
+                    held[j] = held.get(j, 0) + 1
+                    room, at = room - int(self.lengths[j]), at - int(self.lengths[j])
+                use = min(min(STEP, 1 - done[j]) * self.number[j] / a for j, a in held.items())
+                if use <= 1e-9:
+                    continue
+                for j, a in held.items():
+                    done[j] += a * use / self.number[j]
+                column = tuple(sorted(held.items()))
+                self.columns[column] = self.columns.get(column, 0.0) + use
+        self.done = done
+
+    def value(self) -> float:
+        return sum(self.columns.values())
+
+
+def rounded(program: Program, counts: dict[int, int]) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """Whole sequences from a program's columns, and the pieces that they leave.
+
+    The running sum of uses is rounded, so that all columns together make as many sequences as the
+    program says, less those whose pieces have run out.
     """
-    bundles = []
-    for n in sorted(left, reverse=True):
-        most, size = min(left[n], capacity // n), 1
-        while most > 0:
-            bundles.append((n, min(size, most)))
-            most -= size
-            size *= 2
-    best = np.zeros(capacity + 1)
-    took = np.zeros((len(bundles), capacity + 1), dtype=bool)
-    for i, (n, k) in enumerate(bundles):
-        gain = best[: capacity + 1 - n * k] + (worth[n] * k)
-        np.greater(gain, best[n * k :] + 1e-9, out=took[i, n * k :])
-        np.maximum(best[n * k :], gain, out=best[n * k :])
-    chosen: dict[int, int] = {}
-    c = capacity
-    for i in range(len(bundles) - 1, -1, -1):
-        if took[i, c]:
-            n, k = bundles[i]
-            chosen[n] = chosen.get(n, 0) + k
-            c -= n * k
-    return chosen
+    left, out, total, made = dict(counts), [], 0.0, 0
+    for column, use in program.columns.items():
+        total += use
+        times = int(total + 1e-6) - made
+        made += times
+        held = {int(program.lengths[j]): a for j, a in column}
+        times = min(times, *(left[n] // a for n, a in held.items()))
+        if times > 0:
+            out.append((held, times))
+            for n, a in held.items():
+                left[n] -= a * times
+    return out, {n: c for n, c in left.items() if c}
 
 
 def configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """[(pieces of each length in one sequence, number of such sequences)] that use up ``counts`` exactly."""
-    out: list[tuple[dict[int, int], int]] = []
+    """[(pieces of each length in one sequence, number of such sequences)] that use up ``counts`` exactly.
+
+    The program is solved and rounded; best fit puts what rounding leaves into the room left, and opens new sequences for what doesn't fit.
+    """
     left = {n: c for n, c in counts.items() if c > 0}
-    if left.get(capacity):
-        out.append(({capacity: 1}, left.pop(capacity)))
-    whole = dict(left)
-    weight = {n: 1.0 for n in left}
-    for _ in range(rounds):
-        if not left:
-            break
-        chosen = price({n: n * (1 + LARGE * n / capacity) * weight[n] for n in left}, left, capacity)
-        times = min(left[n] // k for n, k in chosen.items())
-        out.append((chosen, times))
-        for n, k in chosen.items():
-            left[n] -= k * times
-            if not left[n]:
-                del left[n]
-        share = sum(n * c for n, c in left.items()) / max(1, sum(n * whole[n] for n in left))
-        for n, c in left.items():
-            weight[n] *= float(np.exp(RATE * n / capacity * (c / whole[n] - share)))
-    out += _best_fit(left, capacity)
-    return out
-
-
-def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best fit, largest first, over counts: groups of equal sequences are filled together."""
+    full = left.pop(capacity, 0)
+    found, rest = rounded(Program(left, capacity, rounds), left)
+    return [({capacity: 1}, full)] * bool(full) + _best_fit(rest, capacity, found)
+
+
+def _best_fit(left: dict[int, int], capacity: int, begun: list[tuple[dict[int, int], int]] = ()) -> list[tuple[dict[int, int], int]]:
+    """Best fit, largest first, over counts, into sequences ``begun`` and new ones: groups of equal sequences are filled together."""
     groups: dict[int, list[tuple[dict[int, int], int]]] = {}  # by room left
+    for held, times in begun:
+        groups.setdefault(capacity - sum(n * a for n, a in held.items()), []).append((held, times))
     for n in sorted(left, reverse=True):
         c = left[n]
         while c:
@@ -215,7 +268,7 @@ def pack(df: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, paths: t
     by_task = _common.materialise(
         by_task.select("part", "length", "n", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     )
-    # At most ``capacity`` rows come to the driver.
+    # At most ``capacity`` rows come to the driver, and the slots are bounded by rounds, columns and capacity.
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = spark.sparkContext.broadcast(slots(configurations(counts, capacity, rounds)))
 
@@ -233,7 +286,8 @@ def pack(df: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, paths: t
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    return cut_up.join(by_task.drop("n"), ["part", "length"]).mapInArrow(
+    # the table of tasks and lengths grows with the corpus, so it must not be broadcast
+    return cut_up.join(by_task.drop("n").hint("merge"), ["part", "length"]).mapInArrow(
         place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
 
