@@ -3,11 +3,14 @@
 One pass of the automaton over a text's words finds identifier tags and notice phrases.
 What follows a tag is read as a licence expression: a shunting-yard parser turns
 ``and``, ``or``, ``with`` and parentheses into postfix order, and its evaluation gives
-the licences named and whether all that the expression demands is permissive.
+the licences that bind: both sides of ``and``; of ``or`` the side that is permissive throughout, or
+both where neither is or both are; with an exception its own label. These enter ``labels``; all that
+was named stands in ``named``, and ``permissive`` says whether nothing that binds is restrictive.
 
 Words are runs of characters other than ASCII punctuation and white space, A-Z
-lower-cased. Null text is the empty text: no words, no labels, score 0. Repeated rows
-are scanned each on its own. A malformed expression gives no label of its own.
+lower-cased. Null text is the empty text: no words, no labels, score 0, ``permissive`` null as wherever no
+licence is found. Repeated rows are scanned each on its own, very long texts whole, in one pass. Columns other than
+``doc_id`` and ``text`` are not read. A malformed expression gives no label of its own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -59,7 +62,9 @@ IDENTIFIERS = {
 }
 PERMISSIVE = {"apache", "bsd", "bsl", "cc-by", "cc0", "isc", "mit", "public-domain"}
 #: Confidence of each kind of evidence; they combine as independent.
-WEIGHT = {"expression": 0.99, "base": 0.9, "notice": 0.8, "weak": 0.3}
+WEIGHT = {"expression": 0.99, "choice": 0.97, "base": 0.9, "notice": 0.8, "weak": 0.3}
+#: Ends the label of a licence that an exception goes with.
+EXCEPTION = "-exception"
 WEAK = {"proprietary", "public-domain", "cc0"}
 
 #: ASCII that parts words becomes a space; A-Z are lower-cased.
@@ -105,26 +110,30 @@ def postfix(tokens: list[str]) -> list[str]:
 
 
 def label_of(identifier: str) -> str | None:
+    """The label of an identifier: of a known name alone, or followed by a version or a variant."""
     low = identifier.lower()
-    for prefix in sorted(IDENTIFIERS, key=len, reverse=True):
-        if low.startswith(prefix):
-            return IDENTIFIERS[prefix]
+    for name in sorted(IDENTIFIERS, key=len, reverse=True):
+        if low.startswith(name) and not low[len(name) :][:1].isalpha():
+            return IDENTIFIERS[name]
     return None
 
 
-def evaluate(expression: str) -> tuple[set[str], bool]:
-    """Labels named, and whether some choice of the alternatives is permissive throughout."""
-    stack: list[tuple[set[str], bool]] = []
+def evaluate(expression: str) -> tuple[set[str], bool, set[str]]:
+    """Labels that bind, whether some choice of the alternatives is permissive throughout, and all labels named."""
+    stack: list[tuple[set[str], bool, set[str]]] = []
     for t in postfix(_TOKEN.findall(expression)):
-        if t in _BINDS:
-            (right, right_free), (left, left_free) = stack.pop(), stack.pop()
-            if t == "with":  # an exception changes the terms of what is left of it, and names no licence
-                stack.append((left, left_free))
-            else:
-                stack.append((left | right, left_free or right_free if t == "or" else left_free and right_free))
-        else:
+        if t.lower() not in _BINDS:
             label = label_of(t)
-            stack.append(({label} if label else set(), label in PERMISSIVE))
+            own = {label} if label else set()
+            stack.append((own, label in PERMISSIVE, own))
+            continue
+        (right, right_free, right_named), (left, left_free, left_named) = stack.pop(), stack.pop()
+        if t == "with":  # an exception changes the terms of what is left of it, and names no licence
+            stack.append(({x if x.endswith(EXCEPTION) else x + EXCEPTION for x in left}, left_free, left_named))
+        elif t == "and" or left_free == right_free:
+            stack.append((left | right, left_free and right_free if t == "and" else left_free, left_named | right_named))
+        else:
+            stack.append((left if left_free else right, True, left_named | right_named))
     return stack[0]
 
 
@@ -166,12 +175,15 @@ def _expression_at(line: str) -> str:
     return " ".join(tokens[:end])
 
 
-def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
-    """n_words, n_base, first_word, last_word, base_labels, labels and score of one text."""
+def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float, str, bool | None]:
+    """n_words, n_base, first_word, last_word, base_labels, labels, score, named and permissive of one text."""
     words = text.encode().translate(_FOLD).split()
     joined = " " + b" ".join(words).decode() + " "
     base: set[str] = set()
     labels: set[str] = set()
+    named: set[str] = set()
+    spoken: set[str] = set()  # what expressions say
+    free: list[bool] = []
     n_base, first, last, miss, tagged = 0, None, None, 1.0, False
     at, count = 0, 0  # word number of the last place looked at: matches come in order of their ends
     for end, (kind, label, length) in _automaton().iter(joined):
@@ -193,17 +205,22 @@ def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
         for m in _LINE.finditer(text):
             stop = text.find("\n", m.end())
             expression = _expression_at(text[m.end() : stop if stop >= 0 else len(text)])
-            named = evaluate(expression)[0] if expression else set()
-            if named:
-                labels |= named
-                miss *= 1 - WEIGHT["expression"]
-    return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(base | labels)), 1 - miss
+            binding, permissive, all_named = evaluate(expression) if expression else (set(), False, set())
+            if all_named:
+                named |= all_named
+                spoken |= binding
+                free.append(permissive)
+                # what leaves a choice is weaker evidence of any one licence
+                miss *= 1 - WEIGHT["expression" if {x.removesuffix(EXCEPTION) for x in binding} == all_named else "choice"]
+    free += [x in PERMISSIVE for x in base | labels]
+    found = base | labels | spoken
+    return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(found)), 1 - miss, ",".join(sorted(base | labels | named)), all(free) if found else None
 
 
 def scan_documents(df: DataFrame) -> DataFrame:
     """One row per row of ``df``: doc_id and what ``scan`` finds in its whole text."""
     _common.ship(df.sparkSession)
-    kinds = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())]
+    kinds = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("named", pa.string()), ("permissive", pa.bool_())]
 
     def run(batches):
         for batch in batches:
@@ -212,7 +229,7 @@ def scan_documents(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", *(n for n, _ in kinds)])
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return rows.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, named string, permissive boolean")
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
