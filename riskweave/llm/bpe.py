@@ -231,13 +231,16 @@ class StreamingEncoder:
         self.tail += chunk
         if self.run is not None:
             out += self._continue_run(last=False)
-        if self.run is None:
+        while self.run is None:
+            before = len(self.tail)
             m = self.BOUNDARY.search(self.tail)
             if m:
                 out += self._safe(self.tail[: m.start()])
                 self.tail = self.tail[m.start() :]
-            elif len(self.tail) > self.limit:
+            elif before > self.limit:
                 out += self._drain()
+            if len(self.tail) == before:
+                break
         return out
 
     def finish(self) -> list[int]:
@@ -251,11 +254,13 @@ class StreamingEncoder:
     def _drain(self) -> list[int]:
         """No lone space in a long stretch: emit pre-tokens that can no longer change, or enter a run."""
         out: list[int] = []
+        if self.special is not None:
+            end = max((s.end() for s in self.special.finditer(self.tail)), default=0)
+            if end:
+                out += self._piece(self.tail[:end])
+                self.tail = self.tail[end:]
+                return out
         until = len(self.tail) - self.hold
-        if self.special is not None and (s := self.special.search(self.tail)):
-            out += self._piece(self.tail[: s.end()])
-            self.tail = self.tail[s.end() :]
-            return out
         at, cut = 0, None
         for m in self.pattern.finditer(self.tail):
             if m.end() >= until:

@@ -102,6 +102,16 @@ def test_bpe_window_stays_constant(public):
     assert whole == library.encode("ab" * 40_000, add_special_tokens=False).ids
 
 
+def test_bpe_holds_little_of_a_run_of_special_tokens(public):
+    library, merges = public
+    encoder, t = bpe.StreamingEncoder(merges), "<|endoftext|>" * 20_000
+    ids = []
+    for k in range(0, len(t), 1000):
+        ids += encoder.feed(t[k : k + 1000])
+        assert len(encoder.tail) <= encoder.limit + 1000
+    assert ids + encoder.finish() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_lookahead_bounds_what_the_right_side_changes():
     # tokens a, b, c, ab, bc, bcc...: a longer chain needs a longer lookahead
     names = [b"a", b"b", b"c", b"bc", b"ab", b"cc"]
@@ -149,6 +159,23 @@ def test_packing_holds_every_piece_once(spark, sf, public):
     assert len(by) <= -(-total // 2048) + 1
 
 
+def test_packing_solves_its_program():
+    g = random.Random(8)
+    for counts in ({n: g.randint(1, 9) for n in range(600, 1100)}, {n: 1 + 2000 // n for n in range(3, 1800, 2)}):
+        program = packing.Program(counts)
+        held = Counter()
+        for column, use in program.columns.items():
+            assert use > 0 and sum(int(program.lengths[j]) * a for j, a in column) <= 2048
+            for j, a in column:
+                held[int(program.lengths[j])] += a * use
+        assert all(held[n] <= c * (1 + 1e-9) for n, c in counts.items()) and sum(held.values()) > 0.9 * sum(counts.values())
+        for times, most in ((1, 0.5), (100, 0.02)):  # most pieces come through the program, nearly all where there are many
+            many = {n: c * times for n, c in counts.items()}
+            assert sum(packing.rounded(packing.Program(many), many)[1].values()) < most * sum(many.values())
+        used = sum(t for _, t in packing.configurations(counts))
+        assert program.bound <= used <= sum(t for _, t in packing._best_fit(counts, 2048))
+
+
 @pytest.mark.parametrize("counts", [{}, {5: 1}, {2048: 7}, {1025: 10, 1023: 10}, {700: 3, 690: 3, 658: 3}, {k: 1 + k % 3 for k in range(1, 2049, 7)}])
 def test_configurations_use_up_the_counts(counts):
     found = packing.configurations(counts, rounds=50)
@@ -333,8 +360,13 @@ def test_licence_scan(spark, sf):
 
 def test_licence_expressions():
     assert licences.postfix("MIT or Apache-2.0 and GPL-2.0 with x".split()) == ["MIT", "Apache-2.0", "GPL-2.0", "x", "with", "and", "or"]
-    assert licences.evaluate("(MIT OR GPL-3.0) AND BSD-3-Clause") == ({"mit", "gpl", "bsd"}, True)
-    assert licences.evaluate("MIT AND GPL-3.0")[1] is False
+    assert licences.evaluate("(MIT OR GPL-3.0) AND BSD-3-Clause") == ({"mit", "bsd"}, True, {"mit", "gpl", "bsd"})
+    assert licences.evaluate("MIT AND GPL-3.0") == ({"mit", "gpl"}, False, {"mit", "gpl"})
+    assert licences.evaluate("GPL-2.0 WITH Classpath-exception-2.0 OR LGPL-2.1") == ({"gpl-exception", "lgpl"}, False, {"gpl", "lgpl"})
+    either, both = (licences.scan(f"SPDX-License-Identifier: MIT {op} GPL-2.0") for op in ("OR", "AND"))
+    assert (either[5], either[7], either[8]) == ("mit", "gpl,mit", True) and (both[5], both[8]) == ("gpl,mit", False) and either[6] < both[6]
+    assert licences.scan("SPDX-License-Identifier: Mitigation-1.0")[5] == "" and licences.label_of("GPL2") == "gpl"
+    assert licences.scan("SPDX-License-Identifier: " + "MIT AND " * 200 + "GPL-2.0")[5] == "gpl,mit"
     for bad in ("", "MIT OR", "(MIT", "MIT)", "AND MIT", "MIT GPL", "()"):
         with pytest.raises(ValueError):
             licences.postfix(licences._TOKEN.findall(bad))
