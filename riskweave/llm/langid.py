@@ -1,16 +1,21 @@
 """Language identification by prediction by partial matching (PPM).
 
 For each language a context tree counts the byte that follows every context of up to
-two bytes, over all training text. The tree is then frozen and each node turned into
-code lengths: a byte seen in the longest context is coded there, else an escape is paid
-(method C: distinct / (total + distinct)) and the next shorter context codes it, with
-the bytes already ruled out excluded, down to a uniform order. A text gets the language
-whose tree codes it in the fewest bits.
-
-Bytes are folded first: A-Z lower-cased, digits one symbol, white space one, other ASCII
-one; bytes from 128 up stay as they are. Null texts and texts with no letter are
-``und`` with score 0. Ties go to the smaller language name. Repeated rows are
-predicted each on its own; with nothing to learn from, everything is ``und``.
+``ORDER`` bytes in a bounded sample of its training text. The tree is pruned to the nodes
+seen most, so that its order varies from place to place, and then frozen. A byte seen in the
+longest context of the tree is coded there, else an escape is paid (method C: as often as the
+context has distinct bytes) and the next shorter context codes it, with the bytes already
+ruled out excluded, down to a uniform order. A text gets the language whose tree
+codes it in the fewest bits.
+
+Each text is counted and coded alone, from an empty context, and code lengths are added as whole
+numbers of 2^-24 bits, so that nothing depends on how rows are dealt to tasks and batches.
+A-Z are lower-cased; otherwise bytes stand for themselves.
+
+Null texts and texts with no letter are ``und`` with score 0. Ties go to the smaller language
+name. Very long texts are coded whole, in blocks. Repeated rows are predicted each on its own;
+repeated texts count once in training. Columns other than ``text``, ``lang`` and ``doc_id`` are not
+read. With nothing to learn from, everything is ``und``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,124 +29,179 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from riskweave.llm import _common
 
-#: Folded symbols: 0 white space, 1 digit, 2 other ASCII, 3..28 letters, 29.. the bytes from 128 up.
-SYMBOLS = 29 + 128
-_CODE = np.full(256, 2, dtype=np.int32)
-_CODE[[9, 10, 11, 12, 13, 32]] = 0
-_CODE[48:58] = 1
-_CODE[97:123] = _CODE[65:91] = np.arange(3, 29)
-_CODE[128:] = np.arange(29, SYMBOLS)
-#: Bytes counted at a time, and languages counted at a time before a task gives out its counts.
-BLOCK = 1 << 21
-LANGUAGES = 6
+#: Longest context, in bytes.
+ORDER = 4
+#: Bounds of training: texts of a language, chosen by a hash, and nodes of the longest order of all languages together.
+TEXTS = 3000
+NODES = 1 << 19
+#: Bytes handled at a time.
+BLOCK = 1 << 20
+#: Places of the memo of code lengths.
+MEMO = 1 << 21
+UNIT = 1 << 24
+
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_EMPTY = bytes(ORDER)
 _LETTER = regex.compile(r"\p{L}")
 
 
-def symbols(text: str) -> np.ndarray:
-    return _CODE[np.frombuffer(text.encode(), dtype=np.uint8)]
+def grams(data: np.ndarray) -> np.ndarray:
+    """Each byte from place ORDER on, with the ORDER bytes before it, as one number; the byte itself lowest."""
+    n = len(data) - ORDER
+    out = np.zeros(n, dtype=np.int64)
+    for k in range(ORDER + 1):
+        out = out << 8 | data[k : k + n]
+    return out
 
 
-def trigrams(s: np.ndarray, size: int) -> np.ndarray:
-    """Code of each symbol with the two before it; a text starts after white space."""
-    s = np.concatenate([np.zeros(2, dtype=np.int32), s])
-    return (s[:-2] * size + s[1:-1]) * size + s[2:]
+def _bytes(text: str) -> bytes:
+    return _EMPTY + text.encode().translate(_LOWER)
 
 
 def counts(df: DataFrame) -> DataFrame:
-    """lang, code, n: how often each folded trigram stands in all text of each language."""
+    """lang, gram, n: how often each byte stands after the bytes before it in all text of each language."""
 
     def run(batches):
-        held: dict[str, np.ndarray] = {}
-
-        def out():
-            for lang, n in held.items():
-                code = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code, pa.int64()), pa.array(n[code], pa.int64())], names=["lang", "code", "n"])
-            held.clear()
-
         for batch in batches:
-            groups: dict[str, list[str]] = {}
+            texts: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                groups.setdefault(lang, []).append(text)
-            for lang, texts in groups.items():
-                if lang not in held:
-                    if len(held) >= LANGUAGES:
-                        yield from out()
-                    held[lang] = np.zeros(SYMBOLS**3, dtype=np.int64)
-                # two white spaces between texts are the context that each starts in
-                s = symbols("  ".join(texts))
-                for at in range(0, len(s), BLOCK):
-                    block = s[max(0, at - 2) : at + BLOCK]
-                    code = trigrams(block, SYMBOLS)[2 if at else 0 :]
-                    held[lang] += np.bincount(code, minlength=SYMBOLS**3)
-        yield from out()
-
-    return df.select("lang", "text").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-
-
-def code_lengths(n: np.ndarray) -> np.ndarray:
-    """Bits for each symbol in each context of two, from counts[a, b, c] of trigrams."""
-    size = n.shape[0]
-    n = n.astype(np.float64)
-    p = np.full(size, 1.0 / size)  # the order below all contexts: uniform
-
-    def order(count: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """Probabilities in one more context: own counts, else escape and the shorter context without what was seen."""
-        seen = count > 0
-        total, distinct = count.sum(-1, keepdims=True), seen.sum(-1, keepdims=True)
-        rest = np.where(seen, 0.0, below)
-        left = rest.sum(-1, keepdims=True)
-        full = left <= 0  # every symbol was seen: no escape is needed
-        escape = np.where(full, 0.0, distinct / np.maximum(total + distinct, 1))
-        escape = np.where(total == 0, 1.0, escape)
-        own = np.divide(count, total, out=np.zeros_like(count), where=total > 0) * (1 - escape)
-        return own + escape * np.divide(rest, left, out=np.zeros_like(rest), where=left > 0)
-
-    p = order(n.sum((0, 1)), p)
-    p = order(n.sum(0), np.broadcast_to(p, (size, size)))
-    p = np.stack([order(n[a], p) for a in range(size)])
-    return -np.log2(p).astype(np.float32)
+                texts.setdefault(lang, []).append(_bytes(text))
+            for lang, held in texts.items():
+                for data in held:
+                    data = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
+                    for at in range(0, len(data) - ORDER, BLOCK):
+                        gram, n = np.unique(grams(data[at : at + BLOCK + ORDER]), return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+
+    return df.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+class Tree:
+    """The frozen context tree of one language, from its grams of ORDER + 1 bytes and their numbers, and those of each shorter order."""
+
+    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray]]):
+        self.orders, below = [], None
+        for gram, n in orders:  # from order 0 up; grams sorted
+            context, start = np.unique(gram >> 8, return_index=True)
+            total, distinct = (np.add.reduceat(x, start) if len(gram) else n for x in (n, np.ones_like(n)))
+            shadow = np.zeros_like(total)  # of what the next shorter context counts, the part that this one has seen
+            if below is not None and len(gram):
+                shadow = np.add.reduceat(below[1][np.searchsorted(below[0], gram & ((1 << 8 * len(self.orders)) - 1))], start)
+            self.orders.append((gram, n, context, total, distinct, shadow))
+            below = gram, n
+
+    def bits(self, gram: np.ndarray) -> np.ndarray:
+        """Exact code length of each gram's last byte after the others."""
+        out, open_ = np.zeros(len(gram)), np.ones(len(gram), dtype=bool)
+        shadow, hidden = np.zeros(len(gram)), np.zeros(len(gram))  # what the longer context has ruled out: counts here, and symbols
+        for k in range(ORDER, -1, -1):
+            own, n, context, total, distinct, over = self.orders[k]
+            if not len(own):
+                continue
+            mask = (1 << 8 * k) - 1
+            c = gram >> 8 & mask
+            at = np.minimum(np.searchsorted(context, c), len(context) - 1)
+            here = open_ & (context[at] == c)
+            s = gram & (mask << 8 | 255)
+            i = np.minimum(np.searchsorted(own, s), len(own) - 1)
+            found = here & (own[i] == s)
+            rest, escape = total[at] - shadow, distinct[at] - hidden
+            if k == 0 and distinct[0] == 256:
+                escape = np.zeros(len(gram))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out += np.where(found, -np.log2(n[i] / (rest + escape)), 0) + np.where(here & ~found & (rest > 0), -np.log2(escape / (rest + escape)), 0)
+            open_ &= ~found
+            shadow, hidden = np.where(here, over[at], shadow), np.where(here, distinct[at], hidden)
+        unseen = 256 - (self.orders[0][4][0] if len(self.orders[0][0]) else 0)
+        return out + np.where(open_, np.log2(max(1, unseen)), 0)
 
 
 class Model:
-    """Code-length tables of all languages over the symbols that occur in training, others folded into one."""
-
-    def __init__(self, rows: list[tuple[str, int, int]]):
-        self.langs = sorted({lang for lang, _, _ in rows})
-        codes = np.array([c for _, c, _ in rows], dtype=np.int64)
-        parts = np.stack([codes // SYMBOLS**2, codes // SYMBOLS % SYMBOLS, codes % SYMBOLS]) if rows else np.zeros((3, 0), dtype=np.int64)
-        used = np.unique(np.concatenate([np.arange(29), parts.ravel()]))
-        fold = np.full(SYMBOLS, len(used), dtype=np.int32)  # one more symbol for all that never occurs
-        fold[used] = np.arange(len(used))
-        self.size = len(used) + 1
-        self.fold = fold[_CODE]
-        folded = (fold[parts[0]].astype(np.int64) * self.size + fold[parts[1]]) * self.size + fold[parts[2]]
-        which = np.array([self.langs.index(lang) for lang, _, _ in rows], dtype=np.int64)
-        n = np.array([k for _, _, k in rows], dtype=np.int64)
-        self.bits = []
-        for k in range(len(self.langs)):
-            own = which == k
-            table = np.bincount(folded[own], weights=n[own], minlength=self.size**3).reshape((self.size,) * 3)
-            self.bits.append(code_lengths(table).ravel())
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not _LETTER.search(text):
-            return "und", 0.0
-        code = trigrams(self.fold[np.frombuffer(text.encode(), dtype=np.uint8)], self.size)
-        bits = np.zeros(len(self.langs))
-        for at in range(0, len(code), BLOCK):
-            block = code[at : at + BLOCK]
-            bits += [table[block].sum(dtype=np.float64) for table in self.bits]
-        k = int(bits.argmin())
-        return self.langs[k], float(1 / np.exp2(np.maximum(bits[k] - bits, -1000)).sum())
+    """The trees of all languages, and a memo of the code lengths of common grams."""
+
+    def __init__(self, rows: dict[str, list[tuple[np.ndarray, np.ndarray]]]):
+        self.langs = sorted(rows)
+        self.trees = [Tree(rows[lang]) for lang in self.langs]
+        self.keys = self.units = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"keys": None, "units": None}
+
+    def _lengths(self, gram: np.ndarray) -> np.ndarray:
+        """Code length of each gram in each language, in units."""
+        if self.keys is None:
+            self.keys = np.full(max(1 << 10, 4 * MEMO // max(4, len(self.langs))), -1, dtype=np.int64)
+            self.units = np.zeros((len(self.keys), len(self.langs)), dtype=np.int32)
+        place = ((gram * 0x9E3779B97F4A7C1 & 0x7FFFFFFFFFFFFFFF) >> 20) % len(self.keys)
+        out = self.units[place]
+        missed = np.flatnonzero(self.keys[place] != gram)
+        if len(missed):
+            new, which = np.unique(gram[missed], return_inverse=True)
+            units = np.stack([np.rint(t.bits(new) * UNIT) for t in self.trees], axis=1).astype(np.int32)
+            out[missed] = units[which]
+            first = place[missed[np.unique(which, return_index=True)[1]]]
+            self.keys[first], self.units[first] = new, units
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and share of the probability of each text."""
+        asked = [k for k, t in enumerate(texts) if t and self.langs and _LETTER.search(t)]
+        out = [("und", 0.0)] * len(texts)
+        held = [_bytes(texts[k]) for k in asked]
+        total = np.zeros((len(asked), len(self.langs)), dtype=np.int64)
+        data = np.frombuffer(b"".join(held), dtype=np.uint8)
+        sizes = np.array([len(x) for x in held], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        for at in range(0, len(data) - ORDER, BLOCK):
+            block = grams(data[at : at + BLOCK + ORDER].astype(np.int64))
+            place = np.arange(at + ORDER, at + ORDER + len(block))
+            row = np.searchsorted(starts, place, side="right") - 1
+            own = place - starts[row] >= ORDER  # others are the empty context of the next text
+            row, units = row[own], self._lengths(block[own])
+            for j in range(len(self.langs)):
+                total[:, j] += np.bincount(row, weights=units[:, j], minlength=len(asked)).astype(np.int64)
+        for k, bits in zip(asked, total, strict=True):
+            best = int(bits.argmin())
+            out[k] = self.langs[best], float(1 / np.exp2(np.maximum((bits[best] - bits) / UNIT, -1000)).sum())
+        return out
 
 
 def train(df: DataFrame) -> Model:
-    """From all rows that aren't held out and have text and a language. The table of counts is bounded by languages and symbols."""
+    """From at most about TEXTS texts of each language, of rows that aren't held out and have text and a language.
+
+    Grams rarer than a threshold are cut off, so that no more than NODES are left; what comes to the driver is bounded by that.
+    """
     _common.ship(df.sparkSession)
-    known = df.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_common.held_out(F.col("doc_id")))
-    found = counts(known).toArrow()
-    return Model(list(zip(found.column("lang").to_pylist(), found.column("code").to_pylist(), found.column("n").to_pylist(), strict=True)))
+    known = df.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_common.held_out(F.col("doc_id"))).select("lang", "text")
+    number = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not number:
+        return Model({})
+    most = F.lit(None).cast("long")
+    for lang, n in number.items():
+        most = F.when(F.col("lang") == lang, F.lit(int(min(1.0, TEXTS / n) * (1 << 20)))).otherwise(most)
+    sample = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < most).dropDuplicates(["lang", "text"])
+    found = _common.materialise(counts(sample))
+    share = NODES // len(number)
+    least: dict[str, int] = {}
+    sizes: dict[str, int] = {}
+    for r in found.groupBy("lang", F.least("n", F.lit(1 << 10)).alias("n")).agg(F.count(F.lit(1)).alias("grams")).orderBy("lang", F.desc("n")).collect():
+        sizes[r["lang"]] = sizes.get(r["lang"], 0) + r["grams"]
+        if sizes[r["lang"]] <= share or r["lang"] not in least:
+            least[r["lang"]] = r["n"]
+    cut = F.lit(None).cast("long")
+    for lang, n in least.items():
+        cut = F.when(F.col("lang") == lang, F.lit(n)).otherwise(cut)
+    rows: dict[str, list] = {lang: [] for lang in number}
+    for k in range(ORDER + 1):
+        gram = F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("gram")
+        kept = found.groupBy("lang", gram).agg(F.sum("n").alias("n")).where(F.col("n") >= cut).toArrow()
+        langs, keys, n = kept.column("lang").to_numpy(), kept.column("gram").to_numpy(), kept.column("n").to_numpy()
+        for lang, into in rows.items():
+            own = np.flatnonzero(langs == lang)
+            own = own[np.argsort(keys[own])]
+            into.append((keys[own], n[own].astype(np.float64)))
+    _common.forget(found)
+    return Model(rows)
 
 
 def predict(df: DataFrame, model: Model) -> DataFrame:
@@ -154,7 +214,7 @@ def predict(df: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = shared.value
         for batch in batches:
-            done = [m.predict(t) for t in batch.column("text").to_pylist()]
+            done = m.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.float64())], names=schema.names
             )
