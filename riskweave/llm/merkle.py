@@ -1,15 +1,15 @@
 """Document fingerprints: a Merkle tree over sections and paragraphs, in DataFrame functions alone.
 
-Sections are parted by blank lines, paragraphs by line breaks, and the leaves are blocks of
-``WORDS`` words of a paragraph, so that texts of one line have branches too. A leaf is the
-hash of its block, a node that of its children's hashes, and the root the SHA-256 of the
-sections' hashes. Equal roots mean equal texts; where roots differ, only branches that
+Sections are parted by blank lines, paragraphs by line breaks, and the leaves are runs of words of a
+paragraph that end where a word does in one of ``CUT``, so that texts of one line have branches too and a word put
+in or taken out changes the leaves around it only. Every node is a SHA-256: a leaf that of its
+run of words, any other that of its children's. Equal roots mean equal texts; where roots differ, only branches that
 differ need to be looked at, down to the paragraphs that were edited. The likeness of two
 trees is the Jaccard index of their leaves.
 
-Null text is the empty text; two empty texts are alike (1). Rows are put in the order of
-doc_id (null first), repeated ids by a hash of their text, and each meets the row after it,
-the last the first. A row alone meets itself. An empty table gives no rows.
+Null text is the empty text; two empty texts are alike (1). Very long texts are hashed whole, within their row. Rows are put in the
+order of doc_id (null first), repeated and null ids by a hash of their text, and each meets the row after it,
+the last the first. A row alone meets itself. Columns other than ``doc_id`` and ``text`` are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,33 +19,41 @@ from pyspark.sql import functions as F
 
 from riskweave.llm import _common
 
-WORDS = 4
+#: A leaf ends at a word that ends so, or after so many words.
+CUT = "ensty.!?;:"
+WORDS = 12
 #: Rows of a range of ids, at least; and ranges, at most.
 RANGE_ROWS = 256
 RANGES = 1 << 16
 #: Cells of the histogram of ids that the ranges are cut by.
 CELLS = 1024
 
-_BLOCK = rf"\s*+(?:\S++\s*+){{1,{WORDS}}}+|\s++"
+_WORD = r"\S++\s++"
+_BLOCK = rf"\s*+(?:(?:(?!\S++(?<=[{CUT}])){_WORD}){{1,{WORDS - 1}}}+(?:\S++\s*+)?+|\S++\s*+)|\s++"
 
 
 def tree(text: Column) -> Column:
-    """Leaf hashes by section and paragraph: array<array<array<bigint>>>."""
-    leaves = lambda p: F.transform(F.regexp_extract_all(p, F.lit(_BLOCK), F.lit(0)), lambda b: F.xxhash64(b))
-    return F.transform(F.split(text, "\n\n"), lambda s: F.transform(F.split(s, "\n"), leaves))
+    """The runs of words that are leaves, by section and paragraph: array<array<array<string>>>."""
+    runs = lambda p: F.regexp_extract_all(p, F.lit(_BLOCK), F.lit(0))
+    return F.transform(F.split(text, "\n\n"), lambda s: F.transform(F.split(s, "\n"), runs))
+
+
+def _node(children: Column) -> Column:
+    return F.sha2(F.array_join(children, ",").cast("binary"), 256)
 
 
 def nodes(t: Column) -> Column:
     """Paragraph hashes by section."""
-    return F.transform(t, lambda s: F.transform(s, lambda p: F.xxhash64(p)))
+    return F.transform(t, lambda s: F.transform(s, lambda p: _node(F.transform(p, lambda b: F.sha2(b.cast("binary"), 256)))))
 
 
 def root(t: Column) -> Column:
-    return F.sha2(F.array_join(F.transform(nodes(t), lambda s: F.hex(F.xxhash64(s))), ",").cast("binary"), 256)
+    return _node(F.transform(nodes(t), _node))
 
 
 def leaves(t: Column) -> Column:
-    return F.array_distinct(F.flatten(F.flatten(t)))
+    """The set of leaves, each as a number."""
+    return F.array_distinct(F.transform(F.flatten(F.flatten(t)), lambda b: F.xxhash64(b)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -89,20 +97,25 @@ def with_next(df: DataFrame) -> DataFrame:
     sent, as a guest, to the range before it, so that no range needs to know another.
     """
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 62))))
-    ids = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("key"))
+    ids = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("key"))
+    # null ids have ranges of their own, numbered below zero, of the hashes of their texts
+    nulls = rows.where("doc_id IS NULL").select(F.xxhash64("text").alias("key"))
+    parts = min(RANGES, -(-nulls.count() // RANGE_ROWS))
     number = _ranges(ids)
-    # At most RANGES rows: the first id of each range and the range before it.
-    firsts = sorted((r["range"], r["key"]) for r in ids.groupBy(number.alias("range")).agg(F.min("key").alias("key")).collect())
-    guests = [(key, firsts[i - 1][0]) for i, (_, key) in enumerate(firsts)]
-    host = F.broadcast(df.sparkSession.createDataFrame(guests, "key long, host long"))
-    placed = rows.withColumn("range", number).join(host, "key", "left").withColumn(
+    by_hash = F.floor((F.col("key") / F.lit(2.0**64) + F.lit(0.5)) * F.lit(float(parts))).cast("long") - parts
+    # At most twice RANGES rows: the first key of each range and the range before it.
+    first = lambda keys, by, null: keys.groupBy(by.alias("range")).agg(F.min("key").alias("key")).select("range", "key", F.lit(null).alias("null"))
+    firsts = sorted(tuple(r) for r in first(ids, number, False).unionByName(first(nulls, by_hash, True)).collect())
+    guests = [(key, null, firsts[i - 1][0]) for i, (_, key, null) in enumerate(firsts)]
+    host = F.broadcast(df.sparkSession.createDataFrame(guests, "key long, null boolean, host long"))
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("null", F.col("doc_id").isNull()).withColumn("key", F.coalesce("doc_id", "tie"))
+    placed = rows.withColumn("range", F.when(F.col("null"), by_hash).otherwise(number)).join(host, ["key", "null"], "left").withColumn(
         "place", F.explode(F.when(F.col("host").isNull(), F.array(F.struct(F.col("range"), F.lit(0).alias("guest")))).otherwise(
             F.array(F.struct(F.col("range"), F.lit(0).alias("guest")), F.struct(F.col("host").alias("range"), F.lit(1).alias("guest")))
         ))
     )
     order = Window.partitionBy("range").orderBy("guest", "key", "tie")
-    placed = placed.select("doc_id", "text", "key", F.xxhash64("text").alias("tie"), F.col("place.range").alias("range"), F.col("place.guest").alias("guest"))
+    placed = placed.select("doc_id", "text", "key", "tie", F.col("place.range").alias("range"), F.col("place.guest").alias("guest"))
     return placed.withColumn("next", F.lead("text").over(order)).where("guest = 0").select("doc_id", "text", "next")
 
 

@@ -216,10 +216,52 @@ def test_nn_pu_separates_the_classes():
     assert min(x for x, r in zip(p, rows) if 0 in r) > 0.3 > max(x for x, r in zip(p, rows) if 0 not in r)
 
 
-def test_code_lengths_are_of_proper_distributions():
-    n = np.zeros((5, 5, 5))
-    n[0, 1, 2], n[0, 1, 3], n[1, 2, 0], n[4, 4] = 3, 1, 5, 2
-    assert np.allclose(np.exp2(-langid.code_lengths(n).astype(float)).sum(-1), 1, atol=1e-5)
+def trained(texts):
+    """A model of all grams of these texts by language, without Spark."""
+    rows = {}
+    for lang, t in texts.items():
+        g, n = np.unique(np.concatenate([langid.grams(np.frombuffer(langid._bytes(x), dtype=np.uint8).astype(np.int64)) for x in t]), return_counts=True)
+        rows[lang] = []
+        for k in range(langid.ORDER + 1):
+            u, which = np.unique(g & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            rows[lang].append((u, np.bincount(which, weights=n)))
+    return langid.Model(rows)
+
+
+def code_length(texts, context, byte):
+    """By the definition: PPM with escape method C and exclusion, counted anew."""
+    bits, ruled = 0.0, set()
+    for k in range(langid.ORDER, -1, -1):
+        seen = Counter()
+        for t in texts:
+            t = langid._bytes(t)
+            for i in range(langid.ORDER, len(t)):
+                if t[i - k : i] == context[langid.ORDER - k :]:
+                    seen[t[i]] += 1
+        left = {s: n for s, n in seen.items() if s not in ruled}
+        if not left:
+            continue
+        total, escape = sum(left.values()), len(left) * (len(seen) < 256)
+        if byte in left:
+            return bits - np.log2(left[byte] / (total + escape))
+        bits -= np.log2(escape / (total + escape))
+        ruled |= set(left)
+    return bits + np.log2(256 - len(ruled))
+
+
+def test_code_lengths_are_those_of_the_definition():
+    texts = ["abracadabra, a bra", "Über die Brücke", "a cab", ""]
+    tree = trained({"x": texts}).trees[0]
+    for context in (b"\0\0\0\0", b"abra", b"zzbr", b"q\xc3\xbcc", b"zzzz", b"\0\0\0a"):
+        bits = tree.bits(np.array([int.from_bytes(context + bytes([s])) for s in range(256)]))
+        assert np.isclose(np.exp2(-bits).sum(), 1)
+        assert np.allclose(bits, [code_length(texts, context, s) for s in range(256)])
+
+
+def test_language_doesnt_depend_on_partitions(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    a, b = (Counter(map(tuple, langid.predict(d, langid.train(d)).select("doc_id", "lang_pred", "score").collect())) for d in (rows.coalesce(1), rows.repartition(7)))
+    assert a == b
 
 
 def test_language_of_held_out_text(spark, tmp_path):
@@ -321,23 +363,50 @@ def test_redaction_keeps_rows_and_other_columns(spark, docs, sf):
 # --- fingerprints, licences, links, vectors ----------------------------------------------------------
 
 
-def test_merkle_edits_and_order(spark, docs, sf):
-    rows = merkle.op8_merkle(spark, sf).collect()
-    order = sorted(ROWS, key=lambda r: r[0])
-    assert len(rows) == len(ROWS)
-    found = {r.doc_id: r for r in rows}
-    for k, r in enumerate(order):
-        if r[0] in (504,):
-            continue
-        t, nxt = r[1] or "", order[(k + 1) % len(order)][1] or ""
+def merkle_tree(t):
+    """Root and leaves, by the definition."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    leaves, sections = set(), []
+    for section in t.split("\n\n"):
+        paragraphs = []
+        for paragraph in section.split("\n"):
+            runs, run, n = [], "", 0
+            for word in re.findall(r"\s*\S+\s*|\s+", paragraph, re.A) if paragraph.strip(" \t\v\f\r") else [paragraph] * bool(paragraph):
+                run, n = run + word, n + 1
+                if word.strip(" \t\v\f\r")[-1:] in tuple(merkle.CUT) or n == merkle.WORDS:
+                    runs.append(run)
+                    run, n = "", 0
+            runs += [run] * bool(run)
+            leaves |= set(runs)
+            paragraphs.append(sha(",".join(map(sha, runs))))
+        sections.append(sha(",".join(paragraphs)))
+    return sha(",".join(sections)), leaves
+
+
+def same(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_merkle_trees_edits_and_order(spark, tmp_path):
+    rows = [r[:2] for r in ROWS if r[0] != 504] + [(None, text(20)) for _ in range(700)] + [(None, None), (700, "  \t x\r\n \n\n\n"), (701, "tab\tone two " * 40), (702, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    order = sorted(((r[0] is not None, r[0] or 0, xxhash.xxh64_intdigest((r[1] or "").encode(), 42) ^ 1 << 63, r[1] or "") for r in rows))
+    want = Counter()
+    for k, (known, doc_id, _, t) in enumerate(order):
+        nxt = order[(k + 1) % len(order)][3]
         cut = len(t) // 4
         edited = t[: len(t) - cut] + nxt[:cut]
-        g = found[r[0]]
-        assert (g.n_chars, g.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert (g.fingerprint == g.edited_fingerprint) == (t == edited)
-        assert 0 <= g.near_edited <= 1 and 0 <= g.near_next <= 1
-    assert found[502].fingerprint == found[503].fingerprint != found[501].fingerprint
-    assert found[502].near_next == 1.0
+        (fp, own), (edited_fp, changed), (_, after) = map(merkle_tree, (t, edited, nxt))
+        want[doc_id if known else None, len(t), hashlib.sha256(edited.encode()).hexdigest(), fp, edited_fp, same(own, changed), same(own, after)] += 1
+    assert Counter(map(tuple, merkle.op8_merkle(spark, str(tmp_path)).collect())) == want
+
+
+def test_null_ids_are_spread_over_ranges(spark):
+    rows = spark.createDataFrame([(k if k % 2 else None, f"t{k}") for k in range(4000)], "doc_id long, text string")
+    plan = merkle.with_next(rows)
+    assert plan.count() == 4000
+    sizes = [r["n"] for r in plan.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 3000
 
 
 def test_merkle_locates_the_edit(spark):
