@@ -5,17 +5,17 @@ of vectors keeps one sorted array per direction, without buckets: a query opens
 each of them a window centred on its own projection, and a vector inside it collides.
 Windows widen by virtual rehashing, the half-width growing by ``GROWTH`` each time; only
 the newly covered rings are counted. When at least the ``VERIFY`` share of the block (and
-``k``) has collided on the ``COLLIDE`` share of directions, widening ends and those
+``LEAST`` vectors) has collided on the ``COLLIDE`` share of directions, widening ends and those
 vectors are verified by their exact cosine in double precision.
 
-The queries are set against all rows in blocks: a cell is one block of vectors and one
-block of queries, so neither side is ever held whole, and each query keeps its best
-``k`` of each cell before the cells meet.
+The queries are set against all rows in blocks: a task builds the sorted arrays of its block once,
+and the queries stream past them batch by batch, so that neither side is ever held whole; each query keeps its
+best ``k`` of each block before the blocks meet.
 
 Vectors that are null, empty, zero, of another size than most, or hold null or non-finite
 components take no part, as queries neither. Ties go to the smaller vec_id. Fewer than
-``k`` candidates all appear. Repeated ids are separate candidates; a query never meets
-its own id.
+``k`` candidates all appear. Rows are told apart by a number of their own, so rows that repeat an id, or id and vector, are
+separate queries and candidates of each other. Columns other than ``vec_id`` and ``embedding`` are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,62 +29,77 @@ from pyspark.sql import functions as F
 from riskweave.llm import _common
 
 K = 5
-PROJECTIONS = 48
+PROJECTIONS = 176
 SEED = 7
 #: Half-width of the first window, and its growth with each virtual rehashing.
-WIDTH = 0.2
-GROWTH = 1.4
-COLLIDE = 0.7
-VERIFY = 0.3
-#: Most rows of a block of vectors and of a block of queries.
-VECTOR_BLOCK = 1 << 15
-QUERY_BLOCK = 1 << 12
-#: At least so many blocks of vectors, for as many tasks.
-BLOCKS = 12
+WIDTH = 0.6
+GROWTH = 1.2
+#: Share of the directions that a vector must collide on; share of a block, and number of vectors, that end the widening.
+COLLIDE = 0.6
+VERIFY = 0.04
+LEAST = 32
+#: Most rows of a block, and blocks at least, for as many tasks.
+VECTOR_BLOCK = 1 << 16
+BLOCKS = 8
 
 
 class SortedProjections:
     """The sorted arrays of one block of vectors."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int = PROJECTIONS):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order].astype(np.float64)
-        self.norms = np.sqrt((self.vectors**2).sum(1))
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, projections: int = PROJECTIONS):
+        self.rows, self.ids = rows, ids
+        self.vectors, self.norms = scaled(vectors)
         self.axes = np.random.default_rng(SEED).standard_normal((vectors.shape[1], projections))
-        p = self._project(self.vectors, self.norms)
+        p = (self.vectors / self.norms[:, None]) @ self.axes
         self.order = np.argsort(p, axis=0, kind="stable").T.astype(np.int32).copy()
         self.sorted = np.sort(p, axis=0).T.copy()
 
-    def _project(self, vectors: np.ndarray, norms: np.ndarray) -> np.ndarray:
-        return (vectors / norms[:, None]) @ self.axes
-
-    def search(self, query_id: int, query: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and cosines of the best ``k`` vectors verified, nearest first."""
-        n = len(self.ids)
-        norm = float(np.sqrt((query**2).sum()))
-        own = self._project(query[None], np.array([norm]))[0]
-        need = int(np.ceil(COLLIDE * len(own)))
-        enough = min(n, max(k + 1, int(np.ceil(VERIFY * n))))
-        count = np.zeros(n, dtype=np.int16)
+    def search(self, rows: np.ndarray, queries: np.ndarray, k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, but for the vector of its own row, the places and cosines of the best ``k`` vectors verified, nearest first."""
+        n, m = len(self.ids), len(self.sorted)
+        queries, norms = scaled(queries)
+        own = ((queries / norms[:, None]) @ self.axes).T
+        need, enough = int(np.ceil(COLLIDE * m)), min(n, max(LEAST, k + 1, int(np.ceil(VERIFY * n))))
+        out: list = [None] * len(rows)
+        count = np.zeros((len(rows), n), dtype=np.int16)
         low = high = None
-        width = WIDTH
-        while True:
-            left = np.array([s.searchsorted(x - width) for s, x in zip(self.sorted, own, strict=True)])
-            right = np.array([s.searchsorted(x + width, side="right") for s, x in zip(self.sorted, own, strict=True)])
+        width, open_ = WIDTH, np.arange(len(rows))
+        while len(open_):
+            left = np.stack([s.searchsorted(x[open_] - width) for s, x in zip(self.sorted, own, strict=True)])
+            right = np.stack([s.searchsorted(x[open_] + width, side="right") for s, x in zip(self.sorted, own, strict=True)])
+            still = []
+            for i, q in enumerate(open_.tolist()):
+                a, b = left[:, i].tolist(), right[:, i].tolist()
+                if low is None:
+                    rings = [o[x:y] for o, x, y in zip(self.order, a, b, strict=True)]
+                else:
+                    rings = [o[x:y] for o, x, y in zip(self.order, a, low[:, q].tolist(), strict=True)] + [o[x:y] for o, x, y in zip(self.order, high[:, q].tolist(), b, strict=True)]
+                count[q] += np.bincount(np.concatenate(rings), minlength=n).astype(np.int16)
+                found = np.flatnonzero(count[q] >= need)
+                if len(found) < enough and (right[:, i] - left[:, i]).min() < n:
+                    still.append(i)
+                    continue
+                found = found[self.rows[found] != rows[q]]
+                cosine = (self.vectors[found] @ queries[q]) / (self.norms[found] * norms[q])
+                if len(found) > 4 * k:
+                    best = np.argpartition(-cosine, k)[: k + 1]
+                    found, cosine = found[cosine >= cosine[best].min()], cosine[cosine >= cosine[best].min()]
+                cosine = (self.vectors[found] * queries[q]).sum(1) / (self.norms[found] * norms[q])
+                best = np.lexsort((self.rows[found], self.ids[found], -cosine))[:k]
+                out[q] = found[best], cosine[best]
             if low is None:
-                rings = [o[a:b] for o, a, b in zip(self.order, left, right, strict=True)]
-            else:
-                rings = [o[a:b] for o, a, b in zip(self.order, left, low, strict=True)] + [o[a:b] for o, a, b in zip(self.order, high, right, strict=True)]
-            count += np.bincount(np.concatenate(rings), minlength=n).astype(np.int16)
-            low, high = left, right
-            found = np.flatnonzero(count >= need)
-            if len(found) >= enough or (left == 0).all() and (right == n).all():
-                break
+                low, high = left, right
+            low[:, open_], high[:, open_] = left, right
+            open_ = open_[still]
             width *= GROWTH
-        found = found[self.ids[found] != query_id]
-        cosine = (self.vectors[found] * query).sum(1) / (self.norms[found] * norm)
-        best = np.lexsort((self.ids[found], -cosine))[:k]
-        return self.ids[found[best]], cosine[best]
+        return out
+
+
+def scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors in double precision, each times a power of two that keeps its length in range, and their lengths."""
+    vectors = vectors.astype(np.float64)
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+    return vectors, np.sqrt((vectors**2).sum(1))
 
 
 def usable(df: DataFrame) -> DataFrame:
@@ -104,32 +119,44 @@ def search(df: DataFrame, every: int = 50, k: int = K) -> DataFrame:
     spark = df.sparkSession
     _common.ship(spark)
     rows = usable(df)
-    sizes = rows.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q"))
-    size = sizes.orderBy(F.desc("n"), "size").first()
-    n, q = (size["n"], size["q"]) if size else (0, 0)
-    rows = rows.where(F.size("v") == (size["size"] if size else 0))
-    blocks = max(BLOCKS, -(-n // VECTOR_BLOCK)) if n > 4096 else 1
-    parts = max(1, -(-q // QUERY_BLOCK))
-    at = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
-    own = rows.select("vec_id", "v", at(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    asked = rows.where(F.col("vec_id") % every == 0).select(
-        "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), at(parts).alias("part")
-    )
-    schema = "query_id long, vec_id long, score double"
-
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if left.num_rows and right.num_rows:
-            matrix = lambda t: t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-            held = SortedProjections(left.column("vec_id").to_numpy(), matrix(left))
-            for query_id, query in zip(right.column("vec_id").to_pylist(), matrix(right), strict=True):
-                ids, scores = held.search(query_id, query, k)
-                out += [(query_id, int(i), float(s)) for i, s in zip(ids, scores, strict=True)]
-        cols = zip(*out, strict=True) if out else ([], [], [])
-        return pa.table({name: pa.array(c, kind) for (name, kind), c in zip((("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())), cols, strict=True)})
-
-    near = own.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(cell, schema)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    size = rows.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").first()
+    n = size["n"] if size else 0
+    rows = _common.materialise(rows.where(F.size("v") == (size["size"] if size else 0)).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"))
+    blocks = max(BLOCKS, -(-n // VECTOR_BLOCK))
+    held = rows.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "row", "vec_id", "v")
+    asked = rows.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "row", "vec_id", "v")
+    both = held.unionByName(asked).repartitionByRange(blocks, "block").sortWithinPartitions("block", "kind", "row")
+    names = ["query", "query_id", "vec_id", "row", "score"]
+
+    def run(batches):
+        now, mine, index = None, [], None
+        for whole in batches:
+            block = whole.column("block").to_numpy()
+            kind = whole.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(block)]
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                batch = whole.slice(at, end - at)
+                number, ids = batch.column("row").to_numpy(), batch.column("vec_id").to_numpy()
+                v = batch.column("v").flatten().to_numpy().reshape(len(ids), -1) if len(ids) else None
+                if not len(ids):
+                    continue
+                if block[at] != now:
+                    now, mine, index = block[at], [], None
+                if not kind[at]:
+                    mine.append((number, ids, v))
+                    continue
+                if index is None and mine:
+                    index = SortedProjections(*(np.concatenate(x) for x in zip(*mine, strict=True)))
+                    mine = []
+                if index is not None:
+                    found = index.search(number, v, k)
+                    times = [len(x) for x, _ in found]
+                    places = np.concatenate([x for x, _ in found])
+                    cols = np.repeat(number, times), np.repeat(ids, times), index.ids[places], index.rows[places], np.concatenate([x for _, x in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+
+    near = both.mapInArrow(run, "query long, query_id long, vec_id long, row long, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -473,6 +473,23 @@ def test_neighbours_recall_and_scores(spark, tmp_path):
     assert first["vec_id"].tolist() == [2102, 2103]
 
 
+def test_neighbours_of_repeated_ids_and_extreme_vectors(spark):
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.1]), (1, [1e200, 2e199]), (2, [-1e-200, 1e-200]), (3, [-1.0, 0.0])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    first = [(50, 0.995037), (1, 0.980581), (2, -0.707107), (3, -1.0)]
+    second = [(1, 0.995222), (50, 0.995037), (2, -0.633238), (3, -0.995037)]
+    assert Counter((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in got) == Counter((50, k + 1, *x) for own in (first, second) for k, x in enumerate(own))
+
+
+def test_neighbours_recall_over_many_blocks(spark):
+    g = np.random.default_rng(4)
+    table = pd.DataFrame({"vec_id": np.arange(24_000), "embedding": list(g.standard_normal((24_000, 64)).astype(np.float32))})
+    table["embedding"] = table["embedding"].map(lambda v: v.tolist())
+    got = neighbours.search(spark.createDataFrame(table.sample(frac=1, random_state=1), "vec_id long, embedding array<float>"), every=200).toPandas()
+    want = neighbours.brute_force(table, every=200)
+    assert len(want.merge(got, on=["query_id", "vec_id"])) >= 0.9 * len(want)
+
+
 # --- pipeline --------------------------------------------------------------------------------------
 
 
