@@ -6,16 +6,20 @@ toxic examples and from unlabelled text, most of which is clean. With class prio
 would have as negatives, estimates the risk on clean text; where that estimate turns
 negative it is clipped, and the step is taken against it (Kiryo et al., 2017).
 
+The prior itself is estimated without negative examples: a set of texts that holds a share a of the
+positives and a share b of the unlabelled can't be rarer than the positives in it, so b / a bounds
+the prior from above; the least bound over growing sets of words is taken.
+
 Words are runs of characters other than ASCII punctuation, digits and white space,
-A-Z lower-cased. Null and empty texts hold no word and score as the bias alone says.
-Repeated rows each get a score. Where no positive example exists every score is the
-prior of zero.
+A-Z lower-cased. The features are the ``FEATURES`` words that are most significantly more or less common among the positives than
+among the unlabelled; that number is the size of the model. Null and empty texts hold no word and score as
+the bias alone says. Very long texts are read whole. Repeated rows each get a score; repeated texts count once in training.
+Columns other than ``doc_id``, ``text`` and ``toxic`` are not read. Where no positive example exists every score is 0, and an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,12 +28,14 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from riskweave.llm import _common
 
-#: Bounds of the sample of labelled rows that the classifier is fitted on.
+#: Bounds of the sample that the classifier is fitted on: texts known to be toxic, and texts of any kind whose label isn't looked at.
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 9000
-#: Words must stand in this many sampled texts, and at most so many words are kept.
+#: Words must stand in this many sampled texts; and features of the model: the words whose shares differ most, in standard errors of their logarithm.
 MIN_TEXTS = 8
-MAX_WORDS = 200
+FEATURES = 200
+#: Share of the positives that a set of texts must hold to bound the prior.
+HOLDS = 0.3
 EPOCHS = 300
 STEP = 0.05
 DECAY = 1e-4
@@ -65,6 +71,20 @@ def nn_pu(rows: list[np.ndarray], positive: np.ndarray, n_words: int, prior: flo
     return w, bias
 
 
+def class_prior(rows: list[np.ndarray], positive: np.ndarray, lift: np.ndarray) -> float:
+    """Share of positives among the unlabelled rows: the least upper bound that sets of texts with any of the words of most ``lift`` give, each with a standard error."""
+    n_p, n_u = int(positive.sum()), int((~positive).sum())
+    rank = np.empty(len(lift), dtype=np.int64)
+    rank[np.argsort(-lift, kind="stable")] = np.arange(len(lift))
+    best = np.array([rank[r].min() if len(r) else len(lift) for r in rows], dtype=np.int64)  # a text is in all sets from its best word on
+    held_p, held_u = (np.cumsum(np.bincount(best[x], minlength=len(lift) + 1))[:-1] for x in (positive, ~positive))
+    enough = held_p >= HOLDS * n_p
+    if not n_u or not enough.any():
+        return min(0.2, n_p / (n_p + n_u))
+    bound = (held_u + np.sqrt(held_u + 1)) / n_u / (held_p / n_p)
+    return float(np.clip(bound[enough].min(), 1 / (n_u + 1), 0.5))
+
+
 def _sample(df: DataFrame, most: int, rows: int) -> DataFrame:
     """About ``most`` of ``rows`` rows, chosen by a hash of their text so that copies come or go together."""
     if rows <= most:
@@ -73,45 +93,51 @@ def _sample(df: DataFrame, most: int, rows: int) -> DataFrame:
 
 
 def train(documents: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float], float]:
-    """Word weights and bias. Only labels of rows that aren't held out are read.
+    """Word weights and bias. Only positive labels of rows that aren't held out are read.
 
-    The class prior is the share of toxic rows among those. Unlabelled text is drawn from
-    the same labelled rows with the label hidden, so that the prior holds for it.
+    Unlabelled text is drawn from all rows that aren't held out, whether or not someone has labelled them.
     """
-    known = (
-        labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~_common.held_out(F.col("doc_id")))
-        .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
-    )
-    count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    n_pos, n = count.get(1, 0), sum(count.values())
-    if not n_pos or n == n_pos:
+    known = labels.where((F.col("toxic") == 1) & ~_common.held_out(F.col("doc_id"))).select("doc_id").distinct()
+    open_ = documents.where(~_common.held_out(F.col("doc_id")))
+    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
+    positive = open_.join(known, "doc_id").select(text)
+    unlabelled = open_.select(text)
+    n_pos, n = positive.count(), unlabelled.count()
+    if not n_pos:
         return {}, -30.0
-    prior = n_pos / n
-    text = _common.whole_text(documents).join(known, "doc_id").select("text", "toxic")
-    positive = _sample(text.where("toxic = 1"), MAX_POSITIVE, n_pos).select(F.lit(True).alias("pos"), "text")
-    unlabelled = _sample(text, MAX_UNLABELLED, n).select(F.lit(False).alias("pos"), "text")
+    positive = _sample(positive, MAX_POSITIVE, n_pos).distinct().select(F.lit(True).alias("pos"), "text")
+    unlabelled = _sample(unlabelled, MAX_UNLABELLED, n).distinct().select(F.lit(False).alias("pos"), "text")
 
     def bag(batches):
         for batch in batches:
-            held = [b" ".join(sorted(words(t))) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("pos"), pa.array(held, pa.binary())], names=["pos", "words"])
-
-    found = positive.unionByName(unlabelled).mapInArrow(bag, "pos boolean, words binary").toArrow()
-    pos = np.array(found.column("pos").to_pylist(), dtype=bool)
-    bags = found.column("words").to_pylist()
-    del found
-    # copies of one text count once: a group of them says no more than one does
-    first = list(dict(((p, b), k) for k, (p, b) in reversed(list(enumerate(zip(pos.tolist(), bags, strict=True))))).values())
-    pos, bags = pos[first], [bags[k].split() for k in first]
-    in_pos, in_all = Counter(), Counter()
-    for p, b in zip(pos.tolist(), bags, strict=True):
-        (in_pos if p else in_all).update(b)
-    n_p, n_u = max(1, int(pos.sum())), max(1, int((~pos).sum()))
-    lift = {w: abs(np.log((c + 1) / (n_p + 2)) - np.log((in_all[w] + 1) / (n_u + 2))) * np.sqrt(c + in_all[w]) for w, c in in_pos.items() if c + in_all[w] >= MIN_TEXTS}
-    vocabulary = {w: k for k, w in enumerate(sorted(lift, key=lambda w: (-lift[w], w))[:MAX_WORDS])}
-    rows = [np.array([vocabulary[w] for w in b if w in vocabulary], dtype=np.int64) for b in bags]
-    w, bias = nn_pu(rows, pos, len(vocabulary), prior)
+            held = [sorted(words(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("pos"), pa.array(held, pa.list_(pa.binary()))], names=["pos", "words"])
+
+    bags = _common.materialise(positive.unionByName(unlabelled).mapInArrow(bag, "pos boolean, words array<binary>"))
+    size = {r["pos"]: r["n"] for r in bags.groupBy("pos").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_p, n_u = size.get(True, 0), size.get(False, 0)
+    # counts of words are gathered by Spark; only the features come to the driver
+    seen = bags.select("pos", F.explode("words").alias("word")).groupBy("word").agg(F.count_if("pos").alias("p"), F.count_if(~F.col("pos")).alias("u"))
+    share = lambda c, n: F.log((F.col(c) + 1) / F.lit(n + 2.0))
+    apart = F.abs(share("p", n_p) - share("u", n_u)) * F.sqrt(F.col("p") + F.col("u"))
+    kept = seen.where((F.col("p") > 0) & (F.col("p") + F.col("u") >= MIN_TEXTS)).orderBy(F.desc(F.round(apart, 9)), "word").limit(FEATURES)
+    found = sorted((bytes(r["word"]), r["p"], r["u"]) for r in kept.collect())
+    vocabulary = {w: k for k, (w, _, _) in enumerate(found)}
+    # two standard errors to the safe side, so that rare words don't come first by chance
+    lift = np.array([max(0.0, p - 2 * p**0.5) / max(1, n_p) / ((u + 2 * u**0.5 + 1) / max(1, n_u)) for _, p, u in found])
+    shared = bags.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def index(batches):
+        for batch in batches:
+            get = shared.value.get
+            held = [[k for k in map(get, b) if k is not None] for b in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("pos"), pa.array(held, pa.list_(pa.int32()))], names=["pos", "at"])
+
+    table = bags.mapInArrow(index, "pos boolean, at array<int>").groupBy("pos", "at").agg(F.count(F.lit(1)).alias("n")).orderBy("pos", "at").collect()
+    _common.forget(bags)
+    pos = np.repeat([r["pos"] for r in table], [r["n"] for r in table]).astype(bool)
+    rows = [np.array(r["at"], dtype=np.int64) for r in table for _ in range(r["n"])]
+    w, bias = nn_pu(rows, pos, len(vocabulary), class_prior(rows, pos, lift))
     return {word: float(w[k]) for word, k in vocabulary.items() if abs(w[k]) > 1e-3}, bias
 
 
