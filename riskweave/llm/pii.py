@@ -12,8 +12,9 @@ Base spans (patterns whose match passes its check) always stay. The method adds
 kinds ``secret``, ``email_spelled`` and ``phone_local`` where they overlap no base span.
 
 Null text is the empty text and has no span. Positions are code points, ends exclusive.
-Everything is computed within a row, so repeated rows and null ids are no special case.
-An empty table gives no rows; with no candidates nothing is trained and nothing added.
+Everything is computed within a row, so repeated rows and null ids are no special case; work grows in
+proportion to a text's length, however many matches it has. Columns other than ``doc_id`` and ``text`` (and ``n_chars``, in the
+pipeline) are not read. Added spans never overlap a base span; where two of them overlap each other both are reported. An empty table gives no rows; with no candidates nothing is trained and nothing added.
 """
 
 from __future__ import annotations
@@ -70,17 +71,34 @@ LABELERS = ("form", "checked", "listed", "context", "edges")
 BEFORE = 24
 THRESHOLD = 0.5
 EM_ROUNDS = 25
+#: Matches of a part of a text.
+PART = 256
 
 _SPAN = "struct<kind:int,start:int,end:int,s:string,before:string,after:string>"
 
 
-def _found(kind: str) -> str:
-    """SQL: the matches of a kind as spans, from columns of what stands between matches and of matches."""
+def _places(kind: str) -> tuple[str, str]:
+    """SQL: the matches of a kind in parts of at most PART, each with its length in text and the places of its matches in it; and the place of each part.
+
+    An array that grows by one is copied whole, so places are gathered part by part.
+    """
     g, h = f"_g_{kind}", f"_h_{kind}"
-    starts = (
-        f"aggregate(sequence(0, size({h}) - 1), struct(0 AS pos, cast(array() AS array<int>) AS at), "
-        f"(a, i) -> struct(a.pos + length({g}[i]) + length({h}[i]) AS pos, concat(a.at, array(a.pos + length({g}[i]))) AS at), a -> a.at)"
+    part = (
+        f"aggregate(sequence(b * {PART}, least(size({h}), (b + 1) * {PART}) - 1), struct(0 AS pos, cast(array() AS array<int>) AS at), "
+        f"(a, i) -> struct(a.pos + length({g}[i]) + length({h}[i]) AS pos, concat(a.at, array(a.pos + length({g}[i]))) AS at))"
+    )
+    parts = f"CASE WHEN size({h}) > 0 THEN transform(sequence(0, (size({h}) - 1) div {PART}), b -> {part}) END"
+    base = (
+        f"aggregate(_p_{kind}, struct(0 AS pos, cast(array() AS array<int>) AS at), "
+        "(a, q) -> struct(a.pos + q.pos AS pos, concat(a.at, array(a.pos)) AS at), a -> a.at)"
     )
+    return parts, base
+
+
+def _found(kind: str) -> str:
+    """SQL: the matches of a kind as spans, from columns of what stands between matches, of matches and of places."""
+    g, h = f"_g_{kind}", f"_h_{kind}"
+    starts = f"flatten(transform(_p_{kind}, (q, b) -> transform(q.at, x -> x + _b_{kind}[b])))"
     span = (
         f"transform({starts}, (p, i) -> cast(named_struct('kind', {KINDS.index(kind)}, 'start', p, 'end', p + length({h}[i]), 's', {h}[i], "
         f"'before', right({g}[i], {BEFORE}), 'after', left({g}[i + 1], 1)) AS {_SPAN}))"
@@ -156,8 +174,11 @@ def candidates(df: DataFrame) -> DataFrame:
         tried, none = _TRIES[kind](text), F.array().cast("array<string>")
         out = out.withColumn(f"_g_{kind}", F.when(tried, F.split(text, PATTERNS[kind], -1)).otherwise(none))
         out = out.withColumn(f"_h_{kind}", F.when(tried, F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))).otherwise(none))
+    places = {k: _places(k) for k in KINDS}
+    out = out.withColumns({f"_p_{k}": F.expr(parts) for k, (parts, _) in places.items()})
+    out = out.withColumns({f"_b_{k}": F.expr(base) for k, (_, base) in places.items()})
     out = out.withColumn("found", F.expr("concat(" + ", ".join(_found(k) for k in KINDS) + ")"))
-    out = out.drop(*(f"_{x}_{k}" for x in "gh" for k in KINDS))
+    out = out.drop(*(f"_{x}_{k}" for x in "ghpb" for k in KINDS))
     out = out.withColumn("found", F.expr(f"transform(found, c -> struct(c.kind AS kind, c.start AS start, c.end AS end, c.s AS s, c.before AS before, c.after AS after, {_checked()} AS passed))"))
     votes = ", ".join(f"{sql} AS {name}" for name, sql in _votes().items())
     buckets = "least(4, cast(length(c.s) / 8 AS int)) AS size, cast(floor(3 * length(regexp_replace(c.s, '[^0-9]', '')) / greatest(length(c.s), 1)) AS int) AS digits"
