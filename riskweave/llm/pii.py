@@ -98,7 +98,7 @@ def _places(kind: str) -> tuple[str, str]:
 def _found(kind: str) -> str:
     """SQL: the matches of a kind as spans, from columns of what stands between matches, of matches and of places."""
     g, h = f"_g_{kind}", f"_h_{kind}"
-    starts = f"flatten(transform(_p_{kind}, (q, b) -> transform(q.at, x -> x + _b_{kind}[b])))"
+    starts = f"flatten(zip_with(_p_{kind}, _b_{kind}, (q, b) -> transform(q.at, x -> x + b)))"
     span = (
         f"transform({starts}, (p, i) -> cast(named_struct('kind', {KINDS.index(kind)}, 'start', p, 'end', p + length({h}[i]), 's', {h}[i], "
         f"'before', right({g}[i], {BEFORE}), 'after', left({g}[i + 1], 1)) AS {_SPAN}))"
