@@ -8,11 +8,12 @@ reached it. A host that nothing reached is allowed.
 
 Pages are aggregated to host edges before anything is joined, and both propagations run as
 one: a round is one join and one aggregation over (kind, host), written to shared
-storage every few rounds.
+storage every few rounds, until the ranks stand still. Seeds weigh as their pages do and make up 1 in all; what hosts without
+links would pass on goes back to the seeds. In the graph hosts stand without user names and ports.
 
 A null url, and one without ``://``, has an empty host and path, fits no rule and is
-allowed; null html has no links. Repeated rows are judged each on its own. An empty
-table gives no rows.
+allowed; null html has no links. Very long pages are read whole. Repeated rows are judged each on its own. Columns other than
+``page_id``, ``url`` and ``html`` are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,13 +34,13 @@ RULES = (
     ("block", "com/de/"),
 )
 DAMPING = 0.85
-ROUNDS = 20
-#: Rounds between writes; the propagation ends early where no value moved by ``TOLERANCE``.
+#: Rounds between writes. The propagation ends where the last round moved no more than ``TOLERANCE`` of the mass of 1 of either kind;
+#: each round moves at most DAMPING of what the one before moved, so it always does.
 WRITE_EVERY = 5
-TOLERANCE = 1e-6
+TOLERANCE = 1e-4
 BLOCK_SHARE = 0.6
 
-_LINK = r"(?i)(?:href|src)\s{0,8}=\s{0,8}[\"']?(?:https?:)?//([^/?#\"'>\s]+)"
+_LINK = r"(?i)(?:href|src)\s*+=\s*+[\"']?\s*+(?:https?:)?//([^/?#\"'>\s]+)"
 
 
 def _lower(c: Column) -> Column:
@@ -63,52 +64,57 @@ def ruled(df: DataFrame, rules=RULES) -> DataFrame:
     return df.withColumn("rule", rule).withColumn("by_rule", verdict)
 
 
+def site(host: Column) -> Column:
+    """A host without user name and port."""
+    return F.regexp_extract(host, r"^(?:.*@)?+([^:@]*)", 1)
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
     """(source, target, n): number of links between different hosts, from absolute links of all pages."""
     links = F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(_LINK), F.lit(1))
-    rows = pages.select(F.col("host").alias("source"), F.explode(links).alias("link"))
-    rows = rows.select("source", _lower(F.regexp_extract("link", "^[^:]*", 0)).alias("target"))
+    rows = pages.select(site(F.col("host")).alias("source"), F.explode(links).alias("link"))
+    rows = rows.select("source", site(_lower(F.col("link"))).alias("target"))
     return rows.where("source != '' AND target != '' AND source != target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, host, rank) from ``seeds`` (kind, host, seed): ``trust`` follows edges, ``distrust`` goes against them.
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(kind, host, rank) from ``seeds`` (kind, host, seed): personalised PageRank; ``trust`` follows edges, ``distrust`` goes against them.
 
-    What a host without outgoing edges holds isn't passed on.
+    Mass that ends at hosts without links is left out of the rounds, and the ranks of a kind are scaled to 1 at the end: that is the
+    same as sending it back to the seeds in each round.
     """
     both = edges.select(F.lit("trust").alias("kind"), F.col("source").alias("host"), F.col("target").alias("to"), "n").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("target").alias("host"), F.col("source").alias("to"), "n")
     )
     total = both.groupBy("kind", "host").agg(F.sum("n").alias("all"))
     share = _common.materialise(both.join(total, ["kind", "host"]).select("kind", "host", "to", (F.col("n") / F.col("all")).alias("share")))
-    seeds = _common.materialise(seeds)
-    start = seeds.select("kind", "host", F.col("seed").alias("rank"))
-    if share.isEmpty():
-        return start
-    rank = start
-    for k in range(1, rounds + 1):
-        before = rank
-        passed = share.join(rank, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("share") * F.col("rank") * damping).alias("rank"))
-        rank = passed.unionByName(seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if k % WRITE_EVERY == 0 or k == rounds:
-            last = before.withColumnRenamed("rank", "was")
-            rank = _common.materialise(rank.join(last, ["kind", "host"], "left").select("kind", "host", "rank", F.abs(F.col("rank") - F.coalesce("was", F.lit(0.0))).alias("moved")))
-            if (rank.agg(F.max("moved")).first()[0] or 0.0) < TOLERANCE:
-                return rank.drop("moved")
-            rank = rank.drop("moved")
-    return rank
+    sums = seeds.groupBy("kind").agg(F.sum("seed").alias("sum"))
+    start = _common.materialise(seeds.join(sums, "kind").select("kind", "host", ((1 - damping) * F.col("seed") / F.col("sum")).alias("rank")))
+    rank, moved = start, 1.0
+    while moved > tolerance:
+        for _ in range(WRITE_EVERY):
+            before = rank
+            passed = share.join(rank, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("share") * F.col("rank") * damping).alias("rank"))
+            rank = passed.unionByName(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        last = before.withColumnRenamed("rank", "was")
+        rank = _common.materialise(rank.join(last, ["kind", "host"], "left").select("kind", "host", "rank", F.abs(F.col("rank") - F.coalesce("was", F.lit(0.0))).alias("moved")))
+        moved = max([0.0, *(r["moved"] for r in rank.groupBy("kind").agg(F.sum("moved").alias("moved")).collect())])
+        rank = rank.drop("moved")
+    sums = rank.groupBy("kind").agg(F.sum("rank").alias("sum"))
+    return rank.join(sums, "kind").select("kind", "host", (F.col("rank") / F.col("sum")).alias("rank"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every page."""
     rows = ruled(parsed(pages.select("page_id", "url", "html")), rules)
-    by_host = rows.where("host != ''").groupBy("host").agg(F.count_if(F.col("by_rule") == "allow").alias("trust"), F.count_if(F.col("by_rule") == "block").alias("distrust"))
+    rows = rows.withColumn("site", site(F.col("host")))
+    by_host = rows.where("site != ''").groupBy(F.col("site").alias("host")).agg(F.count_if(F.col("by_rule") == "allow").alias("trust"), F.count_if(F.col("by_rule") == "block").alias("distrust"))
     seeds = by_host.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "n"))
     seeds = seeds.where("n > 0").select("kind", "host", F.col("n").cast("double").alias("seed"))
     rank = propagate(_common.materialise(host_edges(rows)), seeds)
     total = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)).alias(kind)
     hosts = rank.groupBy("host").agg(total("trust"), total("distrust"))
-    judged = rows.select("page_id", "host", "path", "rule", "by_rule").join(hosts, "host", "left")
+    judged = rows.select("page_id", "host", "path", "rule", "by_rule", "site").join(hosts.withColumnRenamed("host", "site"), "site", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     blocked = (distrust > 0) & (distrust >= BLOCK_SHARE * (trust + distrust))
     verdict = F.coalesce("by_rule", F.when(blocked, F.lit("block")).otherwise(F.lit("allow")))
