@@ -138,3 +138,17 @@ def sign_flip_test(df: DataFrame, a: str, b: str, replicates: int, seed: int = 4
     flipped = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).groupBy("b").agg(F.avg(sign * F.col("x")).alias("m"))
     far = F.abs("m") >= F.abs("observed")
     return flipped.join(F.broadcast(observed)).groupBy("observed").agg(F.avg(far.cast("double")).alias("p"))
+
+
+def correlation_pairs(rows: DataFrame, names) -> DataFrame:
+    """(x, y, c): Pearson's correlation of each two of the named columns, in one pass."""
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    one = rows.agg(*(F.corr(a, b).alias(f"{a}_{b}") for a, b in pairs))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"{a}_{b}").alias("c")) for a, b in pairs))).alias("p")).select("p.*")
+
+
+def compared(rows: DataFrame, model: str, score: str, baseline: str) -> DataFrame:
+    """(model, mean, sd, median, n, t) of the scores of each model; t is Welch's against the baseline."""
+    each = rows.groupBy(model).agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("sd"), F.percentile(score, 0.5).alias("median"), F.count(F.lit(1)).alias("n"), F.var_samp(score).alias("vr"))
+    base = F.broadcast(each.where(F.col(model) == baseline).select(F.col("mean").alias("bm"), F.col("vr").alias("bv"), F.col("n").alias("bn")))
+    return each.join(base).select(model, "mean", "sd", "median", "n", ((F.col("mean") - F.col("bm")) / F.sqrt(F.col("vr") / F.col("n") + F.col("bv") / F.col("bn"))).alias("t"))

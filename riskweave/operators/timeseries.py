@@ -275,3 +275,16 @@ def rate_of(amount: Column, rate_from: Column, rate_to: Column) -> Column:
 
 def sentiment(ciss: Column, funding: Column) -> Column:
     return clip(1 - ciss, 0.0, 1.0) * clip(1 - funding, 0.0, 1.0)
+
+
+def momentum(rows: DataFrame, value: str, order: str, window: int) -> DataFrame:
+    """``rows`` with ``z``: the value against mean and spread of the ``window`` rows before it; 0 where there are fewer, where they are flat, and throughout a series that is too short."""
+    w = Window.orderBy(order).rowsBetween(-window, -1)
+    mean, spread, n = F.avg(value).over(w), F.stddev_pop(value).over(w), F.count(value).over(w)
+    long = rows.count() > window
+    return rows.withColumn("z", F.when(F.lit(long) & (n == window) & (spread > 0), (F.col(value) - mean) / spread).otherwise(0.0))
+
+
+def noise_edge(rows: int, columns: int):
+    """The largest eigenvalue that a correlation matrix of pure noise has: (1 + sqrt(columns / rows))^2."""
+    return F.lit((1 + (columns / rows) ** 0.5) ** 2)
