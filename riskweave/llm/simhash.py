@@ -48,12 +48,15 @@ DISTANCE = 3
 #: Of the pipeline stage: words of a shingle and least Jaccard similarity.
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Texts that show which shingles are common, and the most such shingles held; neither changes which pairs are found.
+#: Texts that show which shingles are common, at least, and one in so many of all; the most such shingles held. None changes which pairs are found.
 SAMPLE = 8000
-COMMON = 1 << 17
+SHARE = 6
+COMMON = 1 << 18
+#: Of the pairs of members not joined yet, the share (one in so many) that is verified in each turn; the last turn takes all.
+SHARES = (16, 1)
 #: Members of a key's group that are held against each other before it is parted by size, then by further shingles, and how often it is.
 CROWD = 64
-LARGE_CROWD = 1024
+LARGE_CROWD = 4096
 LEVELS = 3
 #: Bits, at most, of the bitmap that holds texts back, and sets that a task remembers; neither changes the result.
 BITMAP = 1 << 25
@@ -216,7 +219,7 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 def _common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several texts of a sample hold, sorted, and their ranks by frequency. They only order ``prefix``: any list gives the same pairs."""
-    part = max(1, rows.count() // SAMPLE)
+    part = min(SHARE, max(1, rows.count() // SAMPLE))
 
     def run(batches):
         for batch in batches:
@@ -236,9 +239,10 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
     ``pre`` and ``odd`` are null where the task had the set already, and for sets of fewer than 4, which are alike only when equal.
     """
     _common.ship(rows.sparkSession)
-    common, rank = _common_shingles(rows, words)
+    shared = rows.sparkSession.sparkContext.broadcast(_common_shingles(rows, words))
 
     def run(batches):
+        common, rank = shared.value
         seen: set[int] = set()
         for batch in batches:
             out = []
@@ -318,14 +322,43 @@ def _fits(before: int):
     return share >= SIMILARITY / (1 + SIMILARITY) * (F.col("n_a") + F.col("n_b")) - 1e-6
 
 
+def _apart(members: DataFrame, sketched: DataFrame, share: int) -> DataFrame:
+    """(a, b) of all sets in ``members`` (k, sid, c, n, at) that share a key, aren't of one component c, and may be alike by sizes and places; one in ``share`` of them, by a hash.
+
+    A group of more than CROWD members is parted by size (each stands with its own size and once more, ``twice``, with the next), one of more than LARGE_CROWD by the next shingle that its members hold:
+    sets that share one of their first share a second one among those and one more, and so on. Only what is crowded still at LEVELS
+    is held against each other as it is.
+    """
+    drawn = F.pmod(F.xxhash64(F.least("sid_a", "sid_b"), F.greatest("sid_a", "sid_b")), F.lit(share)) == 0
+    group = Window.partitionBy("k")
+    size = F.floor(F.log("n") / math.log(1 / SIMILARITY) + 1e-9).cast("int")
+    members, rest = members.withColumn("twice", F.lit(False)), None
+    for level in range(LEVELS + 1):
+        most = CROWD if not level else LARGE_CROWD
+        members = members.withColumns({"lo": F.min("c").over(group), "hi": F.max("c").over(group), "crowd": F.count(F.lit(1)).over(group)}).where("lo < hi").drop("lo", "hi")
+        members = _common.materialise(members)
+        few = members if level == LEVELS else members.where(F.col("crowd") <= most)
+        a, b = (few.select("k", *(F.col(c).alias(f"{c}_{x}") for c in ("sid", "n", "c", "at", "twice"))) for x in "ab")
+        met = a.join(b, "k").where((F.col("c_a") < F.col("c_b")) & ~(F.col("twice_a") & F.col("twice_b")) & _fits(max(0, level - 1)) & drawn).select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b")).distinct()
+        rest = met if rest is None else rest.unionByName(met)
+        many = members.where(F.col("crowd") > most).drop("crowd")
+        if level == LEVELS or many.isEmpty():
+            break
+        if level == 0:  # alike sets are of the same or of neighbouring sizes, on a scale of steps of 1 / SIMILARITY
+            sized = many.drop("twice").withColumn("slot", F.explode(F.array(F.struct(size.alias("size"), F.lit(False).alias("twice")), F.struct((size + 1).alias("size"), F.lit(True).alias("twice")))))
+            members = sized.select(F.xxhash64("k", "slot.size").alias("k"), "sid", "n", "c", "at", "slot.twice")
+        else:
+            held = many.join(sketched.where("pre IS NOT NULL").select("sid", "pre").dropDuplicates(["sid"]), "sid")
+            after = held.select("k", "sid", "n", "c", "at", "twice", F.posexplode(F.slice("pre", F.lit(1), F.size("pre") - (LEVELS - 1 - level))).alias("pos", "next"))
+            members = after.where("pos > at").select(F.xxhash64("k", "next").alias("k"), "sid", "n", "c", F.col("pos").alias("at"), "twice")
+    return rest
+
+
 def similar(sketched: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     """(source, target) of fingerprints in ``sketched`` whose texts, in ``rows`` (th, text), are alike: enough of them to join all that are.
 
-    First each member of a key's group is held against the group's least; then the members that
-    are not joined by then are held against each other. A group of more than CROWD of them is parted by
-    size, one of more than LARGE_CROWD by the next shingle that its members hold: sets that share one of their first
-    share a second one among those and one more, and so on. Only what is crowded still at LEVELS is
-    held against each other as it is.
+    First each member of a key's group is held against one of the group. The members that are not joined by then are held
+    against each other: first a share of their pairs, which joins most large groups, and then all that are not joined by then.
     """
     sets = sketched.where("odd IS NOT NULL").groupBy("sid").agg(F.min("th").alias("th"), F.min("n").alias("n"), F.min("odd").alias("odd"), F.min("fp").alias("fp"))
     sets = _common.materialise(sets)
@@ -333,10 +366,8 @@ def similar(sketched: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     first = F.slice("pre", F.lit(1), F.size("pre") - (LEVELS - 1))
     posts = sketched.where("pre IS NOT NULL").select("n", F.posexplode(first).alias("at", "k"), "sid")
     posts = posts.select("k", "sid", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("place"))  # one number takes less room than two
-    posts = posts.withColumns({"lo": F.min("sid").over(group), "hi": F.max("sid").over(group), "there": F.min_by("place", "sid").over(group)}).where("lo < hi").drop("hi")
+    posts = posts.withColumns({"lo": F.min("sid").over(group), "hi": F.max("sid").over(group)}).where("lo < hi").drop("lo", "hi")
     posts = _common.materialise(posts)
-    apart = posts.where("sid > lo").select(F.col("lo").alias("a"), F.col("sid").alias("b"), *_placed("there", "a"), *_placed("place", "b"))
-    near = _alike(apart.where(_fits(0)).select("a", "b"), sets, rows, words)
 
     # texts of one set are alike, whatever their fingerprints
     node = sets.select("sid", "fp")
@@ -346,33 +377,21 @@ def similar(sketched: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     def by_fp(pairs: DataFrame) -> DataFrame:
         return pairs.join(node.toDF("a", "source"), "a").join(node.toDF("b", "target"), "b").where("source != target").select("source", "target")
 
-    linked = _common.materialise(by_fp(near).unionByName(same).unionByName(links(sketched.select("fp").distinct())))
-    found = _common.materialise(connected_components(linked))
-    of = _common.materialise(sets.join(found, F.col("fp") == F.col("node"), "left").select("sid", F.coalesce("component", "fp").alias("c")))
-    members = posts.join(of, "sid").select("k", "sid", "c", *_placed("place"))
-    size = F.floor(F.log("n") / math.log(1 / SIMILARITY) + 1e-9).cast("int")
-    rest = None
-    for level in range(LEVELS + 1):
-        most = CROWD if not level else LARGE_CROWD
-        members = members.withColumns({"lo": F.min("c").over(group), "hi": F.max("c").over(group), "crowd": F.count(F.lit(1)).over(group)}).where("lo < hi").drop("lo", "hi")
-        members = _common.materialise(members)
-        few = members if level == LEVELS else members.where(F.col("crowd") <= most)
-        a, b = (few.select("k", *(F.col(c).alias(f"{c}_{x}") for c in ("sid", "n", "c", "at"))) for x in "ab")
-        met = a.join(b, "k").where((F.col("c_a") < F.col("c_b")) & _fits(max(0, level - 1))).select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b")).distinct()
-        rest = met if rest is None else rest.unionByName(met)
-        many = members.where(F.col("crowd") > most).drop("crowd")
-        if level == LEVELS or many.isEmpty():
-            break
-        if level == 0:  # alike sets are of the same or of neighbouring sizes, on a scale of steps of 1 / SIMILARITY
-            sized = many.withColumn("size", F.explode(F.array(size, size + 1)))
-            members = sized.select(F.xxhash64("k", "size").alias("k"), "sid", "n", "c", "at")
+    linked = _common.materialise(same.unionByName(links(sketched.select("fp").distinct())))
+    for turn in ("leader", *SHARES):
+        found = _common.materialise(connected_components(linked))
+        of = _common.materialise(sets.join(found, F.col("fp") == F.col("node"), "left").select("sid", F.coalesce("component", "fp").alias("c")))
+        if turn == "leader":
+            held = posts.join(of, "sid").withColumns({"lo": F.min("c").over(group), "hi": F.max("c").over(group), "lead": F.min_by(F.struct("sid", "place", "c"), "sid").over(group)})
+            held = held.where("lo < hi AND c != lead.c").select(F.col("lead.sid").alias("a"), F.col("sid").alias("b"), F.col("lead.place").alias("there"), "place")
+            pairs = held.select("a", "b", *_placed("there", "a"), *_placed("place", "b")).where(_fits(0)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         else:
-            held = many.join(sketched.where("pre IS NOT NULL").select("sid", "pre").dropDuplicates(["sid"]), "sid")
-            after = held.select("k", "sid", "n", "c", "at", F.posexplode(F.slice("pre", F.lit(1), F.size("pre") - (LEVELS - 1 - level))).alias("pos", "next"))
-            members = after.where("pos > at").select(F.xxhash64("k", "next").alias("k"), "sid", "n", "c", F.col("pos").alias("at"))
-    out = _common.materialise(linked.unionByName(by_fp(_alike(rest, sets, rows, words))))
-    _common.forget(posts, sets, linked, found, of)
-    return out
+            pairs = _apart(posts.join(of, "sid").select("k", "sid", "c", *_placed("place")), sketched, turn)
+        near = _alike(pairs, sets, rows, words)
+        before, linked = linked, _common.materialise(linked.unionByName(by_fp(near)))
+        _common.forget(near, before, found, of)
+    _common.forget(posts, sets)
+    return linked
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
