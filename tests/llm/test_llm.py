@@ -475,6 +475,33 @@ def test_url_rules_and_propagation(spark, tmp_path):
     assert got[12][2] is None
 
 
+def test_propagation_is_personalised_pagerank(spark):
+    g = np.random.default_rng(5)
+    n, edges = 30, {}
+    for a, b in g.integers(0, 25, (90, 2)).tolist():
+        if a != b:
+            edges[a, b] = edges.get((a, b), 0) + int(g.integers(1, 4))
+    seeds = {"trust": {0: 3.0, 4: 1.0, 29: 2.0}, "distrust": {7: 5.0, 11: 1.0}}
+    df = spark.createDataFrame([(str(a), str(b), k) for (a, b), k in edges.items()], "source string, target string, n long")
+    given = spark.createDataFrame([(kind, str(h), w) for kind, own in seeds.items() for h, w in own.items()], "kind string, host string, seed double")
+    got = {(r["kind"], int(r["host"])): r["rank"] for r in urls.propagate(df, given, tolerance=1e-7).collect()}
+    for kind, own in seeds.items():
+        p = np.zeros((n, n))
+        for (a, b), k in edges.items():
+            p[(b, a) if kind == "trust" else (a, b)] = k
+        v = np.array([own.get(h, 0.0) for h in range(n)]) / sum(own.values())
+        out = p.sum(0)
+        x = v
+        for _ in range(300):  # what ends at a host without links goes back to the seeds
+            x = 0.85 * (p @ np.divide(x, out, out=np.zeros(n), where=out > 0) + v * x[out == 0].sum()) + 0.15 * v
+        assert np.allclose([got.get((kind, h), 0.0) for h in range(n)], x, atol=1e-5)
+
+
+def test_links_with_spaces_ports_and_user_names(spark):
+    pages = spark.createDataFrame([(1, "http://u@A.com:8080/x", "<a href" + " " * 30 + "=\n\n'  HTTPS://me:pw@B.com:99/x'>")], "page_id long, url string, html string")
+    assert [tuple(r) for r in urls.host_edges(urls.parsed(pages)).collect()] == [("a.com", "b.com", 1)]
+
+
 def test_neighbours_recall_and_scores(spark, tmp_path):
     g = np.random.default_rng(3)
     rows = [(k, g.standard_normal(16).tolist()) for k in range(1500)]
