@@ -42,7 +42,7 @@ def lending_capacity(state: DataFrame) -> DataFrame:
 
 
 def lending_offers(state: DataFrame, exposures: DataFrame, mood: float) -> DataFrame:
-    """(lender, borrower, offer): liquid banks to counterparties with CET1 of at least 6; none in a mood under 0.3 when stressed models decide."""
+    """(lender, borrower, offer): liquid banks to counterparties with CET1 of at least 6. ``decisions.stressed_offers`` says what banks under stress do."""
     a = lending_capacity(state).where(liquid(F.col("lcr"))).select(F.col("bank").alias("lender"), "capacity")
     b = state.where("cet1 >= 6").select(F.col("bank").alias("borrower"), "cet1")
     rows = exposures.select(F.col("source").alias("lender"), F.col("target").alias("borrower"), "weight").join(a, "lender").join(b, "borrower")
@@ -92,6 +92,9 @@ def cascade(state: DataFrame, exposures: DataFrame, max_rounds: int = 50) -> Dat
             break
         hit = credit_losses(now, exposures, new).drop("loss")
         now = materialise(hit.withColumn("round", F.when(F.col("round").isNull() & ((F.col("cet1") < 0) | (F.col("cash") < 0)), k).otherwise(F.col("round"))))
+    else:
+        if not now.where(F.col("round") == max_rounds).isEmpty():
+            raise RuntimeError(f"the cascade did not end in {max_rounds} rounds")
     return now.withColumn("defaulted", F.col("round").isNotNull())
 
 

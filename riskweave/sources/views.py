@@ -47,8 +47,9 @@ def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, target, weight) of one quarter, in millions."""
-    return exposure(spark, sf_dir).where("d = DATE'1998-01-01'").select("source", "target", (F.col("weight") / 1e6).alias("weight"))
+    """(source, target, weight) of the last whole quarter of the data, in millions: the one before that of the last shipment."""
+    last = table(spark, sf_dir, "lineitem").agg(F.add_months(F.date_trunc("quarter", F.max("l_shipdate")).cast("date"), -3).alias("d"))
+    return exposure(spark, sf_dir).join(F.broadcast(last), "d", "left_semi").select("source", "target", (F.col("weight") / 1e6).alias("weight"))
 
 
 def bank_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +106,7 @@ SQL = {
         """select cast(date_trunc('quarter', l_shipdate) as date) d, cast(s_nationkey as bigint) source, cast(c_nationkey as bigint) target, sum(l_extendedprice * (1 - l_discount)) weight
         from lineitem join supplier on l_suppkey = s_suppkey join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey where s_nationkey <> c_nationkey group by 1, 2, 3""",
     ),
-    "latest": (("exposure",), "select source, target, weight / 1e6 weight from exposure where d = date '1998-01-01'"),
+    "latest": (("exposure",), "select source, target, weight / 1e6 weight from exposure where d = (select cast(date_trunc('quarter', max(l_shipdate)) - interval 3 month as date) from lineitem)"),
     "bank_state": (
         (),
         """select cast(n_nationkey as bigint) bank, least(greatest(3 + coalesce(sb, 0) / 500, 0), 30) cet1, least(greatest(20 + coalesce(cb, 0) / 40, 20), 300) lcr, least(greatest(60 + coalesce(cb, 0) / 80, 30), 250) nsfr,
