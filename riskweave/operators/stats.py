@@ -111,14 +111,22 @@ def ks_uniform(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
     return rows.agg(F.max(F.greatest(F.col("k") / F.col("n") - F.col("f"), F.col("f") - (F.col("k") - 1) / F.col("n"))).alias("ks"))
 
 
-def bootstrap(df: DataFrame, value: str, replicates: int, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+def _told_apart(df: DataFrame, key: list[str] | None) -> Column:
+    """A hash of each row's key; without one, of all its columns and the number of the row among those equal to it, so that repeated rows stay apart."""
+    if key:
+        return F.xxhash64(*key)
+    own = F.xxhash64(*df.columns)
+    return F.xxhash64(own, F.row_number().over(Window.partitionBy(own).orderBy(own)))
+
+
+def bootstrap(df: DataFrame, value: str, replicates: int, seed: int = 42, alpha: float = 0.05, key: list[str] | None = None) -> DataFrame:
     """One row: mean, percentile interval and population deviation of the means of Poisson resamples.
 
-    A row enters each replicate a Poisson(1) number of times, decided by a hash of row and
+    A row enters each replicate a Poisson(1) number of times, decided by a hash of its key and
     replicate, so that replicates need no shuffle of the data: it is one pass and one partial
     aggregation by replicate.
     """
-    rows = df.select(F.col(value).cast("double").alias("x"), F.monotonically_increasing_id().alias("_row"))
+    rows = df.select(F.col(value).cast("double").alias("x"), _told_apart(df, key).alias("_row"))
     u = (F.pmod(F.xxhash64("_row", "b", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     count, level, total = F.lit(0), 0.0, math.exp(-1)
     for k in range(12):
@@ -130,9 +138,9 @@ def bootstrap(df: DataFrame, value: str, replicates: int, seed: int = 42, alpha:
     return means.agg(F.percentile("m", alpha / 2).alias("low"), F.percentile("m", 1 - alpha / 2).alias("high"), F.stddev_pop("m").alias("se"), F.count(F.lit(1)).alias("replicates"))
 
 
-def sign_flip_test(df: DataFrame, a: str, b: str, replicates: int, seed: int = 42) -> DataFrame:
+def sign_flip_test(df: DataFrame, a: str, b: str, replicates: int, seed: int = 42, key: list[str] | None = None) -> DataFrame:
     """One row: mean difference and the share of sign-flipped replicates at least as far from zero."""
-    rows = df.select((F.col(a) - F.col(b)).alias("x"), F.monotonically_increasing_id().alias("_row"))
+    rows = df.select((F.col(a) - F.col(b)).alias("x"), _told_apart(df, key).alias("_row"))
     observed = rows.agg(F.avg("x").alias("observed"))
     sign = 1 - 2 * F.pmod(F.xxhash64("_row", "b", F.lit(seed)), F.lit(2))
     flipped = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).groupBy("b").agg(F.avg(sign * F.col("x")).alias("m"))

@@ -100,13 +100,13 @@ def ks_uniform(s, d):
 
 @register("bootstrap_mean")
 def bootstrap_mean(s, d):
-    return stats.bootstrap(v.ret(s, d), "r", 10000)
+    return stats.bootstrap(v.ret(s, d), "r", 10000, key=["bank", "d"])
 
 
 @register("sign_flip")
 def sign_flip(s, d):
-    e = _forecasts(s, d).select((F.col("v") - F.col("ma")).alias("x"), (F.col("v") - F.col("last")).alias("y"))
-    return stats.sign_flip_test(e, "x", "y", 10000)
+    e = _forecasts(s, d).select("a", "d", (F.col("v") - F.col("ma")).alias("x"), (F.col("v") - F.col("last")).alias("y"))
+    return stats.sign_flip_test(e, "x", "y", 10000, key=["a", "d"])
 
 
 @register("volatility_regression", oracle("vol", "select d, round(m - (b * v + c), 6) + 0e0 residual, round(q, 6) + 0e0 r2 from vol, (select regr_slope(m, v) b, regr_intercept(m, v) c, regr_r2(m, v) q from vol)"))

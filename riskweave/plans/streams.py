@@ -27,6 +27,6 @@ def stream_sessions(s, d):
     return out.select("user_id", F.to_date("start").alias("d"), "n")
 
 
-@register("stream_smoothed")
+@register("stream_smoothed", "select event_type, max(n) n, round(sum(value * pow(0.9, n - k) * case when k = 1 then 1 else 0.1 end), 5) + 0e0 ema from (select event_type, value, row_number() over (partition by event_type order by ts, event_id) k, count(*) over (partition by event_type) n from events) group by 1")
 def stream_smoothed(s, d):
-    return ev.drained(ev.smoothed(ev.events(s, d)), "update")
+    return ev.drained(ev.smoothed(ev.events(s, d)), "update", ("event_type",)).withColumn("ema", F.round("ema", 5) + F.lit(0.0))
