@@ -165,3 +165,36 @@ def test_registered_queries_use_all_banks_and_the_reference_counts(spark, monkey
     banks = v.ret(spark, data).select("bank").distinct().count()
     assert banks > 8 and seen["banks"] == banks and seen["lags"] == 5 and seen["ensemble"] == 1000
     assert queries["bootstrap_mean"](spark, data).first()["replicates"] == 10000
+
+
+def test_sources_are_chosen_by_name_and_range(spark):
+    from riskweave.sources import generated as gen
+
+    banks = spark.createDataFrame([(1,), (2,)], "bank long")
+    days = [r["d"].isoweekday() for r in gen.collected(spark, "cds", banks, "1999-01-01", "1999-01-14").select("d").distinct().collect()]
+    assert len(days) == 10 and max(days) == 5
+    assert gen.indicator(spark, "credit_gap", banks, "1999-01-01", "1999-12-31").count() == 8
+    for wrong in (lambda: gen.generated(spark, "nothing", banks), lambda: gen.indicator(spark, "cds", banks)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_scores_of_interactions_fold_in_order(spark):
+    from riskweave.operators import decisions as dec
+
+    rows = spark.createDataFrame([("a", "b", 1, 1.0), ("a", "b", 2, -1.0), ("a", "b", 3, 1.0), ("c", "b", 1, 0.5)], "lender string, borrower string, at long, outcome double")
+    got = {r["lender"]: r["score"] for r in dec.interaction_scores(rows, 0.5).collect()}
+    assert got == {"a": pytest.approx(((0.5 * 0.5) - 0.5) * 0.5 + 0.5), "c": pytest.approx(0.25)}
+    with pytest.raises(ValueError):
+        dec.interaction_scores(rows, 0.0)
+
+
+def test_central_nodes_of_a_path(spark):
+    from riskweave.operators import paths
+
+    rows = spark.createDataFrame([(0, a, b, 1.0) for a, b in ((0, 1), (1, 2), (2, 3))], "g int, source long, target long, weight double")
+    got = {r["node"]: (r["degree"], r["closeness"], r["betweenness"]) for r in paths.centralities(rows, ["g"]).collect()}
+    assert got[0] == (pytest.approx(1 / 3), 0.0, 0.0) and got[1][2] == got[2][2] == pytest.approx(2 / 6)
+    assert got[3][1] == pytest.approx(3 / 6)
+    with pytest.raises(Exception, match="no cluster"):
+        paths.cluster_names(spark.createDataFrame([(1,), (2,)], "node long"), spark.createDataFrame([(1, 0)], "node long, k long")).collect()
