@@ -2,12 +2,14 @@
 
 import datetime as dt
 import math
+from statistics import NormalDist
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from riskweave.functions.distributions import beta_inc, f_upper, normal_cdf, t_two_sided
-from riskweave.operators import contagion, learning, network, risk, spectral, stats, timeseries
+from riskweave.operators import contagion, learning, network, rates, risk, spectral, stats, timeseries, validation
 from riskweave.operators.components import connected_components
 from riskweave.sources import views as v
 
@@ -198,3 +200,68 @@ def test_central_nodes_of_a_path(spark):
     assert got[3][1] == pytest.approx(3 / 6)
     with pytest.raises(Exception, match="no cluster"):
         paths.cluster_names(spark.createDataFrame([(1,), (2,)], "node long"), spark.createDataFrame([(1, 0)], "node long, k long")).collect()
+
+
+@pytest.mark.parametrize("n,splits,train,test,gap", [(60, 4, 20, 10, 2), (33, 5, 20, 10, 2), (34, 5, 20, 10, 2), (100, 1, 30, 7, 0)])
+def test_folds(spark, n, splits, train, test, gap):
+    step = max(1, (n - train - gap - test) // splits)
+    want = [(k, train + k * step, train + k * step + gap, min(train + k * step + gap + test, n)) for k in range(splits) if train + k * step + gap < n]
+    assert sorted(map(tuple, validation.expanding_folds(spark, n, splits, train, test, gap).collect())) == want
+    first, last = train + gap, n - test
+    starts = [first + (last - first) * k // max(1, splits - 1) for k in range(splits)]
+    assert sorted(map(tuple, validation.spaced_folds(spark, n, splits, train, test, gap).collect())) == [(k, s - gap, s, s + test) for k, s in enumerate(starts)]
+
+
+def test_folds_of_too_few_rows(spark):
+    for folds in (validation.expanding_folds, validation.spaced_folds):
+        with pytest.raises(ValueError, match="too few"):
+            folds(spark, 32, 4, 20, 10, 2)
+
+
+def test_corrected_interval(spark):
+    x = np.random.default_rng(3).exponential(size=40)
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, v double")
+    got = validation.corrected_interval(rows, "v", 300).first()
+    b, i = np.meshgrid(np.arange(300), np.arange(40), indexing="ij")
+    means = x[(b * 7919 + i * 6151 + b * i * 31 + (b % 7) * (i % 11) * 977) % 10007 % 40].mean(1)
+    left = np.array([np.delete(x, k).mean() for k in range(40)])
+    a = ((left.mean() - left) ** 3).sum() / (6 * ((left.mean() - left) ** 2).sum() ** 1.5)
+    normal = NormalDist()
+    z0 = normal.inv_cdf((means < x.mean()).mean())
+    ends = [np.percentile(means, 100 * normal.cdf(z0 + (z0 + z) / (1 - a * (z0 + z)))) for z in (normal.inv_cdf(0.025), normal.inv_cdf(0.975))]
+    assert (got.estimate, got.low, got.high, got.se) == pytest.approx((x.mean(), *ends, means.std()))
+
+
+def test_corrected_interval_of_nothing(spark):
+    assert tuple(validation.corrected_interval(spark.createDataFrame([], "i long, v double"), "v", 10).first()) == (None,) * 4
+
+
+def test_sensitivity_of_a_line(spark):
+    bounds = {"p": (0.0, 1.0), "q": (0.0, 2.0), "idle": (0.0, 1.0)}
+    run = validation.screening_points(spark, bounds, 50, 0.1).withColumn("y", F.expr("3 * p - q"))
+    got = {r.parameter: (r.effect, r.spread) for r in validation.elementary_effects(run.where("p < 0.9 AND q < 1.8"), bounds, "y", 0.1).collect()}
+    assert got["p"] == pytest.approx((3, 0), abs=1e-9) and got["q"] == pytest.approx((1, 0), abs=1e-9) and got["idle"] == pytest.approx((0, 0), abs=1e-9)
+    run = validation.variance_points(spark, bounds, 2000).withColumn("y", F.expr("3 * p - q"))
+    got = {r.parameter: (r.first, r.total) for r in validation.variance_shares(run, "y").collect()}
+    assert got["p"] == pytest.approx((9 / 13, 9 / 13), abs=0.03) and got["q"] == pytest.approx((4 / 13, 4 / 13), abs=0.03) and got["idle"] == pytest.approx((0, 0), abs=0.03)
+    flat = validation.variance_shares(run.withColumn("y", F.lit(1.0)), "y").collect()
+    assert {(r.first, r.total) for r in flat} == {(None, None)}
+
+
+def test_conversion(spark):
+    rates_ = spark.sql("select * from values ('USD', date '2020-01-01', 2e0), ('USD', date '2020-01-04', 4e0), ('GBP', date '2020-01-01', 0.5e0) t(ccy, d, rate)")
+    rows = spark.sql("select * from values (1, 'USD', 'EUR', date '2020-01-03', 8e0), (2, 'EUR', 'USD', date '2020-01-04', 8e0), (3, 'GBP', 'USD', date '2020-01-01', 1e0), (4, 'GBP', 'USD', date '2020-01-02', 1e0), (5, 'XXX', 'XXX', date '2020-01-02', 7e0), (6, 'USD', 'EUR', date '2019-12-31', 1e0), (7, null, 'EUR', date '2020-01-01', 1e0) t(id, src, dst, d, amount)")
+    got = {r.id: r.value for r in rates.converted(rows, rates_, F.col("amount")).collect()}
+    assert got == {1: 4.0, 2: 32.0, 3: 4.0, 4: None, 5: 7.0, 6: None, 7: None}
+    assert rates.converted(rows.where("id in (1, 2, 3, 5)"), rates_, F.col("amount"), strict=True).count() == 4
+    with pytest.raises(Exception, match="no rate on"):
+        rates.converted(rows, rates_, F.col("amount"), strict=True).collect()
+
+
+def test_rate_cache_expires(spark, tmp_path):
+    held = spark.sql("select 'USD' ccy, date '2020-01-01' d, 2e0 rate")
+    rates.save(held, str(tmp_path / "r"), F.expr("timestamp '2020-01-02 00:00:00'"))
+    assert rates.load(spark, str(tmp_path / "r"), F.expr("timestamp '2020-01-02 23:00:00'")).collect() == held.collect()
+    assert rates.load(spark, str(tmp_path / "r"), F.expr("timestamp '2020-01-03 00:00:00'")).count() == 0
+    wanted = spark.sql("select explode(array('EUR', 'USD', 'JPY')) ccy")
+    assert [r.ccy for r in rates.missing(wanted, held).collect()] == ["JPY"]
