@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskweave.functions.columns import rounded
-from riskweave.operators import rates, resampling, validation as val
+from riskweave.operators import coarse, network as net, rates, resampling, spectral, validation as val
 from riskweave.plans.catalog import register
+from riskweave.plans.graphs import edges
 from riskweave.plans.scores import _FORE, _forecasts, _prefixed
 from riskweave.sources import views as v
 from riskweave.sources.scratch import shared_dir
@@ -158,3 +159,47 @@ def channel_ablation(s, d):
     each = v.bank_state(s, d).join(F.broadcast(points)).groupBy("config", "run").agg(F.count_if(F.expr(_DEFAULT)).alias("n"))
     out = each.groupBy("config").agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("sd"), F.max("n").alias("most"), F.avg(F.when(F.col("n") > 0, 1.0).otherwise(0.0)).alias("rate"))
     return rounded(out, "mean", "sd", "rate")
+
+
+# --- coarse graining -----------------------------------------------------------------------------------
+
+
+def _coarse(s, d):
+    e = edges(s, d)
+    return e, spectral.modes(e, "d", normalised=False)
+
+
+def _hubs(e):
+    """The node of each snapshot that has the most edges, by smallest number."""
+    degree = net.degrees(net.mirrored(e), ["d"])
+    return degree.groupBy("d").agg(F.min_by("node", F.struct(-F.col("k"), "node")).alias("node"))
+
+
+@register("coarse_rescaled")
+def coarse_rescaled(s, d):
+    """Coarse weights over the value of their last mode, null for a snapshot of too many parts."""
+    e, modes = _coarse(s, d)
+    return rounded(coarse.rescaled(spectral.coarse_weights(modes, e, "d", 3), modes, "d", 3, strict=False), "w")
+
+
+@register("coarse_spectrum_error")
+def coarse_spectrum_error(s, d):
+    """The values of the network against those of its coarse-grained weights."""
+    e, modes = _coarse(s, d)
+    other = spectral.modes(spectral.coarse_weights(modes, e, "d", 3).withColumnRenamed("w", "c"), "d", normalised=False)
+    return rounded(coarse.spectrum_error(modes, other, "d", 3), "error", digits=5)
+
+
+def _diffusion(s, d):
+    e, modes = _coarse(s, d)
+    return coarse.diffusion_by_scale(modes, "d", _hubs(e), list(range(1, 13)), list(range(1, 11)))
+
+
+@register("diffusion_by_scale")
+def diffusion_by_scale(s, d):
+    return rounded(_diffusion(s, d), "error", "corr", "rmse", "r2", digits=5)
+
+
+@register("best_scale")
+def best_scale(s, d):
+    return coarse.best_scale(_diffusion(s, d), "d")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskweave.functions.distributions import beta_inc, f_upper, normal_cdf, t_two_sided
-from riskweave.operators import contagion, learning, network, rates, risk, spectral, stats, timeseries, validation
+from riskweave.operators import coarse, contagion, learning, network, rates, risk, spectral, stats, timeseries, validation
 from riskweave.operators.components import connected_components
 from riskweave.sources import views as v
 
@@ -265,3 +265,47 @@ def test_rate_cache_expires(spark, tmp_path):
     assert rates.load(spark, str(tmp_path / "r"), F.expr("timestamp '2020-01-03 00:00:00'")).count() == 0
     wanted = spark.sql("select explode(array('EUR', 'USD', 'JPY')) ccy")
     assert [r.ccy for r in rates.missing(wanted, held).collect()] == ["JPY"]
+
+
+def test_diffusion_by_scale(edges, spark):
+    a = np.zeros((5, 5))
+    for _, i, j, c in EDGES:
+        a[i, j] = a[j, i] = c
+    lap = np.diag(a.sum(1)) - a
+    values, vectors = np.linalg.eigh(lap)
+
+    def heat(m, t):
+        out = term = np.eye(5)[0]
+        for k in range(1, 80):
+            term = -t * m @ term / k
+            out = out + term
+        return out
+
+    m = spectral.modes(edges, "g", normalised=False)
+    hub = spark.createDataFrame([(0, 0)], "g int, node long")
+    got = {(r.k, r.t): r for r in coarse.diffusion_by_scale(m, "g", hub, [1, 2, 4], [0.5, 2]).collect()}
+    assert len(got) == 6
+    for (k, t), r in got.items():
+        p, q = heat(lap, t), heat(vectors * np.where(np.arange(5) <= k, values, 0) @ vectors.T, t)
+        r2 = 1 - ((p - q) ** 2).sum() / ((p - p.mean()) ** 2).sum()
+        want = (np.linalg.norm(p - q) / np.linalg.norm(p), np.corrcoef(p, q)[0, 1], np.sqrt(((p - q) ** 2).mean()), r2)
+        assert (r.error, r["corr"], r.rmse, r.r2) == pytest.approx(want, abs=1e-9)
+    assert got[4, 2.0].error == pytest.approx(0, abs=1e-9)
+
+
+def test_best_scale(spark):
+    rows = spark.createDataFrame([(0, 1, 0.1), (0, 2, 0.95), (0, 3, 0.99), (1, 2, 0.5)], "g int, k long, r2 double")
+    assert sorted(map(tuple, coarse.best_scale(rows, "g").collect())) == [(0, 2), (1, 1)]
+
+
+def test_rescaled_and_spectrum_error(edges):
+    m = spectral.modes(edges, "g", normalised=False)
+    values = [r[0] for r in m.groupBy("mode").agg(F.max("lambda")).orderBy("mode").select("max(lambda)").collect()]
+    w = edges.withColumnRenamed("c", "w")
+    assert [r.w for r in coarse.rescaled(w, m, "g", 2).collect()] == pytest.approx([1 / values[2]] * len(EDGES))
+    assert {r.w for r in coarse.rescaled(w, m, "g", 0, strict=False).collect()} == {None}
+    with pytest.raises(Exception, match="no positive value"):
+        coarse.rescaled(w, m, "g", 0).collect()
+    half = spectral.modes(edges.withColumn("c", F.col("c") / 2), "g", normalised=False)
+    assert coarse.spectrum_error(m, half, "g", 3).first().error == pytest.approx(0.5)
+    assert coarse.spectrum_error(m, m, "g", 3).first().error == 0
