@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskweave.llm import bpe_op, langid, licences, merkle, neighbours, packing, pii, simhash, toxicity, urls
+from riskweave.llm import bpe_op, importance, langid, licences, merkle, neighbours, packing, pii, simhash, toxicity, urls
 
 _QUERIES = {
     "op1_urls": urls.op1_urls,
@@ -15,8 +15,11 @@ _QUERIES = {
     "op8_merkle": merkle.op8_merkle,
     "op9_simhash": simhash.op9_simhash,
     "op10_licences": licences.op10_licences,
+    "op13_resample": importance.op13_resample,
+}
+_SQL: dict[str, str] = {
+    "op13_resample": importance.SQL,
 }
-_SQL: dict[str, str] = {}
 
 
 def queries() -> dict:
