@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import _common
-from riskweave.llm.ranks import ranked
+from riskweave.llm.ranks import ranked, repeated
 
 _BREAKS = "".join(c for c in map(chr, range(128)) if c not in string.ascii_letters + string.digits)
 
@@ -82,7 +82,7 @@ def resample(
     each = each.select(*key, _bucket(F.col("run"), buckets).alias("bucket")).join(table, "bucket", "left")
     # a document's rows are as many as its runs, or one if it has none: what is over are repeated rows
     sums = each.groupBy(*key).agg(F.coalesce(F.sum("gain"), F.lit(0)).alias("_sum"), (F.count(F.lit(1)) / F.greatest("n_features", F.lit(1))).cast("long").alias("_rows"))
-    scored = sums.select("doc_id", "_text", "n_features", (F.col("_long") >= least_words).alias("_fit"), (F.col("_sum") / F.col("_rows")).cast("long").alias("weight"), F.explode(F.sequence(F.lit(1).cast("long"), "_rows")).alias("_row"))
+    scored = repeated(sums, "_rows", "_row").select("doc_id", "_text", "n_features", (F.col("_long") >= least_words).alias("_fit"), (F.col("_sum") / F.col("_rows")).cast("long").alias("weight"), "_row")
     scored = scored.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
     found = ranked(scored, F.desc("_fit"), F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("_text"), F.asc("_row"))
     drawn = F.broadcast(found.agg(F.floor(F.count_if("_fit") * percent / 100).alias("_drawn")))

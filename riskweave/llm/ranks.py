@@ -24,3 +24,10 @@ def ranked(rows: DataFrame, *order: Column) -> DataFrame:
     # one row a range, and there are as many ranges as shuffle partitions
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return parted.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("rank", F.col("_before") + place + 1).drop("_part", "_before", "_at")
+
+
+def repeated(rows: DataFrame, times: str, place: str) -> DataFrame:
+    """Each row as often as its column ``times`` says, numbered from 0 in ``place``. Numbers are dealt by blocks, so no row holds a long array."""
+    block = 1 << 12
+    blocks = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({times} - 1) div {block}"))))
+    return blocks.withColumn(place, F.explode(F.sequence(F.col("_block") * block, F.least(F.col(times), (F.col("_block") + 1) * block) - 1))).drop("_block")

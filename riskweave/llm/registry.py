@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskweave.llm import bpe_op, importance, langid, licences, merkle, neighbours, packing, pii, simhash, toxicity, urls
+from riskweave.llm import bpe_op, chat, importance, langid, licences, manifest, merkle, neighbours, packing, pii, simhash, toxicity, urls
 
 _QUERIES = {
     "op1_urls": urls.op1_urls,
@@ -15,9 +15,13 @@ _QUERIES = {
     "op8_merkle": merkle.op8_merkle,
     "op9_simhash": simhash.op9_simhash,
     "op10_licences": licences.op10_licences,
+    "op11_chat": chat.op11_chat,
+    "op12_manifest": manifest.op12_manifest,
     "op13_resample": importance.op13_resample,
 }
 _SQL: dict[str, str] = {
+    "op11_chat": chat.SQL,
+    "op12_manifest": manifest.SQL,
     "op13_resample": importance.SQL,
 }
 
