@@ -7,7 +7,7 @@ Places come without a global sort: ids are read as digits, histograms of their l
 rows under smaller prefixes. A window spans the digits that follow one prefix, so its rows are bounded whatever the ids are. Where
 rows share an id, the digits of their hashes go on in the same way; rows alike in all fields are counted and take places in a row. A
 place, written in base ``FANOUT``, is the key of a leaf in the trie. Nodes are reduced from the longest prefixes up, ``LEVELS`` levels at a time, in tasks
-of at most ``FANOUT ** LEVELS`` nodes; siblings come down the same way. Every level is written to the shared folder, so a lost executor costs
+of at most ``FANOUT ** LEVELS`` nodes each; siblings come down the same way. Every level is written to the shared folder, so a lost executor costs
 one level at most.
 
 Null fields are hashed as ``-``. Null ids come before others, a null source before all others and apart from the empty one. Very long texts are hashed in
@@ -29,9 +29,8 @@ from riskweave.llm.ranks import ranked, repeated
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 FANOUT = 3
-#: Levels of the trie that one task reduces at once, and so the nodes that it holds.
+#: Levels of the trie that one task reduces at once; it holds FANOUT ** LEVELS nodes then.
 LEVELS = 6
-WIDTH = FANOUT**LEVELS
 #: Bits of a digit that histograms are kept of.
 BITS = 16
 
@@ -95,12 +94,11 @@ def _hash(children: list[str]) -> str:
     return hashlib.sha256("".join(children).encode()).hexdigest()
 
 
-def _levels(digests: list[str], n: int) -> list[list[str]]:
-    """Level by level, the nodes over ``digests``, a whole group if its ``n`` nodes fit a task, else a part of one."""
-    out = [digests]
-    while len(out) <= LEVELS if n > WIDTH else n > 1:
+def _levels(digests: list[str], n: int, deep: int) -> list[list[str]]:
+    """Level by level, the nodes over ``digests``: all of a group if its ``n`` nodes fit a task, else ``deep`` levels over a part of it."""
+    out, whole = [digests], n <= FANOUT**deep
+    while len(out[-1]) > 1 if whole else len(out) <= deep:
         out.append([_hash(out[-1][k : k + FANOUT]) for k in range(0, len(out[-1]), FANOUT)])
-        n = n if n > WIDTH else -(-n // FANOUT)
     return out
 
 
@@ -114,30 +112,30 @@ def _siblings(levels: list[list[str]], k: int) -> list[str]:
     return out
 
 
-def _chunks(nodes: DataFrame) -> DataFrame:
-    """(g, i, n, kids): runs of WIDTH neighbouring nodes (g, i, n, digest and others)."""
+def _chunks(nodes: DataFrame, width: int) -> DataFrame:
+    """(g, i, n, kids): runs of ``width`` neighbouring nodes (g, i, n, digest and others)."""
     kid = F.struct("i", *(c for c in nodes.columns if c not in ("g", "i", "n")))
-    return nodes.groupBy("g", F.expr(f"i div {WIDTH}").alias("_run")).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(kid)).alias("kids")).withColumnRenamed("_run", "i")
+    return nodes.groupBy("g", F.expr(f"i div {width}").alias("_run")).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(kid)).alias("kids")).withColumnRenamed("_run", "i")
 
 
-def _reduced(chunks: DataFrame) -> DataFrame:
+def _reduced(chunks: DataFrame, deep: int) -> DataFrame:
     """(g, i, n, digest): the node over each chunk, and how many of these its group has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column("n").to_pylist()
-            tops = [_levels(kids, k)[-1][0] for kids, k in zip(batch.column("digests").to_pylist(), n, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("i"), pa.array([-(-k // WIDTH) for k in n], pa.int64()), pa.array(tops, pa.string())], names=["g", "i", "n", "digest"])
+            tops = [_levels(kids, k, deep)[-1][0] for kids, k in zip(batch.column("digests").to_pylist(), n, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("i"), pa.array([-(-k // FANOUT**deep) for k in n], pa.int64()), pa.array(tops, pa.string())], names=["g", "i", "n", "digest"])
 
     return chunks.select("g", "i", "n", F.col("kids.digest").alias("digests")).mapInArrow(run, "g string, i long, n long, digest string")
 
 
-def reduce(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+def reduce(nodes: DataFrame, deep: int) -> tuple[list[DataFrame], DataFrame]:
     """The chunks of every round, from the leaves ``nodes`` (g, i, n, digest and others) up, and (g, digest, round): the top of each group and the round that made it."""
     rounds, tops = [], None
     while True:
-        rounds.append(_common.materialise(_chunks(nodes)))
-        nodes = _common.materialise(_reduced(rounds[-1]))
+        rounds.append(_common.materialise(_chunks(nodes, FANOUT**deep)))
+        nodes = _common.materialise(_reduced(rounds[-1], deep))
         done = nodes.where("n = 1").select("g", "digest", F.lit(len(rounds) - 1).alias("round"))
         tops = done if tops is None else tops.unionByName(done)
         nodes = nodes.where("n > 1")
@@ -145,13 +143,13 @@ def reduce(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             return rounds, tops
 
 
-def _steps(chunks: DataFrame) -> DataFrame:
+def _steps(chunks: DataFrame, deep: int) -> DataFrame:
     """(g, i, steps, top, root) of every node in ``chunks``, which hold these of the node over them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                levels = _levels(row["digests"], row["n"])
+                levels = _levels(row["digests"], row["n"], deep)
                 size = len(row["digests"])
                 steps = [_siblings(levels, k) + row["steps"] for k in range(size)]
                 yield pa.RecordBatch.from_arrays([pa.array([row["g"]] * size, pa.string()), pa.array(row["places"], pa.int64()), pa.array(steps, pa.list_(pa.string())), pa.array([row["top"]] * size, pa.string()), pa.array([row["root"]] * size, pa.string())], names=["g", "i", "steps", "top", "root"])
@@ -160,25 +158,25 @@ def _steps(chunks: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "g string, i long, steps array<string>, top string, root string")
 
 
-def descend(rounds: list[DataFrame], tops: DataFrame) -> DataFrame:
+def descend(rounds: list[DataFrame], tops: DataFrame, deep: int) -> DataFrame:
     """The chunks of leaves, each with ``steps`` (what stands left and right of it and of each node over it), ``top`` and ``root``, from (g, round, steps, top, root) of the groups' tops."""
     above = None
     for k in range(len(rounds) - 1, -1, -1):
         here = tops.where(F.col("round") == k).select("g", F.lit(0).cast("long").alias("i"), "steps", "top", "root")
         above = here if above is None else here.unionByName(above)
         found = rounds[k].join(above, ["g", "i"])
-        above = _common.materialise(_steps(found)) if k else None
+        above = _common.materialise(_steps(found, deep)) if k else None
     return found
 
 
-def _proven(chunks: DataFrame) -> DataFrame:
+def _proven(chunks: DataFrame, deep: int) -> DataFrame:
     """Of every leaf: its hash, those over it, the hash of its proof, and what its ``seen`` hash folds up to."""
     schema = "none boolean, id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                levels = _levels([x["digest"] for x in row["kids"]], row["n"])
+                levels = _levels([x["digest"] for x in row["kids"]], row["n"], deep)
                 out = []
                 for k, kid in enumerate(row["kids"]):
                     steps = _siblings(levels, k) + row["steps"]
@@ -191,7 +189,7 @@ def _proven(chunks: DataFrame) -> DataFrame:
     return chunks.select("n", "kids", "steps", "top", "root").mapInArrow(run, schema)
 
 
-def manifest(docs: DataFrame, seen: Column | None = None) -> DataFrame:
+def manifest(docs: DataFrame, seen: Column | None = None, deep: int = LEVELS) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of every row of ``docs``.
 
     ``seen`` is the leaf that a reader computes of what it was given (default: the same); folded up by the
@@ -201,15 +199,15 @@ def manifest(docs: DataFrame, seen: Column | None = None) -> DataFrame:
     group = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))  # null first, then bytewise
     each = docs.select(group.alias("g"), F.col("doc_id").cast("long").alias("_id"), leaf().alias("digest"), *([] if seen is None else [seen.alias("seen")]))
     each = each.select("g", F.col("_id").isNull().alias("none"), F.coalesce("_id", F.lit(0)).cast("long").alias("id"), "digest", F.col("digest" if seen is None else "seen").alias("seen"))
-    rounds, subroots = reduce(placed(each))
+    rounds, subroots = reduce(placed(each), deep)
 
     sources = ranked(subroots.select(F.col("g").alias("source"), "digest", "round"), F.asc("source")).withColumn("i", F.col("rank") - 1)
     size = F.broadcast(sources.agg(F.count(F.lit(1)).alias("n")))  # one row
-    over, root = reduce(sources.join(size).select(F.lit("").alias("g"), "i", "n", "digest"))
+    over, root = reduce(sources.join(size).select(F.lit("").alias("g"), "i", "n", "digest"), deep)
     none = F.array().cast("array<string>")
-    paths = _steps(descend(over, root.select("g", "round", none.alias("steps"), F.col("digest").alias("top"), F.col("digest").alias("root"))))
+    paths = _steps(descend(over, root.select("g", "round", none.alias("steps"), F.col("digest").alias("top"), F.col("digest").alias("root")), deep), deep)
     tops = _common.materialise(sources.join(paths.drop("g", "top"), "i").select(F.col("source").alias("g"), "round", "steps", F.col("digest").alias("top"), "root"))
-    out = _proven(descend(rounds, tops))
+    out = _proven(descend(rounds, tops, deep), deep)
     return out.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), *out.columns[2:])
 
 
