@@ -31,7 +31,9 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 FANOUT = 3
 #: Levels of the trie that one task reduces at once; it holds FANOUT ** LEVELS nodes then.
 LEVELS = 6
-#: Bits of a digit that histograms are kept of.
+#: Bits under each digit of an id that histograms are kept of, from the highest; windows of the last digits, where ids are dense, are short.
+SHIFTS = (48, 32, 20, 10, 0)
+#: Bits of a digit of a hash.
 BITS = 16
 
 
@@ -44,7 +46,7 @@ def leaf(**changed: Column) -> Column:
 def rank(rows: DataFrame, group: list[str], digits: list[Column], last: str) -> DataFrame:
     """``rows`` with ``before``, the sum of ``n`` over smaller rows of the group, and ``total``, that over all its rows.
 
-    Rows compare by ``digits``, each of at most some 2 ** BITS values, and where all but the last of these are the same by ``last``, which tells them apart.
+    Rows compare by ``digits``, each of at most some 2 ** 16 values, and where all but the last of these are the same by ``last``, which tells them apart.
     """
     names = [f"_d{k}" for k in range(len(digits))]
     rows = rows.withColumns(dict(zip(names, digits, strict=True)))
@@ -64,8 +66,8 @@ def rank(rows: DataFrame, group: list[str], digits: list[Column], last: str) ->
 
 def _id_digits() -> list[Column]:
     """Digits of ``id`` from the highest, null before negative ids and these before others."""
-    high = F.when(F.col("none"), 0).otherwise(F.shiftright("id", 64 - BITS) + (1 << (BITS - 1)) + 1).cast("int")
-    return [high, *(F.shiftright("id", s).bitwiseAND((1 << BITS) - 1).cast("int") for s in range(64 - 2 * BITS, -1, -BITS))]
+    high = F.when(F.col("none"), 0).otherwise(F.shiftright("id", SHIFTS[0]) + (1 << (63 - SHIFTS[0])) + 1).cast("int")
+    return [high, *(F.shiftright("id", low).bitwiseAND((1 << (top - low)) - 1).cast("int") for top, low in zip(SHIFTS, SHIFTS[1:], strict=False))]
 
 
 def _hash_digits() -> list[Column]:
