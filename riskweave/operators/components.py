@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.sources.scratch import materialise
+from riskweave.sources.scratch import forget, materialise
 
 
 def connected_components(edges: DataFrame, source: str = "source", target: str = "target", max_rounds: int = 60) -> DataFrame:
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, source: str = "source", target: str =
         large = both.where(b > a).join(least, "a").select(b.alias("a"), F.col("m").alias("b")).where(a != b).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(b.alias("a"), F.col("m").alias("b")))).alias("e"))
-        now, new = _step(small.select("e.a", "e.b").where(a != b).distinct())
+        before, (now, new) = now, _step(small.select("e.a", "e.b").where(a != b).distinct())
+        forget(before)
         if new == mark:
             break
         mark = new
