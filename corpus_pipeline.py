@@ -17,6 +17,7 @@ from riskweave.llm import _common, langid, packing, pii, simhash, toxicity
 
 
 def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the pieces of all documents and their places in sequences; a null text is empty, other columns are not read."""
     return packing.pack(docs)
 
 
@@ -36,8 +37,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written as Parquet and read again as the next one's documents."""
     docs = _common.table(spark, sf_dir, "documents")
     top = f"{_common.shared_dir(spark)}/pipeline/{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         path = f"{top}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        docs._scratch = path
+        if before is not None:  # nothing reads what the stage before wrote any more
+            _common.forget(before)
+        before = docs
     return docs

@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -173,34 +173,25 @@ def train(df: DataFrame) -> Model:
     """
     _common.ship(df.sparkSession)
     known = df.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_common.held_out(F.col("doc_id"))).select("lang", "text")
-    number = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not number:
-        return Model({})
-    most = F.lit(None).cast("long")
-    for lang, n in number.items():
-        most = F.when(F.col("lang") == lang, F.lit(int(min(1.0, TEXTS / n) * (1 << 20)))).otherwise(most)
-    sample = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < most).dropDuplicates(["lang", "text"])
+    # by distinct texts, so that a text counts once however often it stands there
+    texts = known.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("_texts"))
+    share = texts.select("lang", (F.least(F.lit(1.0), F.lit(float(TEXTS)) / F.col("_texts")) * (1 << 30)).cast("long").alias("_most"))
+    sample = known.join(share, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("_most")).select("lang", "text").dropDuplicates()
     found = _common.materialise(counts(sample))
-    share = NODES // len(number)
-    least: dict[str, int] = {}
-    sizes: dict[str, int] = {}
-    for r in found.groupBy("lang", F.least("n", F.lit(1 << 10)).alias("n")).agg(F.count(F.lit(1)).alias("grams")).orderBy("lang", F.desc("n")).collect():
-        sizes[r["lang"]] = sizes.get(r["lang"], 0) + r["grams"]
-        if sizes[r["lang"]] <= share or r["lang"] not in least:
-            least[r["lang"]] = r["n"]
-    cut = F.lit(None).cast("long")
-    for lang, n in least.items():
-        cut = F.when(F.col("lang") == lang, F.lit(n)).otherwise(cut)
-    rows: dict[str, list] = {lang: [] for lang in number}
-    for k in range(ORDER + 1):
-        gram = F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("gram")
-        kept = found.groupBy("lang", gram).agg(F.sum("n").alias("n")).where(F.col("n") >= cut).toArrow()
-        langs, keys, n = kept.column("lang").to_numpy(), kept.column("gram").to_numpy(), kept.column("n").to_numpy()
-        for lang, into in rows.items():
-            own = np.flatnonzero(langs == lang)
-            own = own[np.argsort(keys[own])]
-            into.append((keys[own], n[own].astype(np.float64)))
+    sizes = found.groupBy("lang", F.least("n", F.lit(1 << 10)).alias("n")).agg(F.count(F.lit(1)).alias("grams"))
+    room = F.floor(F.lit(NODES) / F.greatest(F.lit(1), F.size(F.collect_set("lang").over(Window.partitionBy()))))
+    down = Window.partitionBy("lang").orderBy(F.desc("n"))
+    sizes = sizes.select("lang", "n", room.alias("_room"), F.sum("grams").over(down).alias("_so_far"), F.max("n").over(Window.partitionBy("lang")).alias("_top"))
+    least = sizes.where((F.col("_so_far") <= F.col("_room")) | (F.col("n") == F.col("_top"))).groupBy("lang").agg(F.min("n").alias("_least"))
+    orders = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("gram")) for k in range(ORDER + 1)))).alias("o")
+    nodes = found.select("lang", "n", orders).groupBy("lang", F.col("o.k").alias("k"), F.col("o.gram").alias("gram")).agg(F.sum("n").alias("n"))
+    kept = nodes.join(F.broadcast(least), "lang").where(F.col("n") >= F.col("_least")).select("lang", "k", "gram", "n").toArrow().sort_by([("lang", "ascending"), ("k", "ascending"), ("gram", "ascending")])
     _common.forget(found)
+    langs, ks, keys, n = (kept.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "k", "gram", "n"))
+    rows: dict[str, list] = {}
+    for lang in sorted(set(langs.tolist())):
+        own = langs == lang
+        rows[lang] = [(keys[own & (ks == k)], n[own & (ks == k)].astype(np.float64)) for k in range(ORDER + 1)]
     return Model(rows)
 
 

@@ -202,9 +202,10 @@ def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float,
             base.add(label)
             miss *= 1 - WEIGHT["base"]
     if tagged:
-        for m in _LINE.finditer(text):
-            stop = text.find("\n", m.end())
-            expression = _expression_at(text[m.end() : stop if stop >= 0 else len(text)])
+        tags = [m.span() for m in _LINE.finditer(text)]
+        for (_, start), (limit, _) in zip(tags, [*tags[1:], (len(text), 0)], strict=True):
+            stop = text.find("\n", start, limit)  # an expression ends with its line, or where the next tag begins
+            expression = _expression_at(text[start : stop if stop >= 0 else limit])
             binding, permissive, all_named = evaluate(expression) if expression else (set(), False, set())
             if all_named:
                 named |= all_named

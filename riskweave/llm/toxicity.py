@@ -11,8 +11,8 @@ positives and a share b of the unlabelled can't be rarer than the positives in i
 the prior from above; the least bound over growing sets of words is taken.
 
 Words are runs of characters other than ASCII punctuation, digits and white space,
-A-Z lower-cased. The features are the ``FEATURES`` words that are most significantly more or less common among the positives than
-among the unlabelled; that number is the size of the model. Null and empty texts hold no word and score as
+A-Z lower-cased. Words and their beginnings, which stand for inflected forms, are features where their shares among the positives and among the
+unlabelled differ by ``CLEAR`` standard errors; how many do so is up to the texts. Null and empty texts have no feature and score as
 the bias alone says. Very long texts are read whole. Repeated rows each get a score; repeated texts count once in training.
 Columns other than ``doc_id``, ``text`` and ``toxic`` are not read. Where no positive example exists every score is 0, and an
 empty table gives no rows.
@@ -20,6 +20,8 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,14 +33,16 @@ from riskweave.llm import _common
 #: Bounds of the sample that the classifier is fitted on: texts known to be toxic, and texts of any kind whose label isn't looked at.
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 9000
-#: Words must stand in this many sampled texts; and features of the model: the words whose shares differ most, in standard errors of their logarithm.
+#: Features stand in this many sampled texts at least, and their shares differ by so many standard errors (of their logarithm).
 MIN_TEXTS = 8
-FEATURES = 200
+CLEAR = 6.0
+#: Lengths of beginnings, in bytes.
+STEMS = (4, 5, 6, 7, 8)
 #: Share of the positives that a set of texts must hold to bound the prior.
 HOLDS = 0.3
 EPOCHS = 300
 STEP = 0.05
-DECAY = 1e-4
+DECAY = 1e-3
 THRESHOLD = 0.3
 
 #: Byte table: A-Z lower-cased; other ASCII that isn't a letter becomes a space.
@@ -49,22 +53,37 @@ def words(text: str) -> set[bytes]:
     return set(text.encode().translate(_FOLD).split())
 
 
+def features(text: str) -> set[bytes]:
+    """Words, and their beginnings with a star."""
+    out = words(text)
+    return out.union(w[:n] + b"*" for w in out for n in STEMS if n < len(w))
+
+
 def nn_pu(rows: list[np.ndarray], positive: np.ndarray, n_words: int, prior: float, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative PU risk with the logistic loss, by Adam over all rows."""
     idx = np.concatenate([*rows, np.zeros(0, dtype=np.int64)])
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    # sums over runs of a row, and of a word
+    by_word = np.argsort(idx, kind="stable")
+    of_word = row[by_word]
+    in_row, row_start = np.unique(row, return_index=True)
+    in_word, word_start = np.unique(idx[by_word], return_index=True)
     n_p, n_u = int(positive.sum()), int((~positive).sum())
     w, bias = np.zeros(n_words), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(n_words + 1), np.zeros(n_words + 1)
     for step in range(1, epochs + 1):
-        z = np.bincount(row, weights=w[idx], minlength=len(rows)) + bias
+        z = np.full(len(rows), bias)
+        if len(idx):
+            z[in_row] += np.add.reduceat(w[idx], row_start)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         loss_neg = np.logaddexp(0, z)
         clean = loss_neg[~positive].mean() - prior * loss_neg[positive].mean()
         grad_clean = np.where(positive, -prior * p / n_p, p / n_u)
         # below zero the estimate has over-fitted: climb back on it alone
         g = grad_clean + np.where(positive, prior * (p - 1) / n_p, 0) if clean >= 0 else -grad_clean
-        grad = np.append(np.bincount(idx, weights=g[row], minlength=n_words) + DECAY * w, g.sum())
+        grad = np.append(DECAY * w, g.sum())
+        if len(idx):
+            grad[in_word] += np.add.reduceat(g[of_word], word_start)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = STEP * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
@@ -85,11 +104,12 @@ def class_prior(rows: list[np.ndarray], positive: np.ndarray, lift: np.ndarray)
     return float(np.clip(bound[enough].min(), 1 / (n_u + 1), 0.5))
 
 
-def _sample(df: DataFrame, most: int, rows: int) -> DataFrame:
-    """About ``most`` of ``rows`` rows, chosen by a hash of their text so that copies come or go together."""
-    if rows <= most:
-        return df
-    return df.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 20)) < int(most / rows * (1 << 20)))
+def _sample(df: DataFrame, most: int) -> DataFrame:
+    """About ``most`` of the distinct texts of ``df``, chosen by a hash, so that a text counts once however often it stands there."""
+    texts = df.agg(F.count_distinct(F.xxhash64("text"))).first()[0]
+    if texts > most:
+        df = df.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) < int(most / texts * (1 << 30)))
+    return df.distinct()
 
 
 def train(documents: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float], float]:
@@ -102,25 +122,24 @@ def train(documents: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float],
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
     positive = open_.join(known, "doc_id").select(text)
     unlabelled = open_.select(text)
-    n_pos, n = positive.count(), unlabelled.count()
-    if not n_pos:
-        return {}, -30.0
-    positive = _sample(positive, MAX_POSITIVE, n_pos).distinct().select(F.lit(True).alias("pos"), "text")
-    unlabelled = _sample(unlabelled, MAX_UNLABELLED, n).distinct().select(F.lit(False).alias("pos"), "text")
+    positive = _sample(positive, MAX_POSITIVE).select(F.lit(True).alias("pos"), "text")
+    unlabelled = _sample(unlabelled, MAX_UNLABELLED).select(F.lit(False).alias("pos"), "text")
 
     def bag(batches):
         for batch in batches:
-            held = [sorted(words(t)) for t in batch.column("text").to_pylist()]
+            held = [sorted(features(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("pos"), pa.array(held, pa.list_(pa.binary()))], names=["pos", "words"])
 
     bags = _common.materialise(positive.unionByName(unlabelled).mapInArrow(bag, "pos boolean, words array<binary>"))
     size = {r["pos"]: r["n"] for r in bags.groupBy("pos").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_p, n_u = size.get(True, 0), size.get(False, 0)
+    if not n_p:
+        return {}, -30.0
     # counts of words are gathered by Spark; only the features come to the driver
     seen = bags.select("pos", F.explode("words").alias("word")).groupBy("word").agg(F.count_if("pos").alias("p"), F.count_if(~F.col("pos")).alias("u"))
     share = lambda c, n: F.log((F.col(c) + 1) / F.lit(n + 2.0))
     apart = F.abs(share("p", n_p) - share("u", n_u)) * F.sqrt(F.col("p") + F.col("u"))
-    kept = seen.where((F.col("p") > 0) & (F.col("p") + F.col("u") >= MIN_TEXTS)).orderBy(F.desc(F.round(apart, 9)), "word").limit(FEATURES)
+    kept = seen.where((F.col("p") > 0) & (F.col("p") + F.col("u") >= MIN_TEXTS) & (F.round(apart, 9) >= CLEAR))
     found = sorted((bytes(r["word"]), r["p"], r["u"]) for r in kept.collect())
     vocabulary = {w: k for k, (w, _, _) in enumerate(found)}
     # two standard errors to the safe side, so that rare words don't come first by chance
@@ -138,7 +157,7 @@ def train(documents: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float],
     pos = np.repeat([r["pos"] for r in table], [r["n"] for r in table]).astype(bool)
     rows = [np.array(r["at"], dtype=np.int64) for r in table for _ in range(r["n"])]
     w, bias = nn_pu(rows, pos, len(vocabulary), class_prior(rows, pos, lift))
-    return {word: float(w[k]) for word, k in vocabulary.items() if abs(w[k]) > 1e-3}, bias
+    return {word: float(w[k]) for word, k in vocabulary.items()}, bias
 
 
 def score(documents: DataFrame, weights: dict[bytes, float], bias: float, keep: bool = False) -> DataFrame:
@@ -151,9 +170,13 @@ def score(documents: DataFrame, weights: dict[bytes, float], bias: float, keep:
 
     def run(batches):
         weight, b = shared.value
-        get = weight.get
+        heads = {k[: STEMS[0]] for k in weight if k.endswith(b"*")}  # most words begin otherwise, and have no stem to look up
         for batch in batches:
-            z = [b + sum(filter(None, map(get, words(t or "")))) for t in batch.column("text").to_pylist()]
+            z = []
+            for t in batch.column("text").to_pylist():
+                held = words(t or "")
+                stems = {w[:n] + b"*" for w in held if w[: STEMS[0]] in heads for n in STEMS if n < len(w)}
+                z.append(math.fsum([b, *(weight[x] for x in held | stems if x in weight)]))
             p = 1 / (1 + np.exp(-np.clip(np.array(z, dtype=np.float64), -40, 40)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=schema.names)
 
