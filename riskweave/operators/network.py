@@ -92,21 +92,28 @@ def assortativity(edges: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*by, F.when((F.col("n") < 4) | (F.col("sd") < 1e-12), 0.0).otherwise(F.coalesce("c", F.lit(0.0))).alias("assortativity"))
 
 
-def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, write_every: int = 5) -> DataFrame:
-    """(node, rank) by power iteration over weighted edges; a node without edges out spreads to all."""
-    nodes = edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).distinct()
-    n = nodes.count()
-    share = edges.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("source"))).select("source", "target", "share")
-    share, nodes = materialise(share), materialise(nodes)
-    rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    ends = nodes.join(share.select(F.col("source").alias("node")).distinct(), "node", "left_anti")
-    for k in range(1, rounds + 1):
-        lost = F.broadcast(rank.join(ends, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")))
-        passed = share.join(rank.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        rank = nodes.join(passed, "node", "left").join(lost).select("node", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if k % write_every == 0:
-            rank = materialise(rank)
-    return rank
+def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-9, rounds: int = 8, most: int = 400) -> DataFrame:
+    """(node, rank) of weighted edges (source, target, weight); a node without edges out spreads to all.
+
+    What such nodes spread and what jumps anywhere both go to all nodes alike, so the rank is, up to its sum, the solution of y = 1 + damping * (shares of y): a round is one
+    join and one sum. Every ``rounds`` of them are written, until no two ranks have grown by factors over these that differ by more than ``tolerance``; ``most`` rounds without that are an error.
+    """
+    nodes = materialise(edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).distinct())
+    out = edges.groupBy("source").agg(F.sum("weight").alias("_all"))
+    share = materialise(edges.groupBy("source", "target").agg(F.sum("weight").alias("_w")).join(out, "source").select("source", "target", (damping * F.col("_w") / F.col("_all")).alias("share")))
+    one = nodes.withColumn("y", F.lit(1.0))
+    rank = one.withColumnRenamed("y", "rank")
+    for _ in range(0, most, rounds):
+        y = rank.withColumnRenamed("rank", "y")
+        for _ in range(rounds):
+            passed = share.join(y.withColumnRenamed("node", "source"), "source").select(F.col("target").alias("node"), (F.col("share") * F.col("y")).alias("y"))
+            y = one.unionByName(passed).groupBy("node").agg(F.sum("y").alias("y"))
+        before, rank = rank, materialise(y.withColumnRenamed("y", "rank"))
+        grown = F.col("rank") / F.col("_old")
+        seen = rank.join(before.withColumnRenamed("rank", "_old"), "node").agg(F.sum("rank").alias("total"), F.min(grown).alias("low"), F.max(grown).alias("high")).first()
+        if seen["total"] is None or seen["high"] / seen["low"] - 1 <= tolerance:
+            return rank.withColumn("rank", F.col("rank") / F.lit(seen["total"]))
+    raise RuntimeError(f"ranks did not settle in {most} rounds")
 
 
 def distances(correlations: DataFrame) -> DataFrame:

@@ -1,32 +1,58 @@
-"""Resampling intervals. Which row stands at a place of a resample is a function of the two alone, so results depend on neither file layout nor retries."""
+"""Resampling intervals. What a row counts in a resample is a function of the two alone, so results depend on neither file layout nor retries."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A number from 0 to 10006 for place i of resample b.
-_AT = "(b * 7919 + i * 6151 + b * i * 31 + (b % 7) * (i % 11) * 977) % 10007"
+from riskweave.operators.ranks import ranked
+
+#: Chances of at most 0, 1, 2, ... counts of a Poisson number of mean one, in 2 ** 32 parts, up to where they can't be told from one.
+TAIL = [round(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(12)]
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows`` with ``i`` from 0, in the order of a key. Meant for series and scores: all rows pass one task."""
-    return rows.withColumn("i", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
+    """``rows`` with ``i`` from 0, in the order of a key, by sorted ranges."""
+    found = ranked(rows, *(F.asc(c) for c in order))
+    return found.withColumn("i", F.col("rank") - 1).drop("rank")
+
+
+def drawn(*parts: Column) -> Column:
+    """32 bits that a hash gives for the numbers ``parts``; SQL of other engines can say the same."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts)).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def resampled(rows: DataFrame, times: int) -> DataFrame:
-    """(b, columns): ``times`` samples with replacement, each as large as ``rows`` (with i); at most 10007 rows are told apart."""
-    n = rows.count()
-    places = rows.sparkSession.range(times).select(F.col("id").alias("b")).crossJoin(F.broadcast(rows.select("i")))
-    return places.select("b", F.expr(f"{_AT} % {max(n, 1)}").alias("i")).join(rows, "i")
+    """(b, w, columns): ``rows`` (with i) in ``times`` Poisson resamples, each with the number of times ``w`` that it counts; rows that don't count go.
+
+    Every row is told apart by its place, so a table may have any number of rows. Rows are repeated within their task and sums over a resample are formed before anything is shuffled.
+    """
+    each = rows.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(times - 1).cast("long"))))
+    each = each.withColumn("_u", F.explode(F.array(drawn(F.col("b"), F.col("i")))))  # through a generator, so that the hash isn't put in for each use of it
+    return each.withColumn("w", sum((F.col("_u") >= t).cast("int") for t in TAIL)).where("w > 0").drop("_u")
+
+
+def weighted(value: str | Column, w: str = "w") -> dict[str, Column]:
+    """Mean and population variance of ``value`` under the counts ``w``."""
+    value = F.col(value) if isinstance(value, str) else value
+    mean = F.sum(F.col(w) * value) / F.sum(w)
+    return {"mean": mean, "variance": F.sum(F.col(w) * value * value) / F.sum(w) - mean * mean}
+
+
+def weighted_correlation(x: str, y: str, w: str = "w") -> Column:
+    a, b = weighted(x, w), weighted(y, w)
+    cov = F.sum(F.col(w) * F.col(x) * F.col(y)) / F.sum(w) - a["mean"] * b["mean"]
+    return F.when((a["variance"] > 0) & (b["variance"] > 0), cov / F.sqrt(a["variance"] * b["variance"]))
 
 
 def blocks(rows: DataFrame, times: int, size: int | None = None) -> DataFrame:
-    """(b, columns): ``times`` samples of blocks of ``size`` neighbouring rows, cut to the number of ``rows`` (with i)."""
+    """(b, columns): ``times`` samples of blocks of ``size`` neighbouring rows, cut to the number of ``rows`` (with i). A block may start at any row that has ``size`` - 1 after it, up to the 2 ** 32nd."""
     n = rows.count()
     size = size or max(1, -int(-((3 * n) ** (1 / 3)) // 1))
     starts = rows.sparkSession.range(times).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, -(-n // size) - 1)).cast("long"))).alias("i"))
-    taken = starts.select("b", "i", F.expr(f"{_AT} % {max(1, n - size + 1)}").alias("first"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("k"))
+    taken = starts.select("b", "i", (drawn(F.col("b"), F.col("i")) % max(1, n - size + 1)).alias("first"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("k"))
     return taken.where(F.col("i") * size + F.col("k") < n).select("b", (F.col("first") + F.col("k")).alias("i")).join(rows, "i")
 
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskweave.operators.ranks import ranked
+
 from riskweave.functions.distributions import normal_cdf, t_two_sided
 
 
@@ -105,10 +107,10 @@ def ar1(df: DataFrame, value: str, key: str, order: str = "d") -> DataFrame:
 
 def ks_uniform(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
     """One row: the largest distance between the values' distribution and the uniform one on [low, high]."""
-    w = Window.orderBy(value)
     f = F.least(F.greatest((F.col(value) - low) / (high - low), F.lit(0.0)), F.lit(1.0))
-    rows = df.select(f.alias("f"), F.row_number().over(w).alias("k"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("n"))
-    return rows.agg(F.max(F.greatest(F.col("k") / F.col("n") - F.col("f"), F.col("f") - (F.col("k") - 1) / F.col("n"))).alias("ks"))
+    rows = ranked(df.select(f.alias("f")), F.asc("f"))
+    n = F.broadcast(rows.agg(F.count(F.lit(1)).alias("n")))  # one row
+    return rows.join(n).agg(F.max(F.greatest(F.col("rank") / F.col("n") - F.col("f"), F.col("f") - (F.col("rank") - 1) / F.col("n"))).alias("ks"))
 
 
 def _told_apart(df: DataFrame, key: list[str] | None) -> Column:

@@ -138,7 +138,7 @@ def corrected_interval(rows: DataFrame, value: str, times: int, level: float = 0
     away = F.col(value) - m
     cubes, squares = rows.agg(F.sum(away * away * away), F.sum(away * away)).first()
     a = cubes / (6 * squares**1.5) if squares > 0 else 0.0
-    each = resampling.resampled(rows, times).groupBy("b").agg(F.avg(value).alias("q"))
+    each = resampling.resampled(rows, times).groupBy("b").agg(resampling.weighted(value)["mean"].alias("q"))
     below = each.agg(F.avg((F.col("q") < m).cast("double"))).first()[0]
     normal = NormalDist()
     bias = normal.inv_cdf(min(max(below, 0.5 / times), 1 - 0.5 / times))

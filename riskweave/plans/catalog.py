@@ -32,7 +32,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from riskweave.plans import designs, graphs, more, scores, series, streams, structures  # noqa: F401
+    from riskweave.plans import designs, graphs, models, more, scores, series, streams, structures  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

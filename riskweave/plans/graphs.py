@@ -208,7 +208,7 @@ def quotient_graph(s, d):
     return rounded(net.quotient(v.latest_exposure(s, d), cluster), "weight", digits=4)
 
 
-def _pagerank_sql(rounds: int = 20) -> str:
+def _pagerank_sql(rounds: int = 60) -> str:
     steps = [", nodes as (select source node from latest union select target from latest), share as (select source, target, weight / sum(weight) over (partition by source) share from latest), r0 as (select node, 1e0 / (select count(*) from nodes) r from nodes)"]
     for k in range(1, rounds + 1):
         p = f"r{k - 1}"

@@ -276,20 +276,23 @@ def model_comparison(s, d):
 
 # --- resampling ----------------------------------------------------------------------------------------
 
-_AT = "(b * 7919 + i * 6151 + b * i * 31 + (b % 7) * (i % 11) * 977) % 10007"
-_PAIRS = "x as (select row_number() over (order by a, d) - 1 i, v, ma from fore), n as (select count(*) n from x), b as (select unnest(range(200)) b)"
+_DRAWN = "('0x' || substr(md5(b || ':' || i), 1, 8))::bigint"
+_COUNT = " + ".join(f"({_DRAWN} >= {t})::int" for t in resampling.TAIL)
+_PAIRS = "x as (select row_number() over (order by a, d) - 1 i, v, ma from fore), b as (select unnest(range(200)) b)"
 
 
-@register("bootstrap_intervals", _prefixed("asset", f"{_FORE}, {_PAIRS}, take as (select b, {_AT} % n j from b, x, n)", "select round(quantile_cont(m, 0.025), 5) + 0e0 mean_low, round(quantile_cont(m, 0.975), 5) + 0e0 mean_high, round(quantile_cont(r2, 0.025), 5) + 0e0 r2_low, round(quantile_cont(r2, 0.975), 5) + 0e0 r2_high, round(quantile_cont(c, 0.025), 5) + 0e0 corr_low, round(quantile_cont(c, 0.975), 5) + 0e0 corr_high from (select b, avg(v) m, 1 - sum(pow(v - ma, 2)) / (var_pop(v) * count(*)) r2, corr(v, ma) c from take join x on i = j group by b)"))
+@register("bootstrap_intervals", _prefixed("asset", f"{_FORE}, {_PAIRS}, take as materialized (select b, v, ma, {_COUNT} w from b, x)", """select round(quantile_cont(m, 0.025), 5) + 0e0 mean_low, round(quantile_cont(m, 0.975), 5) + 0e0 mean_high, round(quantile_cont(r2, 0.025), 5) + 0e0 r2_low, round(quantile_cont(r2, 0.975), 5) + 0e0 r2_high, round(quantile_cont(c, 0.025), 5) + 0e0 corr_low, round(quantile_cont(c, 0.975), 5) + 0e0 corr_high
+    from (select b, m, 1 - e / (vv - m * m) r2, (vp - m * p) / sqrt((vv - m * m) * (pp - p * p)) c from (select b, sum(w * v) / sum(w) m, sum(w * ma) / sum(w) p, sum(w * v * v) / sum(w) vv, sum(w * ma * ma) / sum(w) pp, sum(w * v * ma) / sum(w) vp, sum(w * pow(v - ma, 2)) / sum(w) e from take group by b))"""))
 def bootstrap_intervals(s, d):
     """Percentile intervals of the mean, of R2 and of the correlation over the same resamples."""
     rows = resampling.numbered(_forecasts(s, d).select("a", "d", "v", "ma"), ["a", "d"])
-    taken = resampling.resampled(rows, 200)
-    each = taken.groupBy("b").agg(F.avg("v").alias("m"), (1 - F.sum(F.pow(F.col("v") - F.col("ma"), F.lit(2))) / (F.var_pop("v") * F.count(F.lit(1)))).alias("r2"), F.corr("v", "ma").alias("c"))
+    v_ = resampling.weighted("v")
+    error = resampling.weighted(F.pow(F.col("v") - F.col("ma"), F.lit(2)))["mean"]
+    each = resampling.resampled(rows, 200).groupBy("b").agg(v_["mean"].alias("m"), (1 - error / v_["variance"]).alias("r2"), resampling.weighted_correlation("v", "ma").alias("c"))
     return rounded(resampling.intervals(each, {"mean": "m", "r2": "r2", "corr": "c"}), *(f"{n}_{e}" for n in ("mean", "r2", "corr") for e in ("low", "high")), digits=5)
 
 
-@register("block_bootstrap", _prefixed("market", "x as (select row_number() over (order by d) - 1 i, m from market), n as (select count(*) n, ceil(pow(3 * count(*), 1 / 3e0)) k from x), b as (select unnest(range(200)) b), s as (select b, unnest(range(cast(ceil(n / k) as bigint))) i, n, k from b, n), take as (select b, " + _AT + " % (n - k + 1) + unnest(range(cast(k as bigint))) j, i * k + unnest(range(cast(k as bigint))) place, n from s)", "select round(quantile_cont(q, 0.025), 6) + 0e0 low, round(quantile_cont(q, 0.975), 6) + 0e0 high from (select b, avg(m) q from take join x on x.i = j where place < n group by b)"))
+@register("block_bootstrap", _prefixed("market", "x as (select row_number() over (order by d) - 1 i, m from market), n as (select count(*) n, ceil(pow(3 * count(*), 1 / 3e0)) k from x), b as (select unnest(range(200)) b), s as (select b, unnest(range(cast(ceil(n / k) as bigint))) i, n, k from b, n), take as (select b, " + _DRAWN + " % cast(n - k + 1 as bigint) + unnest(range(cast(k as bigint))) j, i * k + unnest(range(cast(k as bigint))) place, n from s)", "select round(quantile_cont(q, 0.025), 6) + 0e0 low, round(quantile_cont(q, 0.975), 6) + 0e0 high from (select b, avg(m) q from take join x on x.i = j where place < n group by b)"))
 def block_bootstrap(s, d):
     """Interval of a mean from blocks of neighbouring rows, about (3 n)^(1/3) long."""
     rows = resampling.numbered(ts.market(v.ret(s, d)), ["d"])
