@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import _common
-from riskweave.llm.ranks import ranked, repeated
+from riskweave.operators.ranks import ranked, repeated
 
 _BREAKS = "".join(c for c in map(chr, range(128)) if c not in string.ascii_letters + string.digits)
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from riskweave.llm import _common
 from riskweave.llm.importance import CRC, CRC_TABLE
-from riskweave.llm.ranks import ranked, repeated
+from riskweave.operators.ranks import ranked, repeated
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 FANOUT = 3

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from riskweave.llm import chat, importance, manifest, ranks
+from riskweave.llm import chat, importance, langid, licences, manifest, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, g string, digest string, leaf string, n long, i long"
 rnd = random.Random(5)
@@ -34,21 +34,6 @@ def docs(spark):
     return spark.createDataFrame(ROWS, DOCS).repartition(5).cache()
 
 
-# ranks
-
-
-def test_ranked_is_a_total_order(spark):
-    got = ranks.ranked(spark.range(5000).select((F.col("id") * 7919 % 5003).alias("v")), F.desc("v")).collect()
-    assert [r["v"] for r in sorted(got, key=lambda r: r["rank"])] == sorted((k * 7919 % 5003 for k in range(5000)), reverse=True)
-    assert sorted(r["rank"] for r in got) == list(range(1, 5001))
-    assert ranks.ranked(spark.range(0), F.asc("id")).count() == 0
-
-
-def test_repeated_numbers_each_row(spark):
-    got = ranks.repeated(spark.createDataFrame([("a", 1), ("b", 9001)], "k string, n long"), "n", "at").groupBy("k").agg(F.count("*").alias("c"), F.min("at").alias("low"), F.max("at").alias("high"), F.count_distinct("at").alias("d"))
-    assert {tuple(r) for r in got.collect()} == {("a", 1, 0, 0, 1), ("b", 9001, 0, 9000, 9001)}
-
-
 # importance resampling
 
 
@@ -240,3 +225,59 @@ def test_threads_keep_every_row_in_order(spark):
 
 def test_chat_of_no_rows(spark):
     assert chat.formatted(spark.createDataFrame([], MESSAGES)).count() == 0
+
+
+# texts that repeat, and lines of many tags
+
+
+def test_toxicity_learns_from_a_text_that_repeats(spark):
+    """One toxic text fills most of the table; it counts once and is learnt all the same."""
+    clean = [" ".join(rnd.choice(["sun", "rain", "wind", "cloud", "tree", "road", "house", "river"]) for _ in range(12)) for _ in range(400)]
+    toxic = [f"you vile slugger number {k % 12}" for k in range(12)]
+    rows = [(k, t) for k, t in enumerate([*clean, *toxic])] + [(10_000 + k, "vile slugger vile again") for k in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    labels = spark.createDataFrame([(k, int("vile" in t)) for k, t in rows], "doc_id long, toxic int")
+    got = toxicity.score(docs, *toxicity.train(docs, labels)).groupBy((F.col("doc_id") >= 400).alias("toxic")).agg(F.min("score").alias("low"), F.max("score").alias("high")).collect()
+    ends = {r["toxic"]: (r["low"], r["high"]) for r in got}
+    assert ends[True][0] >= 0.3 > ends[False][1] and ends[False][0] > 0
+
+
+def test_toxicity_of_one_class_only(spark):
+    docs = spark.createDataFrame([(k, f"word{k % 3} other") for k in range(40)], "doc_id long, text string")
+    for value in (0, 1):
+        labels = docs.select("doc_id", F.lit(value).alias("toxic"))
+        scores = [r["score"] for r in toxicity.score(docs, *toxicity.train(docs, labels)).collect()]
+        assert len(scores) == 40 and all(0 <= s <= 1 for s in scores)
+
+
+def test_language_of_one_text_that_repeats(spark):
+    """A language of 40,000 copies of one text is learnt, and takes no text of others."""
+    rows = [(k, rnd.choice(["the sun and the rain", "over the hills", "what the day brings"]) + f" {k}", "en") for k in range(300)]
+    rows += [(1000 + k, rnd.choice(["die sonne und der regen", "über die hügel", "was der tag bringt"]) + f" {k}", "de") for k in range(300)]
+    rows += [(10_000 + k, "xyzzy plugh qwrk zzt", "yy") for k in range(40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    model = langid.train(docs)
+    assert model.langs == ["de", "en", "yy"]
+    asked = [(1, "the rain over the hills"), (2, "der regen über die hügel"), (3, "qwrk zzt xyzzy"), (4, "жжж щщщ")]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert (got[1], got[2], got[3]) == ("en", "de", "yy")
+
+
+def test_many_tags_on_a_line_take_time_in_proportion():
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        found = licences.scan("SPDX-License-Identifier: MIT OR Apache-2.0 " * n + "SPDX-License-Identifier: (MIT OR " * n)
+        assert "mit" in found[7] and "apache" in found[7]
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(8000) < 30 * max(took(800), 0.02)
+
+
+def test_an_expression_ends_where_the_next_tag_begins():
+    assert licences._expression_at(" MIT OR Apache-2.0 ") == "MIT OR Apache-2.0"
+    apart = licences.scan("SPDX-License-Identifier: MIT SPDX-License-Identifier: Apache-2.0\n")
+    lines = licences.scan("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0\n")
+    assert apart[5] == lines[5] and apart[7] == lines[7]
