@@ -14,6 +14,9 @@ the last the first. A row alone meets itself. Columns other than ``doc_id`` and
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +28,7 @@ WORDS = 12
 #: Rows of a range of ids, at least; and ranges, at most.
 RANGE_ROWS = 256
 RANGES = 1 << 16
-#: Cells of the histogram of ids that the ranges are cut by.
+#: Quantiles of the ids that the ranges are cut by.
 CELLS = 1024
 
 _WORD = r"\S++\s++"
@@ -70,24 +73,37 @@ def differences(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.withColumn("changed", F.transform(F.array_except(placed(a), placed(b)), lambda x: F.struct(x["section"], x["paragraph"])))
 
 
-def _ranges(df: DataFrame) -> Column:
-    """A number for each id that never falls as ids grow, from a histogram of all ids, bounded in size."""
-    at = df.agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.percentile_approx("key", F.lit(0.999)).alias("hi")).first()
-    if not at["n"]:
+def _share(tie: str) -> Column:
+    """A hash as a number from 0 up to 1."""
+    return F.col(tie) / F.lit(2.0**64) + F.lit(0.5)
+
+
+def _ranges(ids: DataFrame) -> Column:
+    """A number for each (key, tie) of ``ids`` that never falls as they grow, so that about as many rows have each.
+
+    Cells are cut at quantiles of the ids, wherever those lie; an id that fills several has one to itself, which is parted by ``tie``. Rows of a cell are counted, and dealt evenly over it.
+    """
+    # an accuracy of ten times the cells keeps each within a tenth of its share
+    cuts = ids.agg(F.percentile_approx("key", [k / CELLS for k in range(CELLS)], 10 * CELLS)).first()[0]
+    if not cuts:
         return F.lit(0)
-    lo, width = at["lo"], max(1, -(-(at["hi"] - at["lo"] + 1) // CELLS))
-    cell = F.least(F.floor((F.col("key") - F.lit(lo)) / F.lit(float(width))), F.lit(CELLS - 1)).cast("int")
-    count = [0] * CELLS
-    for r in df.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect():
+    least = ids.agg(F.min("key")).first()[0]
+    crowded = {a for a, b in zip(cuts, cuts[1:], strict=False) if a == b}
+    edges = sorted({least, *cuts, *(c + 1 for c in crowded if c + 1 < 1 << 63)})
+    long = lambda values: F.expr(f"array({','.join(f'cast({v} as bigint)' for v in values)})")
+    step = max(1, math.isqrt(len(edges)))
+    at = lambda values: F.size(F.filter(values, lambda c: c <= F.col("key")))
+    block = at(long(edges[::step])) - 1
+    cell = block * step + at(F.slice(long(edges), block * step + 1, step)) - 1
+    count = [0] * len(edges)
+    for r in ids.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect():
         count[r["cell"]] = r["n"]
-    before, total = [], 0
-    for n in count:
-        before.append(total)
-        total += n
-    rows = max(RANGE_ROWS, -(-total // RANGES))
-    share = F.least(F.greatest((F.col("key") - F.lit(lo)) / F.lit(float(width)) - cell, F.lit(0.0)), F.lit(1.0))
-    pick = lambda values: F.element_at(F.expr(f"array({','.join(f'{v}L' for v in values)})"), cell + 1)
-    return F.floor((pick(before) + share * pick(count)) / F.lit(float(rows))).cast("long")
+    before = [0, *itertools.accumulate(count)]
+    rows = max(RANGE_ROWS, -(-before[-1] // RANGES))
+    width = [b - a for a, b in zip(edges, [*edges[1:], edges[-1] + 2], strict=True)]
+    pick = lambda values: F.element_at(long(values), cell + 1)
+    found = F.when(pick(width) == 1, _share("tie")).otherwise(F.least(F.greatest((F.col("key").cast("double") - pick(edges).cast("double")) / pick(width).cast("double"), F.lit(0.0)), F.lit(1.0)))
+    return F.floor((pick(before[:-1]) + found * pick(count)) / F.lit(float(rows))).cast("long")
 
 
 def with_next(df: DataFrame) -> DataFrame:
@@ -97,19 +113,20 @@ def with_next(df: DataFrame) -> DataFrame:
     sent, as a guest, to the range before it, so that no range needs to know another.
     """
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    ids = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("key"))
+    tie = F.xxhash64("text").alias("tie")
+    ids = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("key"), tie)
     # null ids have ranges of their own, numbered below zero, of the hashes of their texts
-    nulls = rows.where("doc_id IS NULL").select(F.xxhash64("text").alias("key"))
+    nulls = rows.where("doc_id IS NULL").select(F.xxhash64("text").alias("key"), tie)
     parts = min(RANGES, -(-nulls.count() // RANGE_ROWS))
     number = _ranges(ids)
-    by_hash = F.floor((F.col("key") / F.lit(2.0**64) + F.lit(0.5)) * F.lit(float(parts))).cast("long") - parts
-    # At most twice RANGES rows: the first key of each range and the range before it.
-    first = lambda keys, by, null: keys.groupBy(by.alias("range")).agg(F.min("key").alias("key")).select("range", "key", F.lit(null).alias("null"))
+    by_hash = F.floor(_share("key") * F.lit(float(parts))).cast("long") - parts
+    # At most twice RANGES rows: the first row of each range and the range before it.
+    first = lambda keys, by, null: keys.groupBy(by.alias("range")).agg(F.min(F.struct("key", "tie")).alias("m")).select("range", "m.*", F.lit(null).alias("null"))
     firsts = sorted(tuple(r) for r in first(ids, number, False).unionByName(first(nulls, by_hash, True)).collect())
-    guests = [(key, null, firsts[i - 1][0]) for i, (_, key, null) in enumerate(firsts)]
-    host = F.broadcast(df.sparkSession.createDataFrame(guests, "key long, null boolean, host long"))
+    guests = [(key, tie, null, firsts[i - 1][0]) for i, (_, key, tie, null) in enumerate(firsts)]
+    host = F.broadcast(df.sparkSession.createDataFrame(guests, "key long, tie long, null boolean, host long"))
     rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("null", F.col("doc_id").isNull()).withColumn("key", F.coalesce("doc_id", "tie"))
-    placed = rows.withColumn("range", F.when(F.col("null"), by_hash).otherwise(number)).join(host, ["key", "null"], "left").withColumn(
+    placed = rows.withColumn("range", F.when(F.col("null"), by_hash).otherwise(number)).join(host, ["key", "tie", "null"], "left").withColumn(
         "place", F.explode(F.when(F.col("host").isNull(), F.array(F.struct(F.col("range"), F.lit(0).alias("guest")))).otherwise(
             F.array(F.struct(F.col("range"), F.lit(0).alias("guest")), F.struct(F.col("host").alias("range"), F.lit(1).alias("guest")))
         ))

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from riskweave.llm import chat, importance, langid, licences, manifest, toxicity
+from riskweave.llm import chat, importance, langid, licences, manifest, merkle, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, g string, digest string, leaf string, n long, i long"
 rnd = random.Random(5)
@@ -281,3 +281,24 @@ def test_an_expression_ends_where_the_next_tag_begins():
     apart = licences.scan("SPDX-License-Identifier: MIT SPDX-License-Identifier: Apache-2.0\n")
     lines = licences.scan("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0\n")
     assert apart[5] == lines[5] and apart[7] == lines[7]
+
+
+# ranges of ids in op8
+
+
+@pytest.mark.parametrize("ids", ["two far clusters", "one id repeats", "spread", "null"])
+def test_ranges_of_rows_stay_short(spark, ids):
+    """Ranges hold about RANGE_ROWS rows wherever ids lie and however often one repeats, and every row meets its next."""
+    n = 12_000
+    of = {"two far clusters": lambda k: k if k % 2 else 10**15 + 7 * k, "one id repeats": lambda k: 77 if k % 2 else k, "spread": lambda k: (k * 2**50) % 2**62 - 2**61, "null": lambda k: None if k % 3 else k}[ids]
+    rows = [(of(k), f"text {k}") for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    if ids != "null":
+        keyed = docs.select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("tie"))
+        ranges = keyed.groupBy(merkle._ranges(keyed).alias("range")).agg(F.count("*").alias("n"), F.min(F.struct("key", "tie")).alias("low"), F.max(F.struct("key", "tie")).alias("high")).orderBy("range").collect()
+        assert max(r["n"] for r in ranges) <= 4 * merkle.RANGE_ROWS and len(ranges) >= n // merkle.RANGE_ROWS // 2
+        assert all(a["high"] <= b["low"] for a, b in zip(ranges, ranges[1:], strict=False))
+    hashes = dict(docs.select("text", F.xxhash64("text")).collect())
+    order = [t for _, _, _, t in sorted((d is not None, d or 0, hashes[t], t) for d, t in rows)]
+    got = {r["text"]: r["next"] for r in merkle.with_next(docs).collect()}
+    assert got == dict(zip(order, [*order[1:], order[0]], strict=True))
