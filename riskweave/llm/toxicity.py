@@ -40,6 +40,8 @@ CLEAR = 6.0
 STEMS = (4, 5, 6, 7, 8)
 #: Share of the positives that a set of texts must hold to bound the prior.
 HOLDS = 0.3
+#: Texts whose features a task holds at once; it changes no result.
+FEW = 16
 EPOCHS = 300
 STEP = 0.05
 DECAY = 1e-3
@@ -127,8 +129,10 @@ def train(documents: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float],
 
     def bag(batches):
         for batch in batches:
-            held = [sorted(features(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("pos"), pa.array(held, pa.list_(pa.binary()))], names=["pos", "words"])
+            for at in range(0, batch.num_rows, FEW):
+                few = batch.slice(at, FEW)
+                held = [sorted(features(t)) for t in few.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([few.column("pos"), pa.array(held, pa.list_(pa.binary()))], names=["pos", "words"])
 
     bags = _common.materialise(positive.unionByName(unlabelled).mapInArrow(bag, "pos boolean, words array<binary>"))
     size = {r["pos"]: r["n"] for r in bags.groupBy("pos").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -147,10 +151,12 @@ def train(documents: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float],
     shared = bags.sparkSession.sparkContext.broadcast(vocabulary)
 
     def index(batches):
+        get = shared.value.get
         for batch in batches:
-            get = shared.value.get
-            held = [[k for k in map(get, b) if k is not None] for b in batch.column("words").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("pos"), pa.array(held, pa.list_(pa.int32()))], names=["pos", "at"])
+            for at in range(0, batch.num_rows, FEW):
+                few = batch.slice(at, FEW)
+                held = [[k for k in map(get, b) if k is not None] for b in few.column("words").to_pylist()]
+                yield pa.RecordBatch.from_arrays([few.column("pos"), pa.array(held, pa.list_(pa.int32()))], names=["pos", "at"])
 
     table = bags.mapInArrow(index, "pos boolean, at array<int>").groupBy("pos", "at").agg(F.count(F.lit(1)).alias("n")).orderBy("pos", "at").collect()
     _common.forget(bags)
