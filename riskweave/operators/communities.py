@@ -34,7 +34,7 @@ def _quality(links: DataFrame, nodes: DataFrame, by: list[str], label: str) -> D
 
 def modularity(edges: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame:
     """(by, quality) of ``labels`` (by, node, community) over undirected ``edges`` (by, s, t, c)."""
-    links, nodes = _network(edges, by)
+    links, nodes = map(materialise, _network(edges, by))
     return _quality(links, nodes.join(labels, [*by, "node"]), by, "community")
 
 

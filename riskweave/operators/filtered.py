@@ -247,7 +247,7 @@ def fold_covariances(series: DataFrame, by: list[str], key: str, value: str, tim
     part = materialise(cross_products(series.join(times, [*by, time]), [*by, "fold"], key, value, time))
     names = ("n", "x", "y", "xy")
     total = part.groupBy(*by, "s", "t").agg(*(F.sum(c).alias(f"all_{c}") for c in names))
-    cov = lambda n, x, y, xy: xy / n - (x / n) * (y / n)
+    cov = lambda n, x, y, xy: F.when(n > 0, xy / n - (x / n) * (y / n))
     left = part.join(total, [*by, "s", "t"]).select(*by, "fold", "s", "t", cov(*(F.col(f"all_{c}") - F.col(c) for c in names)).alias("c"), cov(*map(F.col, names)).alias("held"))
     return left.unionByName(total.select(*by, F.lit(-1).alias("fold"), "s", "t", cov(*(F.col(f"all_{c}") for c in names)).alias("c"), F.lit(None).cast("double").alias("held")))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions.columns import correlation
-from riskweave.sources.scratch import materialise
+from riskweave.sources.scratch import forget, materialise
 
 
 def mirrored(edges: DataFrame, s: str = "s", t: str = "t") -> DataFrame:
@@ -98,6 +98,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-9, r
     What such nodes spread and what jumps anywhere both go to all nodes alike, so the rank is, up to its sum, the solution of y = 1 + damping * (shares of y): a round is one
     join and one sum. Every ``rounds`` of them are written, until no two ranks have grown by factors over these that differ by more than ``tolerance``; ``most`` rounds without that are an error.
     """
+    edges = materialise(edges.select("source", "target", "weight"))
     nodes = materialise(edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).distinct())
     out = edges.groupBy("source").agg(F.sum("weight").alias("_all"))
     share = materialise(edges.groupBy("source", "target").agg(F.sum("weight").alias("_w")).join(out, "source").select("source", "target", (damping * F.col("_w") / F.col("_all")).alias("share")))
@@ -146,6 +147,36 @@ def spanning_tree(edges: DataFrame, by: str, value: str = "dist") -> DataFrame:
     return rows.groupBy(by).applyInPandas(tree, rows.schema)
 
 
+def spanning_forest(edges: DataFrame, by: str, value: str = "dist") -> DataFrame:
+    """(by, s, t, value): the edges of least value that join what can be joined in each group, by Borůvka's rounds; ties go to smaller ends.
+
+    A round takes the least edge of every part at once and merges what these join, so parts at least halve; no group is held by a task. Edges that repeat, in either direction, count once, by their least value.
+    """
+    ends = [F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")]
+    rows = edges.where(f"s != t AND {value} IS NOT NULL").select(by, *ends, F.col(value).alias("v")).groupBy(by, "a", "b").agg(F.min("v").alias("v"))
+    rows, tree = materialise(rows.select(by, "a", "b", F.struct("v", F.col("a").alias("s"), F.col("b").alias("t")).alias("e"))), None
+    while not rows.isEmpty():
+        both = rows.select(by, "a", "b", "e").unionByName(rows.select(by, F.col("b").alias("a"), F.col("a").alias("b"), "e"))
+        best = materialise(both.groupBy(by, "a").agg(F.min(F.struct("e", "b")).alias("m")).select(by, F.col("a").alias("part"), "m.e", F.col("m.b").alias("up")))
+        taken = best.select(by, "e.s", "e.t", F.col("e.v").alias(value)).distinct()
+        tree = taken if tree is None else tree.unionByName(taken)
+        # two parts that chose each other: the smaller one is where the merged part hangs
+        back = best.select(by, F.col("part").alias("up"), F.col("up").alias("_back"))
+        up = materialise(best.join(back, [by, "up"]).select(by, "part", F.when((F.col("_back") == F.col("part")) & (F.col("part") < F.col("up")), F.col("part")).otherwise(F.col("up")).alias("up")))
+        while True:
+            further = up.join(up.select(by, F.col("part").alias("up"), F.col("up").alias("_next")), [by, "up"])
+            if further.where("_next != up").isEmpty():
+                break
+            up = materialise(further.select(by, "part", F.col("_next").alias("up")))
+        at = lambda end: up.select(by, F.col("part").alias(end), F.col("up").alias(f"_{end}"))  # noqa: E731, B023
+        merged = rows.join(at("a"), [by, "a"]).join(at("b"), [by, "b"]).where("_a != _b")
+        before, rows = rows, materialise(merged.groupBy(by, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(F.min("e").alias("e")))
+        forget(before)
+    if tree is None:
+        return edges.where("false").select(by, "s", "t", value)
+    return tree
+
+
 def stability(edges: DataFrame, time: str = "d") -> DataFrame:
     """(d, kept, before, stability): edges of the period before that are still there."""
     steps = edges.select(time).distinct().withColumn("_prev", F.lag(time).over(Window.orderBy(time)))

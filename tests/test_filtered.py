@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from riskweave.operators import filtered, scales, spectral, thresholds as thr
+from riskweave.operators import filtered, network as net, scales, spectral, thresholds as thr
 
 rnd = random.Random(8)
 
@@ -227,3 +227,14 @@ def test_renormalisation_against_a_loop(spark):
             np.fill_diagonal(a, 0)
             steps += 1
     assert steps > 4
+
+
+def test_spanning_forest_is_kruskals(spark):
+    rows = [(d, a, b, float(rnd.randint(1, 6))) for d, n, p in ((1, 30, 0.2), (2, 12, 0.9), (3, 20, 0.07)) for a, b in itertools.combinations(range(n), 2) if rnd.random() < p]
+    rows += [(4, 5, 1, 2.0), (4, 1, 5, 1.0), (4, 3, 3, 0.0), (4, 7, 8, None)]
+    edges = spark.createDataFrame(rows, "d long, s long, t long, dist double")
+    want = {(d, min(s, t), max(s, t)) for d, s, t, _ in (tuple(r) for r in net.spanning_tree(edges.where("d < 4"), "d").collect())} | {(4, 1, 5)}
+    got = net.spanning_forest(edges, "d").collect()
+    assert {(r["d"], r["s"], r["t"]) for r in got} == want and len(got) == len(want)
+    assert [r["dist"] for r in got if r["d"] == 4] == [1.0]
+    assert net.spanning_forest(edges.limit(0), "d").count() == 0
