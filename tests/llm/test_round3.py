@@ -302,3 +302,20 @@ def test_ranges_of_rows_stay_short(spark, ids):
     order = [t for _, _, _, t in sorted((d is not None, d or 0, hashes[t], t) for d, t in rows)]
     got = {r["text"]: r["next"] for r in merkle.with_next(docs).collect()}
     assert got == dict(zip(order, [*order[1:], order[0]], strict=True))
+
+
+# registered queries against their SQL forms
+
+
+@pytest.mark.parametrize("name", ["op11_chat", "op12_manifest", "op13_resample"])
+def test_registered_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from riskweave.llm import registry
+
+    data, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "conversations", "benchmark"):
+        con.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
+    got, want = registry.queries()[name](spark, data), con.sql(registry.oracle_sql()[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(want.fetchall())
