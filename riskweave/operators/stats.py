@@ -58,13 +58,9 @@ def corrected(df: DataFrame, p: str, order: list[str]) -> DataFrame:
 
 def conformal(calibration: DataFrame, test: DataFrame, y: str, yhat: str, alpha: float = 0.1) -> DataFrame:
     """``low`` and ``high`` of each test row: the prediction and the corrected quantile of absolute residuals."""
-    n = F.count(F.lit(1))
-    levels = calibration.agg(n.alias("n"), F.array_sort(F.collect_list(F.abs(F.col(y) - F.col(yhat)))).alias("res"))
-    q = F.least(F.ceil((1 - alpha) * (F.col("n") + 1)) / F.col("n"), F.lit(1.0))
-    at = q * (F.col("n") - 1)
-    low = F.element_at("res", (F.floor(at) + 1).cast("int"))
-    high = F.element_at("res", (F.ceil(at) + 1).cast("int"))
-    width = levels.select((low + (high - low) * (at - F.floor(at))).alias("width"))
+    away = calibration.select(F.abs(F.col(y) - F.col(yhat)).alias("away")).where("away IS NOT NULL")
+    n = away.count()
+    width = away.agg(F.percentile("away", min(math.ceil((1 - alpha) * (n + 1)) / n, 1.0) if n else 1.0).alias("width"))  # one row
     return test.join(F.broadcast(width)).select(*test.columns, (F.col(yhat) - F.col("width")).alias("low"), (F.col(yhat) + F.col("width")).alias("high"))
 
 

@@ -10,7 +10,7 @@ from riskweave.plans.catalog import register
 from riskweave.plans.graphs import edges
 from riskweave.plans.scores import _FORE, _forecasts, _prefixed
 from riskweave.sources import views as v
-from riskweave.sources.scratch import shared_dir
+from riskweave.sources.scratch import own_path
 
 # --- exchange rates ------------------------------------------------------------------------------------
 
@@ -46,7 +46,7 @@ def daily_rates(s, d):
 @register("cached_rates", _prefixed("price", _RATE, "select ccy, count(*) n, round(avg(rate), 6) + 0e0 rate from rate where ccy <> 'C4' group by 1 union all select 'C4', 0, null"))
 def cached_rates(s, d):
     """Rates kept in a cache, and the currencies of the banks that it has none of."""
-    path = f"{shared_dir(s)}/riskweave/sources/rates"
+    path = own_path(s, "rates")
     wanted = _rates(s, d)
     rates.save(wanted.where("ccy != 'C4'"), path)
     held = rates.load(s, path)

@@ -12,7 +12,7 @@ from riskweave.plans.catalog import register
 from riskweave.plans.graphs import _CORR, correlations
 from riskweave.plans.scores import _FORE, _forecasts, _prefixed
 from riskweave.sources import generated as gen, views as v
-from riskweave.sources.scratch import shared_dir
+from riskweave.sources.scratch import own_path
 from riskweave.sources.views import oracle
 
 
@@ -45,7 +45,7 @@ def source_equity(s, d):
 @register("source_scan", f"select * from ({gen.sql('liquidity')}) where d between date '1997-01-01' and date '1998-12-31' and bank < 10")
 def source_scan(s, d):
     """A source written out and scanned again, by range of dates and banks."""
-    path = f"{shared_dir(s)}/riskweave/sources/liquidity"
+    path = own_path(s, "liquidity")
     banks = _banks(s, d)
     gen.generated(s, "liquidity", banks).write.mode("overwrite").parquet(path)
     rows = gen.collected(s, "liquidity", banks.where("bank < 10"), "1997-01-01", "1998-12-31", path)
@@ -67,7 +67,7 @@ def universes(s, d):
 @register("graph_export", oracle("exposure", "select source node, count(*) edges, round(sum(weight) / 1e6, 4) + 0e0 weight from exposure group by 1"))
 def graph_export(s, d):
     """The edge table written out by quarter, as a graph learner would load it, and read again."""
-    path = f"{shared_dir(s)}/riskweave/export/edges"
+    path = own_path(s, "edges")
     v.exposure(s, d).write.mode("overwrite").partitionBy("d").parquet(path)
     return s.read.parquet(path).groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("edges"), rnd(F.sum("weight") / 1e6, 4).alias("weight"))
 

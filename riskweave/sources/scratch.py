@@ -29,15 +29,9 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
-
-    Every executor and the driver see these files, so a lost executor costs nothing
-    that was computed before. They go with ``forget``, or else when the interpreter ends.
-    """
-    spark = df.sparkSession
+def own_path(spark: SparkSession, name: str = "") -> str:
+    """A path in the shared folder that no other run uses; what is written there goes when the interpreter ends."""
     path = f"{shared_dir(spark)}/riskweave/{uuid.uuid4().hex}"
-    df.write.parquet(path)
 
     def gone() -> None:
         try:
@@ -46,6 +40,18 @@ def materialise(df: DataFrame) -> DataFrame:
             pass
 
     atexit.register(gone)
+    return f"{path}/{name}" if name else path
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
+
+    Every executor and the driver see these files, so a lost executor costs nothing
+    that was computed before. They go with ``forget``, or else when the interpreter ends.
+    """
+    spark = df.sparkSession
+    path = own_path(spark)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
