@@ -125,3 +125,36 @@ def widest_gap(value_rows: DataFrame, by: str) -> DataFrame:
     inside = (F.col("mode") >= 1) & (F.col("mode") < F.greatest("_half", F.lit(2)))
     out = rows.groupBy(by).agg(F.min(F.when(inside & F.col("_gap").isNotNull(), F.struct((-F.col("_gap")).alias("less"), "mode"))).alias("m"))
     return out.select(by, F.coalesce(-F.col("m.less"), F.lit(0.0)).alias("gap"), F.coalesce("m.mode", F.lit(1)).cast("long").alias("gap_index"))
+
+
+def correlation_spectrum(correlations: DataFrame, by: str) -> DataFrame:
+    """(by, mode, lambda): eigenvalues of each snapshot's correlation matrix (s, t, c), its diagonal one; a null correlation counts as 0. A snapshot is held by one task."""
+    kind = dict(correlations.dtypes)[by]
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        a = _matrix(group)[1]
+        np.fill_diagonal(a, 1.0)
+        found = np.linalg.eigvalsh(a)
+        return pd.DataFrame({by: group[by].iloc[0], "mode": np.arange(len(found)), "lambda": found})
+
+    return correlations.select(by, "s", "t", F.coalesce("c", F.lit(0.0)).alias("c")).groupBy(by).applyInPandas(solve, f"{by} {kind}, mode long, lambda double")
+
+
+def noise_fit(values_: DataFrame, by: str, length: int) -> DataFrame:
+    """(by, n_signal, n_noise, lambda_plus, ks, p): how many eigenvalues of a correlation matrix of ``length`` times stand out of noise, and how far the others are from even between the bounds of noise.
+
+    Bounds are (1 ± sqrt(nodes / length)) ** 2. With up to three values of noise ``ks`` is 0 and ``p`` 1; ``p`` is the asymptotic one, with Stephens' correction for short samples.
+    """
+    n = values_.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    q = F.sqrt(F.col("_n") / length)
+    rows = values_.join(n, by).withColumns({"_low": F.pow(1 - q, F.lit(2)), "_high": F.pow(1 + q, F.lit(2))})
+    rows = rows.withColumn("_noise", F.col("lambda") <= F.col("_high"))
+    place = F.row_number().over(Window.partitionBy(by, "_noise").orderBy("lambda"))
+    count = F.count(F.lit(1)).over(Window.partitionBy(by, "_noise"))
+    f = F.least(F.greatest((F.col("lambda") - F.col("_low")) / (F.col("_high") - F.col("_low")), F.lit(0.0)), F.lit(1.0))
+    rows = rows.withColumn("_away", F.when(F.col("_noise"), F.greatest(place / count - f, f - (place - 1) / count)))
+    out = rows.groupBy(by).agg(F.count_if(~F.col("_noise")).alias("n_signal"), F.count_if("_noise").alias("n_noise"), F.max("_high").alias("lambda_plus"), F.max("_away").alias("_ks"))
+    ks = F.when(F.col("n_noise") > 3, F.col("_ks")).otherwise(0.0)
+    t = (F.sqrt("n_noise") + 0.12 + 0.11 / F.sqrt("n_noise")) * F.col("_ks")
+    tail = sum(((-1) ** (k - 1) * 2 * F.exp(-2.0 * k * k * t * t) for k in range(1, 40)), F.lit(0.0))
+    return out.select(by, "n_signal", "n_noise", "lambda_plus", ks.alias("ks"), F.when(F.col("n_noise") > 3, F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0))).otherwise(1.0).alias("p"))

@@ -91,6 +91,12 @@ def spectral_quadrature(s, d):
     return _all(quad.functionals(quad.quadrature(quad.lanczos(e, ["d"], probes=8, steps=12), "d"), "d"))
 
 
+@register("noise_fit")
+def noise_fit(s, d):
+    """Eigenvalues of each month's correlations against the bounds of noise."""
+    return rounded(quad.noise_fit(quad.correlation_spectrum(dense(s, d), "d"), "d", v.WINDOW), "lambda_plus", "ks", "p", digits=5)
+
+
 @register("planar_filter")
 def planar_filter(s, d):
     return rounded(filtered.planar_filtered(dense(s, d).withColumn("c", F.round("c", 10)), "d"), "c")

@@ -206,3 +206,22 @@ def test_feature_sets_are_whole_and_look_back(feature_rows):
     walk = {r["d"]: r for r in gf.walk_features(found).collect()}
     assert walk[1]["lam2_change"] == 0 and walk[5]["lam2_change"] == pytest.approx(base[5] - base[4])
     assert not [c for r in walk.values() for c in r if c is None] and not [c for r in gf.binary_features(found).collect() for c in r if c is None]
+
+
+def test_noise_fit_against_numpy(spark):
+    r = np.random.default_rng(6)
+    held, length = {}, 60
+    for d, (n, load) in {1: (12, 0.0), 2: (15, 1.5), 3: (3, 0.0), 4: (40, 0.5)}.items():
+        x = r.normal(size=(length, n)) + load * r.normal(size=(length, 1))
+        held[d] = np.corrcoef(x.T)
+    frame = spark.createDataFrame([(d, i, j, float(c[i, j])) for d, c in held.items() for i, j in itertools.combinations(range(len(c)), 2)], EDGES)
+    got = {row["d"]: row for row in quad.noise_fit(quad.correlation_spectrum(frame, "d"), "d", length).collect()}
+    for d, c in held.items():
+        lam, q = np.linalg.eigvalsh(c), (len(c) / length) ** 0.5
+        low, high = (1 - q) ** 2, (1 + q) ** 2
+        noise = np.sort(lam[lam <= high])
+        f, k = np.clip((noise - low) / (high - low), 0, 1), np.arange(1, len(noise) + 1)
+        ks = max((k / len(noise) - f).max(), (f - (k - 1) / len(noise)).max()) if len(noise) > 3 else 0.0
+        assert (got[d]["n_signal"], got[d]["n_noise"]) == ((lam > high).sum(), len(noise))
+        assert (got[d]["lambda_plus"], got[d]["ks"]) == pytest.approx((high, ks)) and 0 <= got[d]["p"] <= 1
+    assert got[2]["n_signal"] >= 1 and got[3]["p"] == 1
