@@ -176,7 +176,8 @@ def train(df: DataFrame) -> Model:
     # by distinct texts, so that a text counts once however often it stands there
     texts = known.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("_texts"))
     share = texts.select("lang", (F.least(F.lit(1.0), F.lit(float(TEXTS)) / F.col("_texts")) * (1 << 30)).cast("long").alias("_most"))
-    sample = known.join(share, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("_most")).select("lang", "text").dropDuplicates()
+    # one row a language, each of which has a tree in the model; texts stay where they are
+    sample = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("_most")).select("lang", "text").dropDuplicates()
     found = _common.materialise(counts(sample))
     sizes = found.groupBy("lang", F.least("n", F.lit(1 << 10)).alias("n")).agg(F.count(F.lit(1)).alias("grams"))
     room = F.floor(F.lit(NODES) / F.greatest(F.lit(1), F.size(F.collect_set("lang").over(Window.partitionBy()))))
