@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -212,3 +214,44 @@ def threshold_grid(correlations: DataFrame, grid: DataFrame, nodes: int, by: lis
     kept = F.abs("c") >= F.col("thr")
     out = correlations.join(F.broadcast(grid)).groupBy(*by, "thr").agg(F.count_if(kept).alias("edges"), F.sum(F.when(kept, 0.0).otherwise(2 * F.col("c") * F.col("c"))).alias("below"))
     return out.select(*by, "thr", "edges", (F.col("edges") / (nodes * (nodes - 1) / 2)).alias("density"), (F.col("edges") * F.log(F.lit(float(nodes))) + F.col("below")).alias("mdl"))
+
+
+def _unit_sums(rows: DataFrame, own: list[str], vector: str) -> DataFrame:
+    """(own, at, x, square): sums of unit vectors by place, and in place 0 of their squared lengths; a task sums each batch before anything is shuffled."""
+    kind = dict(rows.dtypes)
+
+    def run(frames):
+        for frame in frames:
+            for key, part in frame.groupby(own):
+                m = np.stack(part[vector].to_numpy()).astype(float)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    u = m / np.sqrt((m * m).sum(1))[:, None]
+                yield pd.DataFrame({**dict(zip(own, ([k] for k in key), strict=True)), "sums": [u.sum(0)], "square": [float((u * u).sum())]})
+
+    parts = rows.select(*own, vector).mapInPandas(run, ", ".join(f"{c} {kind[c]}" for c in own) + ", sums array<double>, square double")
+    nan = lambda c: F.coalesce(c, F.lit(float("nan"))).alias(c)  # noqa: E731 (pandas hands NaN over as null)
+    each = parts.select(*own, F.posexplode("sums").alias("at", "x"), "square").select(*own, "at", nan("x"), nan("square"))
+    return each.groupBy(*own, "at").agg(F.sum("x").alias("x"), F.sum(F.when(F.col("at") == 0, F.col("square")).otherwise(0.0)).alias("square"))
+
+
+def mean_cosine(rows: DataFrame, by: str, key: str, vector: str) -> DataFrame:
+    """(by, links, mean): number and mean cosine of all pairs of rows of a group with different keys, without forming a pair.
+
+    Cosines of all pairs add up to half of what the squared sum of unit vectors exceeds the squared sums of each key's own. Vectors that are null, empty or hold a null count as links but have no cosine, nor have two of
+    different lengths; a vector of zeros makes the mean NaN.
+    """
+    whole = (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull())
+    held = rows.where(F.col(by).isNotNull() & F.col(key).isNotNull()).select(by, key, vector, F.when(whole, F.size(vector)).alias("_size"))
+    counts = held.groupBy(by, key, "_size").agg(F.count(F.lit(1)).alias("_n"))
+    square = lambda c: F.sum(F.col(c) * F.col(c))
+    links = counts.groupBy(by, key).agg(F.sum("_n").alias("_n")).groupBy(by).agg(F.sum("_n").alias("_all"), square("_n").alias("_own"))
+    links = links.select(by, F.expr("(_all * _all - _own) div 2").alias("links")).where("links > 0")
+    pairs = counts.where("_size IS NOT NULL").groupBy(by, "_size").agg(F.sum("_n").alias("_all"), square("_n").alias("_own"))
+    pairs = pairs.groupBy(by).agg(F.sum(F.expr("(_all * _all - _own) div 2")).alias("_pairs"))
+    # a key that stands once has a unit vector for its sum; for the others their squared sums take the place of their squares
+    again = materialise(counts.where("_size IS NOT NULL AND _n > 1").select(by, key, "_size"))
+    held = held.where("_size IS NOT NULL")
+    all_ = _unit_sums(held, [by, "_size"], vector).select(by, (F.col("x") * F.col("x") - F.col("square")).alias("_v"))
+    own = _unit_sums(held.join(again, [by, key, "_size"]), [by, key, "_size"], vector).select(by, (F.col("square") - F.col("x") * F.col("x")).alias("_v"))
+    total = all_.unionByName(own).groupBy(by).agg(F.sum("_v").alias("_v"))
+    return links.join(pairs, by, "left").join(total, by, "left").select(by, "links", F.when(F.col("_pairs") > 0, F.col("_v") / 2 / F.col("_pairs")).alias("mean"))

@@ -250,12 +250,7 @@ def exposure_concentration(s, d):
     from e a join e b on a.label = b.label and a.vec_id < b.vec_id group by 1""")
 def embedding_network(s, d):
     e = v.table(s, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, p: t + p)
-    e = e.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
-    a, b = e.alias("a"), e.alias("b")
-    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    cos = dot(F.col("a.v"), F.col("b.v")) / (F.col("a.norm") * F.col("b.norm"))
-    return pairs.select(F.col("a.label").alias("label"), cos.alias("c")).groupBy("label").agg(F.count(F.lit(1)).alias("links"), rnd(F.avg("c"), 5).alias("mean"))
+    return rounded(net.mean_cosine(e, "label", "vec_id", "v"), "mean", digits=5)
 
 
 @register("spectral_risk")
