@@ -9,6 +9,7 @@ from riskweave.functions.columns import correlation, rnd, rounded
 from riskweave.operators import contagion as con, learning, stats, timeseries as ts
 from riskweave.plans.catalog import register
 from riskweave.sources import views as v
+from riskweave.sources.scratch import materialise
 from riskweave.sources.views import oracle
 
 
@@ -252,9 +253,9 @@ def monte_carlo(s, d):
 
 @register("one_at_a_time")
 def one_at_a_time(s, d):
-    out = None
+    state, loans, out = materialise(v.bank_state(s, d)), materialise(v.latest_exposure(s, d)), None
     for shock_ in (0.0, 2.0, 4.0):
-        one = con.simulate(v.bank_state(s, d), v.latest_exposure(s, d), 8, 6, shock=shock_).where("step = 5").agg(F.avg("defaults").alias("mean"), F.stddev_pop("defaults").alias("sd"), F.percentile("defaults", 0.1).alias("p10"), F.percentile("defaults", 0.9).alias("p90")).withColumn("shock", F.lit(shock_))
+        one = con.simulate(state, loans, 8, 6, shock=shock_).where("step = 5").agg(F.avg("defaults").alias("mean"), F.stddev_pop("defaults").alias("sd"), F.percentile("defaults", 0.1).alias("p10"), F.percentile("defaults", 0.9).alias("p90")).withColumn("shock", F.lit(shock_))
         out = one if out is None else out.unionByName(one)
     return out
 

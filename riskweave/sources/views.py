@@ -36,20 +36,26 @@ def ret(spark: SparkSession, sf_dir: str) -> DataFrame:
     return price(spark, sf_dir).select("bank", "d", (F.col("price") / F.lag("price").over(w) - 1).alias("r")).where("r IS NOT NULL")
 
 
-def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(d, source, target, weight): net line value from supplier nations to customer nations by quarter."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_shipdate", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
+def exposure(spark: SparkSession, sf_dir: str, quarters: DataFrame | None = None) -> DataFrame:
+    """(d, source, target, weight): net line value from supplier nations to customer nations by quarter; of all, or of the few in ``quarters`` (d).
+
+    Lines of other quarters go before any join, and orders find their nation before lines are joined, so that lines are shuffled once.
+    """
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.date_trunc("quarter", "l_shipdate").cast("date").alias("d"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
+    if quarters is not None:
+        line = line.join(F.broadcast(quarters), "d", "left_semi")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("target"))
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("source"))
-    rows = line.join(supplier, "l_suppkey").join(orders, "l_orderkey").join(customer, "c_custkey").where("source != target")
-    return rows.groupBy(F.date_trunc("quarter", "l_shipdate").cast("date").alias("d"), "source", "target").agg(F.sum("v").alias("weight"))
+    buyer = orders.join(customer, "c_custkey").select("l_orderkey", "target")
+    rows = line.join(supplier, "l_suppkey").join(buyer, "l_orderkey").where("source != target")
+    return rows.groupBy("d", "source", "target").agg(F.sum("v").alias("weight"))
 
 
 def latest_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, target, weight) of the last whole quarter of the data, in millions: the one before that of the last shipment."""
     last = table(spark, sf_dir, "lineitem").agg(F.add_months(F.date_trunc("quarter", F.max("l_shipdate")).cast("date"), -3).alias("d"))
-    return exposure(spark, sf_dir).join(F.broadcast(last), "d", "left_semi").select("source", "target", (F.col("weight") / 1e6).alias("weight"))
+    return exposure(spark, sf_dir, last).select("source", "target", (F.col("weight") / 1e6).alias("weight"))
 
 
 def bank_state(spark: SparkSession, sf_dir: str) -> DataFrame:

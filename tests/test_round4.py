@@ -66,3 +66,8 @@ def test_no_pair_of_embeddings_is_formed(spark):
     rows = spark.range(100_000).select("id", F.lit(1).alias("label"), F.array(F.cos("id"), F.sin("id"), F.lit(1.0)).alias("v"))
     got = net.mean_cosine(rows, "label", "id", "v").first()
     assert got["links"] == 4_999_950_000 and got["mean"] == pytest.approx(0.5, abs=1e-4)
+
+
+def test_one_at_a_time_reads_lines_once(passes):
+    """Once for the last day, once for the exposures of all shocks."""
+    assert passes("one_at_a_time", "lineitem") <= 2
