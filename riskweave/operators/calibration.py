@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskweave.operators.contagion import EQUITY_SHARE
-from riskweave.sources.scratch import forget, materialise
+from riskweave.sources.scratch import forget, held, materialise
 
 
 def uniform(*parts: Column) -> Column:
@@ -31,7 +31,8 @@ def cascades(state: DataFrame, exposures: DataFrame, by: list[str], lgd: str, ro
     ``state`` (by, bank, cet1, total_assets, interbank_assets, and the column ``lgd``, the share of a loan that is lost); ``exposures`` (source, target, weight) are the same for all keys. A cascade that hasn't ended after ``rounds`` is an error.
     """
     now = materialise(state.select(*by, "bank", "cet1", "total_assets", "interbank_assets", lgd, (F.col("cet1") < 0).alias("new"), (F.col("cet1") < 0).alias("defaulted")))
-    edges = exposures.select(F.col("source").alias("bank"), F.col("target").alias("_lost"), "weight")
+    # all rounds read the same loans, which may stand for joins of large tables
+    edges = held(exposures).select(F.col("source").alias("bank"), F.col("target").alias("_lost"), "weight")
     for _ in range(rounds):
         fallen = now.where("new").select(*by, F.col("bank").alias("_lost"))
         if fallen.isEmpty():

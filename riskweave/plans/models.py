@@ -84,8 +84,8 @@ def quantile_regression(s, d):
 def calibrated_cascade(s, d):
     """Shock and loss given default under which cascades end with the share of failures and the mean ratio seen where last month's returns were negative; all generations."""
     state = materialise(v.bank_state(s, d))
-    loans = v.latest_exposure(s, d)
-    returns = v.ret(s, d)
+    loans = materialise(v.latest_exposure(s, d))
+    returns = materialise(v.ret(s, d))
     last = F.broadcast(returns.agg(F.max("d").alias("d")))
     seen = returns.join(last, "d").join(state.select("bank", "cet1"), "bank")
     goal = seen.agg(F.avg((F.col("r") < -0.3).cast("double")), F.avg(F.col("cet1") * (1 + F.least("r", F.lit(0.0))))).first()

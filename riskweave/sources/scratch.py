@@ -57,6 +57,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+def held(df: DataFrame) -> DataFrame:
+    """``df`` if it was read back by ``materialise``, and else what that gives; for what a loop reads again and again."""
+    return df if hasattr(df, "_scratch") else materialise(df)
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete the files of frames that ``materialise`` returned and that nothing reads any more."""
     for df in frames:

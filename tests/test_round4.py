@@ -71,3 +71,23 @@ def test_no_pair_of_embeddings_is_formed(spark):
 def test_one_at_a_time_reads_lines_once(passes):
     """Once for the last day, once for the exposures of all shocks."""
     assert passes("one_at_a_time", "lineitem") <= 2
+
+
+def test_cascades_read_their_loans_once(spark):
+    n = spark.sparkContext.accumulator(0)
+    state = spark.createDataFrame([(0, b, 0.5 * b - 0.1, 10.0, 5.0, 0.9) for b in range(4)], "id long, bank long, cet1 double, total_assets double, interbank_assets double, lgd double")
+    loans = counted(spark.createDataFrame([(b + 1, b, 2.0) for b in range(3)], "source long, target long, weight double"), n)
+    got = {r["bank"]: r["defaulted"] for r in cal.cascades(state, loans, ["id"], "lgd").collect()}
+    assert got == dict.fromkeys(range(4), True) and n.value == 3
+
+
+def test_calibration_reads_lines_once(passes):
+    """Once for the last day, once for the loans."""
+    assert passes("calibrated_cascade", "lineitem") <= 2
+
+
+def test_latest_exposure_is_that_of_the_quarter(spark):
+    whole, last = views.exposure(spark, DATA), views.table(spark, DATA, "lineitem").agg(F.add_months(F.date_trunc("quarter", F.max("l_shipdate")).cast("date"), -3)).first()[0]
+    want = {(r["source"], r["target"]): r["weight"] / 1e6 for r in whole.where(F.col("d") == last).collect()}
+    got = {(r["source"], r["target"]): r["weight"] for r in views.latest_exposure(spark, DATA).collect()}
+    assert got == pytest.approx(want) and got
