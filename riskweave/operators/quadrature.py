@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.operators.spectral import _laplacian, _matrix
-from riskweave.sources.scratch import forget, materialise
+from riskweave.sources.scratch import forget, held, materialise
 
 #: Values up to this count as zero.
 EPS = 1e-10
@@ -43,11 +43,12 @@ def lanczos(edges: DataFrame, by: list[str], probes: int = 8, steps: int = 16) -
 
     ``beta`` stands after its ``alpha``; it is 0, and all that follows too, where a probe has seen all it can.
     """
+    edges = held(edges)
     both = edges.select(*by, "s", "t", "c").unionByName(edges.select(*by, F.col("t").alias("s"), F.col("s").alias("t"), "c"))
-    degree = both.groupBy(*by, "s").agg(F.sum("c").alias("_d"))
+    degree = materialise(both.groupBy(*by, "s").agg(F.sum("c").alias("_d")))
     scaled = both.join(degree, [*by, "s"]).join(degree.withColumnsRenamed({"s": "t", "_d": "_e"}), [*by, "t"])
     links = materialise(scaled.select(*by, "s", "t", (-F.col("c") / F.sqrt(F.col("_d") * F.col("_e"))).alias("a")))
-    size = degree.groupBy(*by).agg(F.count(F.lit(1)).alias("nodes"))
+    size = materialise(degree.groupBy(*by).agg(F.count(F.lit(1)).alias("nodes")))
     sign = lambda k: F.when(F.pmod(F.xxhash64(F.col("s").cast("string"), F.lit(k)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
     start = degree.join(size, by).select(*by, F.col("s").alias("node"), "nodes", *((sign(k) / F.sqrt("nodes")).alias(f"x{k}") for k in range(probes)))
     now = materialise(start.select("*", *(F.lit(0.0).alias(f"p{k}") for k in range(probes)), *(F.lit(0.0).alias(f"b{k}") for k in range(probes))))
@@ -70,7 +71,7 @@ def lanczos(edges: DataFrame, by: list[str], probes: int = 8, steps: int = 16) -
         nexts = rest.join(beta, by).select(*by, "node", "nodes", *(after(k).alias(f"x{k}") for k in range(probes)), *(F.col(f"x{k}").alias(f"p{k}") for k in range(probes)), *(F.col(f"e{k}").alias(f"b{k}") for k in range(probes)))
         before, now = now, materialise(nexts)
         forget(before, moved, rest)
-    forget(now, links)
+    forget(now, links, degree, size)
     return out
 
 

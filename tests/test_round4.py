@@ -91,3 +91,7 @@ def test_latest_exposure_is_that_of_the_quarter(spark):
     want = {(r["source"], r["target"]): r["weight"] / 1e6 for r in whole.where(F.col("d") == last).collect()}
     got = {(r["source"], r["target"]): r["weight"] for r in views.latest_exposure(spark, DATA).collect()}
     assert got == pytest.approx(want) and got
+
+
+def test_quadrature_reads_lines_once(passes):
+    assert passes("spectral_quadrature", "lineitem") <= 1
