@@ -185,7 +185,7 @@ def quantile_fit(rows: DataFrame, features: list[str], target: str, quantiles: l
                     total[k, :, p] += xw.T @ y + (2 * tau - 1) * x.sum(0)
             yield pd.DataFrame({"v": [total.ravel()]})
 
-        cells = held.mapInPandas(run, "v array<double>").select(F.posexplode("v").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v")).orderBy("pos").toPandas()["v"].to_numpy()
+        cells = held.mapInPandas(run, "v array<double>").select(F.posexplode("v").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v")).toPandas().sort_values("pos")["v"].to_numpy()
         shared.unpersist()
         system = cells.reshape(len(taus), p, p + 1)
         new = np.stack([np.linalg.lstsq(s[:, :p], s[:, p], rcond=None)[0] for s in system])

@@ -17,7 +17,7 @@ GROUPS = {"volatility": ["vol"], "trend": ["mean", "growth", "momentum"], "marke
 
 def _rows(s, d):
     """(bank, d, block, key, features, y): what was known of each bank by month, and its return in the month after; ``block`` numbers quarters of the whole span."""
-    returns = v.ret(s, d)
+    returns = materialise(v.ret(s, d))  # read by all that follows
     w = Window.partitionBy("bank").orderBy("d")
     lagged = returns.select("bank", "d", "r", F.lag("r", 1).over(w).alias("r1"), F.lag("r", 2).over(w).alias("r2"), F.lead("r").over(w).alias("y"))
     rows = lagged.join(ts.node_features(returns, 12, short=3), ["bank", "d"]).join(ts.market(returns), "d").where("y IS NOT NULL AND r2 IS NOT NULL")

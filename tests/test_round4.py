@@ -95,3 +95,7 @@ def test_latest_exposure_is_that_of_the_quarter(spark):
 
 def test_quadrature_reads_lines_once(passes):
     assert passes("spectral_quadrature", "lineitem") <= 1
+
+
+def test_quantile_regression_reads_orders_once(passes):
+    assert passes("quantile_regression", "orders") <= 1
