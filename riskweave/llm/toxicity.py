@@ -106,12 +106,32 @@ def class_prior(rows: list[np.ndarray], positive: np.ndarray, lift: np.ndarray)
     return float(np.clip(bound[enough].min(), 1 / (n_u + 1), 0.5))
 
 
+def _among(texts: int, most: int):
+    """Whether the hash ``_s`` of a text is among the share that leaves about ``most`` of so many."""
+    return F.col("_s") < (int(most / texts * (1 << 30)) if texts > most else 1 << 30)
+
+
+def _hashed(df: DataFrame) -> DataFrame:
+    """``df`` with hashes of its texts: ``_h`` tells them apart, ``_s`` draws the sample."""
+    return df.withColumns({"_h": F.xxhash64("text"), "_s": F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30))})
+
+
 def _sample(df: DataFrame, most: int) -> DataFrame:
     """About ``most`` of the distinct texts of ``df``, chosen by a hash, so that a text counts once however often it stands there."""
-    texts = df.agg(F.count_distinct(F.xxhash64("text"))).first()[0]
-    if texts > most:
-        df = df.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) < int(most / texts * (1 << 30)))
-    return df.distinct()
+    rows = _hashed(df.select("text"))
+    texts = rows.agg(F.count_distinct("_h")).first()[0]
+    return rows.where(_among(texts, most)).select("text").distinct()
+
+
+def _sample_of(df: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """``_sample`` of the rows (doc_id, text) whose id is in ``known`` (doc_id, distinct).
+
+    Ids meet as ids and hashes, one for each text; only the texts of the sample are then fetched, so that none is shuffled for the join.
+    """
+    rows = _hashed(df.select("doc_id", "text"))
+    found = _common.materialise(rows.select("doc_id", "_h", "_s").join(known, "doc_id").groupBy("_h", "_s").agg(F.min("doc_id").alias("doc_id")))
+    chosen = found.where(_among(found.count(), most)).select("doc_id", "_h")
+    return rows.join(F.broadcast(chosen), ["doc_id", "_h"], "left_semi").select("text").distinct()  # about ``most`` rows
 
 
 def train(documents: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float], float]:
@@ -121,11 +141,9 @@ def train(documents: DataFrame, labels: DataFrame) -> tuple[dict[bytes, float],
     """
     known = labels.where((F.col("toxic") == 1) & ~_common.held_out(F.col("doc_id"))).select("doc_id").distinct()
     open_ = documents.where(~_common.held_out(F.col("doc_id")))
-    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    positive = open_.join(known, "doc_id").select(text)
-    unlabelled = open_.select(text)
-    positive = _sample(positive, MAX_POSITIVE).select(F.lit(True).alias("pos"), "text")
-    unlabelled = _sample(unlabelled, MAX_UNLABELLED).select(F.lit(False).alias("pos"), "text")
+    open_ = open_.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    positive = _sample_of(open_, known, MAX_POSITIVE).select(F.lit(True).alias("pos"), "text")
+    unlabelled = _sample(open_, MAX_UNLABELLED).select(F.lit(False).alias("pos"), "text")
 
     def bag(batches):
         for batch in batches:
