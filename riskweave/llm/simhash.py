@@ -168,11 +168,10 @@ def links(fps: DataFrame) -> DataFrame:
     return left.join(right, "key").where(close).select("source", "target").distinct()
 
 
-def classes(rows: DataFrame, more: DataFrame | None = None, known: bool = False) -> DataFrame:
-    """(fp, component_id) of all fingerprints in ``rows`` (doc_id, fp): the smallest doc_id reachable; ``more`` has further links, or with ``known`` all of them."""
+def classes(rows: DataFrame) -> DataFrame:
+    """(fp, component_id) of all fingerprints in ``rows`` (doc_id, fp): the smallest doc_id reachable."""
     least = _common.materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    linked = more if known else _common.materialise(links(least) if more is None else links(least).unionByName(more))
-    found = connected_components(linked)
+    found = connected_components(_common.materialise(links(least)))
     return (
         least.join(found, least["fp"] == found["node"], "left")
         .select("fp", "least", F.coalesce("component", "fp").alias("root"))
@@ -266,8 +265,8 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("key", "th", "text").mapInArrow(run, "key long, th long, fp long, sid long, n int, pre array<long>, odd binary")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """The ``pairs`` (a, b) of shingle sets that are alike; ``sets`` (sid, th, n, odd) names a text of each, ``rows`` (th, text) holds it.
+def _alike(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int) -> DataFrame | None:
+    """The ``pairs`` (a, b) of shingle sets that are alike, None if there are none; ``sets`` (sid, th, n, odd) names a text of each, ``rows`` (th, text) holds it.
 
     Sizes and odd sketches rule most pairs out; the shingles themselves decide on the rest.
     """
@@ -284,8 +283,12 @@ def _alike(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int) -> Da
     both = pairs.distinct().join(small.toDF("a", "s", "n", "x"), "a").join(small.toDF("b", "t", "m", "y"), "b")
     pairs = _common.materialise(both.select("a", "b", "s", "t", "n", "m", "x", "y").mapInArrow(possible, "a long, b long, s long, t long"))
     wanted = _common.materialise(pairs.select(F.explode(F.array("s", "t")).alias("th")).distinct())
+    number = wanted.count()
+    if not number:
+        _common.forget(pairs, wanted)
+        return None
     # a bitmap of the wanted hashes, of bounded size, holds most other texts back from the shuffle
-    bits = min(BITMAP, 1 << max(10, (8 * wanted.count()).bit_length()))
+    bits = min(BITMAP, 1 << max(10, (8 * number).bit_length()))
     at = F.pmod("th", F.lit(bits))
     found = wanted.groupBy((at / 64).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(th, {bits}) % 64 as int))")).alias("v")).toArrow()
     bitmap = np.zeros(bits // 64, dtype=np.int64)
@@ -308,6 +311,9 @@ def _alike(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int) -> Da
     common = F.size(F.array_intersect("u", "v"))
     alike = _common.materialise(both.where(common >= SIMILARITY * (F.size("u") + F.size("v") - common) - 1e-6).select("a", "b"))
     _common.forget(pairs, wanted, whole)
+    if alike.isEmpty():
+        _common.forget(alike)
+        return None
     return alike
 
 
@@ -355,10 +361,11 @@ def _apart(members: DataFrame, sketched: DataFrame, share: int) -> DataFrame:
 
 
 def similar(sketched: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """(source, target) of fingerprints in ``sketched`` whose texts, in ``rows`` (th, text), are alike: enough of them to join all that are.
+    """(fp, c) of all fingerprints in ``sketched``: c is the same for those whose texts, in ``rows`` (th, text), are joined by links or by likeness.
 
     First each member of a key's group is held against one of the group. The members that are not joined by then are held
     against each other: first a share of their pairs, which joins most large groups, and then all that are not joined by then.
+    Each turn's pairs only join classes of the turn before, so their components are sought among those classes, and a turn without such pairs ends there.
     """
     sets = sketched.where("odd IS NOT NULL").groupBy("sid").agg(F.min("th").alias("th"), F.min("n").alias("n"), F.min("odd").alias("odd"), F.min("fp").alias("fp"))
     sets = _common.materialise(sets)
@@ -370,17 +377,15 @@ def similar(sketched: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     posts = _common.materialise(posts)
 
     # texts of one set are alike, whatever their fingerprints
-    node = sets.select("sid", "fp")
     same = sketched.select("sid", "fp").distinct().join(sketched.groupBy("sid").agg(F.min("fp").alias("least")), "sid").where("fp != least")
     same = same.select(F.col("least").alias("source"), F.col("fp").alias("target"))
-
-    def by_fp(pairs: DataFrame) -> DataFrame:
-        return pairs.join(node.toDF("a", "source"), "a").join(node.toDF("b", "target"), "b").where("source != target").select("source", "target")
-
-    linked = _common.materialise(same.unionByName(links(sketched.select("fp").distinct())))
+    fps = _common.materialise(sketched.select("fp").distinct())
+    linked = _common.materialise(same.unionByName(links(fps)))
+    found = connected_components(linked).toDF("fp", "c")
+    at = _common.materialise(fps.join(found, "fp", "left").select("fp", F.coalesce("c", "fp").alias("c")))
+    of = _common.materialise(sets.select("sid", "fp").join(at, "fp").select("sid", "c"))
+    _common.forget(linked, fps)
     for turn in ("leader", *SHARES):
-        found = _common.materialise(connected_components(linked))
-        of = _common.materialise(sets.join(found, F.col("fp") == F.col("node"), "left").select("sid", F.coalesce("component", "fp").alias("c")))
         if turn == "leader":
             held = posts.join(of, "sid").withColumns({"lo": F.min("c").over(group), "hi": F.max("c").over(group), "lead": F.min_by(F.struct("sid", "place", "c"), "sid").over(group)})
             held = held.where("lo < hi AND c != lead.c").select(F.col("lead.sid").alias("a"), F.col("sid").alias("b"), F.col("lead.place").alias("there"), "place")
@@ -388,10 +393,14 @@ def similar(sketched: DataFrame, rows: DataFrame, words: int) -> DataFrame:
         else:
             pairs = _apart(posts.join(of, "sid").select("k", "sid", "c", *_placed("place")), sketched, turn)
         near = _alike(pairs, sets, rows, words)
-        before, linked = linked, _common.materialise(linked.unionByName(by_fp(near)))
-        _common.forget(near, before, found, of)
-    _common.forget(posts, sets)
-    return linked
+        if near is None:
+            continue
+        joined = connected_components(near.join(of.toDF("a", "c"), "a").join(of.toDF("b", "d"), "b").select("c", "d"), "c", "d").toDF("c", "to")
+        before = near, at, of
+        at, of = (_common.materialise(x.join(joined, "c", "left").select(key, F.coalesce("to", "c").alias("c"))) for x, key in ((at, "fp"), (of, "sid")))
+        _common.forget(*before)
+    _common.forget(posts, sets, of)
+    return at
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -410,12 +419,10 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = SHI
     rows = _common.hidden(docs).withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
     rows = rows.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     sketched = _common.materialise(_sketches(rows, words))
-    small = sketched.select(F.struct("key", "th").alias("doc_id"), "fp")
-    more = similar(sketched, rows, words)
-    found = classes(small, more, known=True)
-    kept = small.join(found, "fp").where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
-    kept = _common.materialise(kept.select("doc_id.*", "times"))
-    _common.forget(sketched, more)
+    of = similar(sketched, rows, words)
+    members = sketched.join(of, "fp").groupBy("c", "key", "th").agg(F.count(F.lit(1)).alias("times"))
+    kept = _common.materialise(members.groupBy("c").agg(F.min(F.struct("key", "th", "times")).alias("least")).select("least.*"))
+    _common.forget(sketched, of)
     out = rows.join(kept.select("key", "th"), ["key", "th"], "left_semi")
     again = kept.where("times > 1").select("key", "th")
     if not again.isEmpty():  # only rows that repeat id and text need to be told apart
